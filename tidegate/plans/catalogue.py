@@ -1,4 +1,538 @@
-"""The registered queries of the decision engine and their SQL."""
+"""The registered queries of the decision engine and their SQL.
 
-QUERIES = {}
-ORACLES = {}
+Doubles are rounded on both sides, since sums depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegate.functions import keys
+from tidegate.functions.costs import CostParams, row_benefit, row_cost
+from tidegate.models import gbt
+from tidegate.operators import bootstrap, drift, encoding, metrics, policy, profile, selection, sensitivity, split, swap, windows
+from tidegate.operators import thresholds as th
+from tidegate.plans import decision, views
+from tidegate.plans.views import CHOSEN, SPLIT, STATS, TXN, table, txn
+from tidegate.sources.synthetic import make_raw
+from tidegate.sources.tables import enrich
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+P = CostParams()
+
+
+def query(sql: str | None = None, digits: int = 6, money: int = 2):
+    """Register a query; doubles are rounded, money (columns named for it) to cents."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(f(spark, sf_dir), digits, money)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+MONEY = ("amount", "cost", "benefit", "loss", "amt_1h", "amt_24h", "amt_7d", "amount_total")
+
+
+def rounded(df: DataFrame, digits: int, money: int) -> DataFrame:
+    out = {}
+    for name, kind in df.dtypes:
+        if kind in ("double", "float"):
+            cents = any(w in name for w in MONEY) and "rate" not in name and "share" not in name
+            places = 8 if name.endswith("tenure_days") else money if cents else digits
+            out[name] = F.round(F.col(name).cast("double"), places) + F.lit(0.0)
+    return df.withColumns(out)
+
+
+# ---- splits, keys, windows ------------------------------------------------
+
+
+@query("WITH" + SPLIT + " SELECT id, split FROM s")
+def time_split(spark, d):
+    return split.time_split(txn(spark, d)).select("id", "split")
+
+
+@query("WITH" + SPLIT + """ SELECT split, count(*) AS n, sum(y)::BIGINT AS n_fraud, round(avg(y), 6) AS fraud_rate, min(dt) AS dt_min, max(dt) AS dt_max,
+round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 2) AS fraud_amount, round(sum(amount), 2) AS amount, round((max(dt) - min(dt)) / 86400e0, 6) AS days,
+CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS ord FROM s GROUP BY split""")
+def split_summary(spark, d):
+    return split.split_summary(split.time_split(txn(spark, d)))
+
+
+_VEL = """ SELECT id, count(*) OVER h AS vel_cnt_1h, round(coalesce(sum(amount) OVER h, 0), 2) AS vel_amt_1h, count(*) OVER e AS vel_cnt_24h, round(coalesce(sum(amount) OVER e, 0), 2) AS vel_amt_24h,
+count(*) OVER w AS vel_cnt_7d, round(coalesce(sum(amount) OVER w, 0), 2) AS vel_amt_7d, dt - max(dt) OVER p AS vel_secs_since_prev, count(*) OVER p AS vel_prior_cnt,
+round(coalesce((dt - min(dt) OVER p) / 86400e0, 0), 8) AS vel_tenure_days,
+CASE WHEN count(*) OVER w > 0 THEN round(amount / (sum(amount) OVER w / count(*) OVER w), 6) END AS vel_amt_vs_mean_7d
+FROM txn WINDOW h AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), e AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING),
+w AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY card ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_VEL_COLS = ["id", *[f"vel_{k}_{w}" for w in windows.WINDOWS for k in ("cnt", "amt")], "vel_secs_since_prev", "vel_prior_cnt", "vel_tenure_days", "vel_amt_vs_mean_7d"]
+
+
+@query("WITH" + TXN + _VEL)
+def velocity_full(spark, d):
+    return windows.velocity(txn(spark, d), "card").select(*_VEL_COLS)
+
+
+@query("WITH" + TXN + _VEL)
+def velocity_split_keys(spark, d):
+    """The form for keys with too many rows for one task."""
+    return windows.velocity_split(txn(spark, d), "card").select(*_VEL_COLS)
+
+
+_ORDERS = "WITH txn AS (SELECT o_orderkey AS id, floor(epoch(o_orderdate))::BIGINT AS dt, o_totalprice AS amount, o_custkey AS card FROM orders)"
+
+
+@query(_ORDERS + _VEL)
+def velocity_orders_ties(spark, d):
+    """Day-grain times: many rows share a second."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), views.seconds("o_orderdate").alias("dt"), F.col("o_totalprice").alias("amount"), F.col("o_custkey").alias("card"))
+    return windows.velocity(o, "card").select(*_VEL_COLS)
+
+
+@query("WITH" + TXN + """, f AS (SELECT *, min(dt) OVER (PARTITION BY addr, card) AS f1, row_number() OVER (PARTITION BY addr, card ORDER BY dt, id) AS n1,
+min(dt) OVER (PARTITION BY card, email) AS f2, row_number() OVER (PARTITION BY card, email ORDER BY dt, id) AS n2, min(dt) OVER (PARTITION BY email, card) AS f3, row_number() OVER (PARTITION BY email, card ORDER BY dt, id) AS n3 FROM txn)
+SELECT id, (coalesce(sum(CASE WHEN n1 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY addr ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN f1 >= dt THEN 1 ELSE 0 END)::BIGINT AS cards_per_addr,
+(coalesce(sum(CASE WHEN n2 = 1 AND email IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY card ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN email IS NOT NULL AND f2 >= dt THEN 1 ELSE 0 END)::BIGINT AS emails_per_card,
+CASE WHEN email IS NOT NULL THEN (coalesce(sum(CASE WHEN n3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY email ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN f3 >= dt THEN 1 ELSE 0 END)::BIGINT END AS cards_per_email FROM f""")
+def linkage(spark, d):
+    out = windows.linkage_features(txn(spark, d), [("cards_per_addr", "addr", "card"), ("emails_per_card", "card", "email"), ("cards_per_email", "email", "card")])
+    return out.select("id", "cards_per_addr", "emails_per_card", "cards_per_email")
+
+
+@query("WITH" + TXN + """, k AS (SELECT id, card || '|' || (100 + card % 40) || '|150|' || product || '|' || (200 + card % 3) || '|' || CASE WHEN card % 4 = 0 THEN 'credit' ELSE 'debit' END AS card_key,
+CASE WHEN addr <> 3 THEN addr END AS addr1, CASE WHEN id % 5 <> 0 THEN (floor(dt / 86400) - card % 9)::BIGINT END AS d1n, CASE WHEN email IS NOT NULL THEN email || '|' || CASE WHEN addr = 3 THEN 'nan' ELSE addr::VARCHAR END || '|x|' || product END AS device_fp FROM txn)
+SELECT id, card_key, card_key || '|' || coalesce(addr1::VARCHAR, 'nan') || '|' || coalesce(d1n::VARCHAR, 'nan') AS uid, device_fp FROM k""")
+def card_key_uid(spark, d):
+    t = txn(spark, d).withColumns({
+        "card1": F.col("card").cast("int"), "card2": (F.col("card") % 40 + 100).cast("double"), "card3": F.lit(150.0), "card4": F.col("product"), "card5": (F.col("card") % 3 + 200).cast("float"),
+        "card6": F.when(F.col("card") % 4 == 0, "credit").otherwise("debit"), "addr1": F.when(F.col("addr") != 3, F.col("addr").cast("double")), "D1": F.when(F.col("id") % 5 != 0, (F.col("card") % 9).cast("double")),
+        "DeviceInfo": F.col("email"), "id_30": F.when(F.col("addr") != 3, F.col("addr").cast("string")), "id_31": F.lit("x"), "id_33": F.col("product"),
+    })
+    return keys.add_keys(t, dt="dt").select("id", "card_key", "uid", keys.device_fingerprint().alias("device_fp"))
+
+
+@query("WITH" + TXN + """ SELECT id, round(((round_even(amount * 1000, 0) % 1000) / 1000e0)::FLOAT::DOUBLE, 4) AS cents, (floor(dt / 3600)::BIGINT % 24)::INTEGER AS hour_proxy, floor(dt / 86400)::BIGINT AS day FROM txn""")
+def derived_scalars(spark, d):
+    return txn(spark, d).select("id", F.round(keys.amount_fraction("amount").cast("double"), 4).alias("cents"), keys.hour_of_day("dt").alias("hour_proxy"), keys.relative_day("dt").alias("day"))
+
+
+# ---- encoding and folds ---------------------------------------------------
+
+
+@query("WITH" + SPLIT + """, i AS (SELECT *, coalesce(email, '__nan__') AS x, ceil(rn * 5e0 / (SELECT count(*) FROM tr))::INTEGER - 1 AS f FROM tr),
+pf AS (SELECT a.f, (sum(b.y) * 1e0) / count(*) AS p FROM (SELECT DISTINCT f FROM i) a JOIN i b ON a.f <> b.f GROUP BY a.f),
+cf AS (SELECT a.f, b.x, sum(b.y) AS s, count(*) AS n FROM (SELECT DISTINCT f FROM i) a JOIN i b ON a.f <> b.f GROUP BY 1, 2),
+pp AS (SELECT avg(y) AS p FROM tr), cc AS (SELECT coalesce(email, '__nan__') AS x, sum(y) AS s, count(*) AS n FROM tr GROUP BY 1)
+SELECT i.id, i.split, round(CASE WHEN cf.n IS NULL THEN pf.p ELSE (cf.s + 50 * pf.p) / (cf.n + 50) END, 6) AS te_email FROM i JOIN pf ON pf.f = i.f LEFT JOIN cf ON cf.f = i.f AND cf.x = i.x
+UNION ALL SELECT s.id, s.split, round(CASE WHEN cc.n IS NULL THEN pp.p ELSE (cc.s + 50 * pp.p) / (cc.n + 50) END, 6) FROM s JOIN pp ON true LEFT JOIN cc ON cc.x = coalesce(s.email, '__nan__') WHERE s.split <> 'train'""")
+def target_encoding(spark, d):
+    """Training rows out of fold, others by all training rows; missing is a category."""
+    out = encoding.target_encode(split.time_split(txn(spark, d)), {"email": encoding.category("email")})
+    return out.select("id", "split", "te_email")
+
+
+@query("WITH" + SPLIT + ", v AS (SELECT card FROM tr GROUP BY card HAVING count(*) >= 20) SELECT s.id, CASE WHEN s.card % 10 = 0 THEN NULL WHEN v.card IS NULL THEN '__other__' ELSE s.card::VARCHAR END AS card_cat FROM s LEFT JOIN v ON v.card = s.card AND s.card % 10 <> 0")
+def vocabulary(spark, d):
+    t = split.time_split(txn(spark, d)).withColumn("c", F.when(F.col("card") % 10 != 0, F.col("card").cast("string")))
+    return encoding.apply_vocabulary(t, "c", encoding.fit_vocabulary(t.where("split = 'train'"), "c"), "card_cat").select("id", "card_cat")
+
+
+@query("WITH" + TXN + """, p AS (SELECT *, row_number() OVER (ORDER BY dt, id) - 1 AS i, count(*) OVER () AS n FROM txn), b AS (SELECT *, ceil((i + 1) * 6e0 / n)::INTEGER - 1 AS b FROM p)
+SELECT (v.b - 1) AS fold, (SELECT count(*) FROM b t WHERE t.b < v.b) AS train_n, count(*) AS valid_n, (SELECT max(dt) FROM b t WHERE t.b < v.b) AS train_last, min(dt) AS valid_first, max(dt) AS valid_last FROM b v WHERE v.b >= 1 GROUP BY v.b""")
+def expanding_folds(spark, d):
+    return split.expanding_folds(txn(spark, d))
+
+
+# ---- profile --------------------------------------------------------------
+
+_ENRICHED = "WITH e AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _enriched(spark, d, check: bool = True):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return enrich(docs, table(spark, d, "labels"), "doc_id", check)
+
+
+@query(_ENRICHED + " SELECT * FROM e")
+def identity_join(spark, d):
+    return _enriched(spark, d).select("doc_id", "lang", "source", "n_chars", "quality", "toxic")
+
+
+@query(_ENRICHED + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0 END), 6) AS missing_rate FROM e" for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic")))
+def missingness(spark, d):
+    return profile.missingness(_enriched(spark, d), ["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
+
+
+@query(_ENRICHED + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM e" for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic")))
+def cardinality(spark, d):
+    return profile.cardinality(_enriched(spark, d), ["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
+
+
+@query("WITH" + TXN + ", m AS (SELECT min(floor(dt / 86400)) AS d0 FROM txn) SELECT floor((floor(dt / 86400) - d0) / 30)::BIGINT AS period, count(*) AS n, round(avg(y), 6) AS fraud_rate, min(dt) AS dt_min, max(dt) AS dt_max FROM txn, m GROUP BY 1")
+def class_balance_period(spark, d):
+    return profile.class_balance_by_period(txn(spark, d))
+
+
+@query("WITH" + TXN + " SELECT count(*) AS n_rows, 10 AS n_cols, sum(y)::BIGINT AS n_fraud, round(avg(y), 6) AS fraud_rate, round((max(dt) - min(dt)) / 86400e0, 6) AS span_days, round(avg(CASE WHEN email IS NOT NULL THEN 1e0 ELSE 0 END), 6) AS identity_match_rate FROM txn")
+def dataset_scalars(spark, d):
+    return profile.scalars(txn(spark, d), identity="email")
+
+
+# ---- selection ------------------------------------------------------------
+
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("WITH l AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_tax END AS tax_n, 1e0 AS one FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round({'max(NULL::DOUBLE)' if b == 'one' else f'corr({a}, {b})'}, 6) AS corr FROM l" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "tax_n"), ("l_quantity", "one"))))
+def correlation_pairs(spark, d):
+    li = table(spark, d, "lineitem").withColumns({"tax_n": F.when(F.col("l_linenumber") != 3, F.col("l_tax")), "one": F.lit(1.0)})
+    return selection.correlations(li, [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "tax_n"), ("l_quantity", "one")])
+
+
+def _auc_sql(col: str) -> str:
+    return f"""SELECT '{col}' AS "column", round(abs((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y)) * 1e0) - 5e-1), 6) AS strength
+FROM (SELECT y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS r FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, coalesce({col}, -999) AS v FROM lineitem))"""
+
+
+@query(" UNION ALL ".join(_auc_sql(c) for c in _LINE))
+def auc_screen(spark, d):
+    li = table(spark, d, "lineitem").withColumn("y", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    return selection.auc_screen(li, _LINE)
+
+
+# ---- ranking metrics ------------------------------------------------------
+
+_CURVE = "WITH" + TXN + """, sc AS (SELECT {by}score, sum(y) AS p, count(*) AS c FROM {rows} GROUP BY {by}score),
+cu AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS k, sum(p) OVER () AS pa, sum(c) OVER () AS na FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+_COARSE = "(SELECT id, dt, y, round(score, 2) AS score FROM txn)"
+
+
+def _coarse(spark, d):
+    """Scores of two decimals, so that many are tied."""
+    return txn(spark, d).withColumn("score", F.round("score", 2))
+
+
+_AUC = "round(sum((c - p) * (tp - p / 2e0)) / (max(pa) * (max(na) - max(pa)) * 1e0), 6) AS roc_auc, round(sum(p * tp / k::DOUBLE) / max(pa), 6) AS pr_auc"
+
+
+@query(_CURVE.format(by="", rows=_COARSE) + f" SELECT max(na)::BIGINT AS n, max(pa)::BIGINT AS n_pos, {_AUC} FROM cu")
+def ranking_scores(spark, d):
+    return metrics.ranking_scores(_coarse(spark, d))
+
+
+@query(_CURVE.format(by="", rows="txn") + ", o AS (SELECT y, row_number() OVER (ORDER BY score DESC, dt, id) AS r, count(*) OVER () AS n FROM txn), " + ", ".join(f"t{i} AS (SELECT sum(CASE WHEN r <= ceil(n * {f}) THEN y END) / max(ceil(n * {f})) AS p, sum(CASE WHEN r <= ceil(n * {f}) THEN y END) / (sum(y) * 1e0) AS q FROM o)" for i, f in ((1, "1e-2"), (5, "5e-2"))) + f" SELECT max(na)::BIGINT AS n, max(pa)::BIGINT AS n_pos, {_AUC}, " + ", ".join(f"round((SELECT p FROM t{i}), 6) AS precision_at_{i}pct, round((SELECT q FROM t{i}), 6) AS recall_at_{i}pct" for i in (1, 5)) + " FROM cu")
+def ranking_metrics(spark, d):
+    return metrics.ranking_metrics(txn(spark, d))
+
+
+@query("WITH" + TXN + ", o AS (SELECT id, y, row_number() OVER (ORDER BY round(score, 2) DESC, dt, id) AS r FROM txn) SELECT 250::BIGINT AS k, round(sum(y) / 250e0, 6) AS precision, round(sum(y) / ((SELECT sum(y) FROM txn) * 1e0), 6) AS recall FROM o WHERE r <= 250")
+def precision_recall_topk(spark, d):
+    return metrics.precision_recall_at(_coarse(spark, d), k=250)
+
+
+@query(_CURVE.format(by="", rows=_COARSE) + " SELECT score AS threshold, round(tp / (pa * 1e0), 6) AS tpr, round((k - tp) / ((na - pa) * 1e0), 6) AS fpr FROM cu")
+def roc_curve(spark, d):
+    return metrics.roc_curve(_coarse(spark, d))
+
+
+@query(_CURVE.format(by="", rows=_COARSE) + " SELECT score AS threshold, round(tp / (k * 1e0), 6) AS precision, round(tp / (pa * 1e0), 6) AS recall FROM cu")
+def pr_curve(spark, d):
+    return metrics.pr_curve(_coarse(spark, d))
+
+
+@query(_CURVE.format(by="", rows=_COARSE) + " SELECT score AS t_youden FROM cu ORDER BY tp * (na - pa) - (k - tp) * pa DESC, score LIMIT 1")
+def youden(spark, d):
+    return metrics.youden_threshold(_coarse(spark, d))
+
+
+# ---- thresholds and policies ----------------------------------------------
+
+
+def _grid(spark):
+    return th.literal_grid(spark, decision.GRID)
+
+
+@query("WITH" + TXN + STATS.format(rows="txn") + """, a AS (SELECT count(*) AS n, sum(y) AS p, sum(CASE WHEN y = 1 THEN amount ELSE 0 END) AS fa FROM txn)
+SELECT t, k AS n_declined, round(k / (n * 1e0), 6) AS decline_rate, round(a.fa - (st.fa - 2e-2 * la - 10e0 * lc), 2) AS cost, round(st.fa - 2e-2 * la - 10e0 * lc, 2) AS net_benefit, round((st.fa - 2e-2 * la - 10e0 * lc) * 1000 / n, 2) AS net_benefit_per_1000,
+round(fc / (p * 1e0), 6) AS tpr, round(lc / ((n - p) * 1e0), 6) AS fpr, round(st.fa / a.fa, 6) AS fraud_capture_dollars FROM st, a""")
+def single_sweep(spark, d):
+    return th.single_sweep(th.cum_stats(txn(spark, d), _grid(spark)), P)
+
+
+@query("WITH" + TXN + STATS.format(rows="txn") + ", nb AS (SELECT t, fa - 2e-2 * la - 10e0 * lc AS nb FROM st) SELECT max(t) AS t_profit FROM nb WHERE nb >= (SELECT max(nb) FROM nb) - 1e-9")
+def profit_optimal(spark, d):
+    return th.profit_optimal(th.single_sweep(th.cum_stats(txn(spark, d), _grid(spark)), P))
+
+
+@query("WITH" + TXN + ", q AS (SELECT unnest(quantile_cont(round(score, 2), [0.0, 0.25, 0.5, 0.75, 1.0])) AS t FROM txn UNION ALL SELECT i / 10e0 FROM range(0, 11) AS r(i)) SELECT DISTINCT round(t, 6) AS t FROM q")
+def threshold_grid(spark, d):
+    """Quantiles and the even grid; the tail quantiles and infinity are left to tests."""
+    c = _coarse(spark, d)
+    q = c.groupBy("score").agg(F.count("*").alias("c")).select(F.explode(F.percentile("score", F.array(*[F.lit(i / 4) for i in range(5)]), F.col("c"))).alias("t"))
+    return q.union(th.literal_grid(spark, [i / 10 for i in range(11)])).select(F.round("t", 6).alias("t")).distinct()
+
+
+@query("WITH" + CHOSEN + " SELECT round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(nb, 2) AS net_benefit, rev AS n_reviews FROM pair")
+def three_way(spark, d):
+    train, valid, _ = decision.parts(split.time_split(txn(spark, d)))
+    limit = policy.max_reviews_per_day(train).join(F.broadcast(policy.split_days(valid))).select(F.col("cap") * F.col("days"))
+    return th.three_way(th.cum_stats(valid, _grid(spark)), P, limit).select("t_review", "t_decline", "net_benefit", "n_reviews")
+
+
+@query("WITH" + CHOSEN + " SELECT round(t_youden, 6) AS t_youden, round(t_profit, 6) AS t_profit, round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(cap, 6) AS cap FROM you, prof, pair, cap")
+def select_policies(spark, d):
+    return decision.decided(spark, d)[1]
+
+
+_COST = "CASE WHEN {d} = 1 THEN 5e0 + CASE WHEN y = 1 THEN (1 - 85e-2) * amount ELSE 0 END WHEN {d} = 0 AND y = 1 THEN amount WHEN {d} = 2 AND y = 0 THEN 2e-2 * amount + 10e0 ELSE 0 END"
+
+
+@query("WITH" + CHOSEN + f" SELECT id, d_profit_three_way AS decision, round({_COST.format(d='d_profit_three_way')}, 2) AS cost, round(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_three_way')}, 2) AS benefit FROM dec")
+def row_costs(spark, d):
+    t = decision.decided(spark, d)[0]
+    return t.select("id", F.col("dec_profit_three_way").cast("int").alias("decision"), row_cost("dec_profit_three_way", "y", "amount", P).alias("cost"), row_benefit("dec_profit_three_way", "y", "amount", P).alias("benefit"))
+
+
+def _summary_sql(name: str, i: int) -> str:
+    d = f"d_{name}"
+    return f"""SELECT '{name}' AS policy, count(*) AS n, round(sum(c), 2) AS total_cost, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 2) AS approve_all_cost,
+round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c), 2) AS net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c) * 1000 / count(*), 2) AS net_benefit_per_1000,
+round(avg(CASE WHEN d = 2 THEN 1e0 ELSE 0 END), 6) AS decline_rate, round(avg(CASE WHEN d = 1 THEN 1e0 ELSE 0 END), 6) AS review_rate,
+round(avg(CASE WHEN y = 0 THEN CASE WHEN d = 2 THEN 1e0 ELSE 0 END END), 6) AS good_customer_disruption_rate, round(avg(CASE WHEN y = 0 THEN CASE WHEN d = 1 THEN 1e0 ELSE 0 END END), 6) AS good_customer_review_rate,
+round(avg(CASE WHEN y = 1 THEN w END), 6) AS fraud_capture_rate_count, round(sum(CASE WHEN y = 1 THEN w * amount END) / sum(CASE WHEN y = 1 THEN amount END), 6) AS fraud_capture_rate_dollars,
+round(sum(CASE WHEN y = 1 THEN c ELSE 0 END), 2) AS fraud_loss_remaining, round(sum(CASE WHEN y = 0 AND d = 2 THEN c ELSE 0 END), 2) AS false_decline_cost, round(count(CASE WHEN d = 1 THEN 1 END) * 5e0, 2) AS review_cost_total,
+count(CASE WHEN d = 2 THEN 1 END) AS n_declined, count(CASE WHEN d = 1 THEN 1 END) AS n_reviewed, count(CASE WHEN d = 2 AND y = 0 THEN 1 END) AS n_false_declines,
+round(count(CASE WHEN d = 1 THEN 1 END) / ((max(dt) - min(dt)) / 86400e0), 6) AS reviews_per_day, {i} AS ord
+FROM (SELECT *, {d} AS d, {_COST.format(d=d)} AS c, CASE {d} WHEN 2 THEN 1e0 WHEN 1 THEN 85e-2 ELSE 0e0 END AS w FROM dec)"""
+
+
+@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_summary_sql(n, i + 1) for i, n in enumerate(policy.POLICIES)))
+def headline_policies(spark, d):
+    return policy.evaluate_policies(decision.decided(spark, d)[0], P)
+
+
+@query("WITH" + CHOSEN + ", f AS (SELECT y, d_rules = 2 AS flag FROM dec), sc AS (SELECT flag::INTEGER AS score, sum(y) AS p, count(*) AS c FROM f GROUP BY 1), cv AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS k, sum(p) OVER () AS pa, sum(c) OVER () AS na FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT (SELECT count(*) FROM f WHERE flag) AS n_flagged, round((SELECT avg(flag::INTEGER) FROM f), 6) AS flag_rate, round((SELECT avg(y) FROM f WHERE flag), 6) AS precision, round((SELECT sum(y) FROM f WHERE flag) / (SELECT sum(y) * 1e0 FROM f), 6) AS recall, ".replace(", sc AS", ", sc2 AS").replace("FROM sc WINDOW", "FROM sc2 WINDOW") + _AUC.replace("AS roc_auc", "AS roc_auc_degenerate").replace("AS pr_auc", "AS pr_auc_degenerate") + " FROM cv")
+def rules_baseline(spark, d):
+    return metrics.rule_metrics(decision.decided(spark, d)[0], "rules")
+
+
+_DAILY = ", dd AS (SELECT floor((dt - (SELECT min(dt) FROM dec)) / 86400e0)::BIGINT AS day, count(CASE WHEN d_profit_three_way = 1 THEN 1 END) AS reviews FROM dec GROUP BY 1)"
+
+
+@query("WITH" + CHOSEN + _DAILY + " SELECT day, reviews FROM dd")
+def reviews_per_day(spark, d):
+    return policy.reviews_per_day(decision.decided(spark, d)[0], "dec_profit_three_way")
+
+
+@query("WITH" + CHOSEN + _DAILY + " SELECT max(reviews) AS reviews_max, round(quantile_cont(reviews, 0.95), 6) AS reviews_p95, count(CASE WHEN reviews > cap THEN 1 END) AS days_over_capacity, count(*) AS n_days FROM dd, cap")
+def review_load(spark, d):
+    t, chosen, *_ = decision.decided(spark, d)
+    return policy.review_load(policy.reviews_per_day(t, "dec_profit_three_way"), chosen.select("cap"))
+
+
+@query("WITH" + CHOSEN + _DAILY + ", o AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM dd, cap WHERE reviews > cap) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS length FROM o GROUP BY g HAVING count(*) >= 1")
+def capacity_breach_runs(spark, d):
+    t, chosen, *_ = decision.decided(spark, d)
+    return drift.breach_runs(policy.reviews_per_day(t, "dec_profit_three_way"), chosen.select("cap"), 1)
+
+
+_SHARES = ((0.005, "5e-3"), (0.01, "1e-2"), (0.02, "2e-2"))
+
+
+def _capacity_sql(sh: str) -> str:
+    return f"""SELECT {sh} AS share, rt AS t_review, dt_ AS t_decline, round(nb, 2) AS valid_net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d')}), 2) AS test_net_benefit, count(CASE WHEN d = 1 THEN 1 END) AS n_reviewed
+FROM (SELECT te.y, te.amount, b.*, CASE WHEN score >= dt_ THEN 2 WHEN score >= rt THEN 1 ELSE 0 END AS d FROM te, (SELECT rt, dt AS dt_, nb FROM pall, lim WHERE rev <= lim * {sh} / 1e-2 AND nb >= (SELECT max(nb) FROM pall, lim WHERE rev <= lim * {sh} / 1e-2) - 1e-9 ORDER BY rev, dt DESC, rt LIMIT 1) b) GROUP BY rt, dt_, nb"""
+
+
+_PALL = """, pall AS (SELECT r.t AS rt, d.t AS dt, r.k - d.k AS rev, d.fa + 85e-2 * (r.fa - d.fa) - 2e-2 * d.la - 10e0 * d.lc - 5e0 * (r.k - d.k) AS nb FROM st r, st d WHERE r.t <= d.t AND r.k >= d.k)"""
+
+
+@query("WITH" + CHOSEN + _PALL + " " + " UNION ALL ".join(f"SELECT * FROM ({_capacity_sql(s)})" for _, s in _SHARES))
+def capacity_sensitivity(spark, d):
+    train, valid, test = decision.parts(split.time_split(txn(spark, d)))
+    return policy.capacity_sensitivity(valid, train, test, P, [s for s, _ in _SHARES], _grid(spark))
+
+
+def _swap_sql(name: str, cond: str) -> str:
+    prods = ", ".join(f"round(avg(CASE WHEN product = '{v}' THEN 1e0 ELSE 0 END), 6) AS product_{v}" for v in ("click", "purchase"))
+    return f"""SELECT '{name}' AS "set", count(*) AS n, round(avg(y), 6) AS fraud_rate, sum(y)::BIGINT AS n_fraud, round(sum(amount), 4) AS amount_total, round(quantile_cont(amount, 0.25), 4) AS amount_p25, round(median(amount), 4) AS amount_median,
+round(quantile_cont(amount, 0.75), 4) AS amount_p75, round(quantile_cont(amount, 0.95), 4) AS amount_p95, round(median(tenure), 6) AS tenure_days_median, round(avg(CASE WHEN prior_cnt = 0 THEN 1e0 ELSE 0 END), 6) AS share_new_card, {prods} FROM dec WHERE {cond}"""
+
+
+@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_swap_sql(n, f"d_profit_single = {a} AND d_youden_single = {b}") for n, a, b in zip(swap.SETS, (0, 2, 2, 0), (2, 0, 2, 0), strict=True)), money=4)
+def swap_sets(spark, d):
+    return swap.characterise(decision.decided(spark, d)[0], "dec_profit_single", "dec_youden_single", products=["click", "purchase"])
+
+
+@query("WITH" + CHOSEN + f""", b AS (SELECT y, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_single')} AS bp, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_youden_single')} AS by_, d_profit_single AS dp, d_youden_single AS dy, dt FROM dec),
+s2 AS (SELECT t, coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) - 2e-2 * coalesce(sum(CASE WHEN y = 0 THEN amount END), 0) - 10e0 * count(CASE WHEN y = 0 THEN 1 END) AS nb FROM grid LEFT JOIN te ON score >= t GROUP BY t),
+orc AS (SELECT t, nb FROM s2 WHERE nb >= (SELECT max(nb) FROM s2) - 1e-9 ORDER BY t DESC LIMIT 1)
+SELECT round(max(t_profit) - max(t_youden), 6) AS threshold_gap, max(orc.t) AS t_oracle, round(max(orc.nb) * 1000 / count(*), 2) AS oracle_net_benefit_per_1000, round(avg(bp - by_) * 1000, 4) AS left_on_table_per_1000, round(sum(bp - by_), 4) AS left_on_table_total,
+round(sum(bp - by_) / ((max(dt) - min(dt)) / 86400e0), 4) AS left_on_table_per_day, round(avg(CASE WHEN dy = 2 THEN 1e0 ELSE 0 END) / greatest(avg(CASE WHEN dp = 2 THEN 1e0 ELSE 0 END), 1e-12), 6) AS decline_rate_ratio,
+count(CASE WHEN dy = 2 AND y = 0 THEN 1 END) - count(CASE WHEN dp = 2 AND y = 0 THEN 1 END) AS false_declines_avoided FROM b, prof, you, orc""")
+def auc_versus_profit(spark, d):
+    t, chosen, _, _, grid = decision.decided(spark, d)
+    out = policy.auc_versus_profit(policy.evaluate_policies(t, P), chosen, t, P, grid, policy.split_days(t))
+    return out.withColumns({c: F.round(c, 4) for c in ("left_on_table_per_1000", "left_on_table_total", "left_on_table_per_day")})
+
+
+# ---- sensitivity ----------------------------------------------------------
+
+_CELLS = {"margin_rate": [0.01, 0.05], "churn_penalty": [0.0, 10.0, 50.0], "review_cost": [1.0, 20.0], "review_catch_rate": [0.5, 0.85]}
+_SENS = CHOSEN + _PALL + ", " + ", ".join(f"c{i} AS (SELECT unnest({v!r})::DOUBLE AS {k})" for i, (k, v) in enumerate(_CELLS.items())) + """,
+cells AS (SELECT * FROM c0, c1, c2, c3),
+vs AS (SELECT cells.*, t, fa - margin_rate * la - churn_penalty * lc AS nb FROM st, cells),
+ps AS (SELECT margin_rate, churn_penalty, review_cost, review_catch_rate, max(t) AS t_profit_single FROM (SELECT *, max(nb) OVER (PARTITION BY margin_rate, churn_penalty, review_cost, review_catch_rate) AS m FROM vs) WHERE nb >= m - 1e-9 GROUP BY 1, 2, 3, 4),
+pv AS (SELECT cells.*, r.t AS rt, d.t AS dt, r.k - d.k AS rev, d.fa + review_catch_rate * (r.fa - d.fa) - margin_rate * d.la - churn_penalty * d.lc - review_cost * (r.k - d.k) AS nb FROM st r, st d, lim, cells WHERE r.t <= d.t AND r.k >= d.k AND r.k - d.k <= lim),
+pb AS (SELECT *, row_number() OVER (PARTITION BY margin_rate, churn_penalty, review_cost, review_catch_rate ORDER BY rev, dt DESC, rt) AS o FROM (SELECT *, max(nb) OVER (PARTITION BY margin_rate, churn_penalty, review_cost, review_catch_rate) AS m FROM pv) WHERE nb >= m - 1e-9),
+ts AS (SELECT t, count(id) AS k, count(CASE WHEN y = 0 THEN 1 END) AS lc, coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) AS fa, coalesce(sum(CASE WHEN y = 0 THEN amount END), 0) AS la FROM (SELECT t FROM grid UNION SELECT t_youden FROM you) g LEFT JOIN te ON score >= t GROUP BY t),
+ru AS (SELECT coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) AS fa, coalesce(sum(CASE WHEN y = 0 THEN amount END), 0) AS la, count(CASE WHEN y = 0 THEN 1 END) AS lc FROM dec WHERE d_rules = 2),
+nn AS (SELECT count(*) AS n FROM te),
+sens AS (
+  SELECT ps.*, rt AS t_review, pb.dt AS t_decline,
+    (d.fa + ps.review_catch_rate * (r.fa - d.fa) - ps.margin_rate * d.la - ps.churn_penalty * d.lc - ps.review_cost * (r.k - d.k)) / n * 1000 AS nb1000_profit_three_way,
+    (s1.fa - ps.margin_rate * s1.la - ps.churn_penalty * s1.lc) / n * 1000 AS nb1000_profit_single, (yy.fa - ps.margin_rate * yy.la - ps.churn_penalty * yy.lc) / n * 1000 AS nb1000_youden_single,
+    (ru.fa - ps.margin_rate * ru.la - ps.churn_penalty * ru.lc) / n * 1000 AS nb1000_rules
+  FROM ps JOIN pb USING (margin_rate, churn_penalty, review_cost, review_catch_rate) JOIN ts r ON r.t = rt JOIN ts d ON d.t = pb.dt JOIN ts s1 ON s1.t = t_profit_single, you JOIN ts yy ON yy.t = t_youden, ru, nn WHERE o = 1
+)"""
+
+
+def _sensitivity(spark, d):
+    t, chosen, train, valid, grid = decision.decided(spark, d)
+    limit = chosen.select("cap").join(F.broadcast(policy.split_days(valid))).select(F.col("cap") * F.col("days"))
+    return sensitivity.run(sensitivity.cost_cells(spark, _CELLS), valid, t, grid, grid, limit, chosen.select("t_youden"), "rules")
+
+
+@query("WITH" + _SENS + " SELECT margin_rate, churn_penalty, review_cost, review_catch_rate, t_profit_single, t_review, t_decline, round(nb1000_profit_three_way, 2) AS nb1000_profit_three_way, round(nb1000_profit_single, 2) AS nb1000_profit_single, round(nb1000_youden_single, 2) AS nb1000_youden_single, round(nb1000_rules, 2) AS nb1000_rules FROM sens")
+def sensitivity_grid(spark, d):
+    out = _sensitivity(spark, d)
+    return out.withColumns({c: F.round(c, 2) for c in out.columns if c.startswith("nb1000")})
+
+
+@query("WITH" + _SENS + """, f AS (SELECT nb1000_profit_three_way >= nb1000_profit_single - 1e-9 AS a, nb1000_profit_single > nb1000_youden_single AS b, nb1000_profit_three_way > nb1000_rules AS c, nb1000_profit_three_way > 0 AS p, nb1000_youden_single > 0 AS q FROM sens)
+SELECT count(*) AS n_cells, round(avg(a::INTEGER), 6) AS share_three_way_ge_single, round(avg(b::INTEGER), 6) AS share_single_gt_youden, round(avg(c::INTEGER), 6) AS share_model_gt_rules, round(avg((a AND b AND c)::INTEGER), 6) AS share_all_orderings, round(avg(p::INTEGER), 6) AS share_three_way_positive, round(avg(q::INTEGER), 6) AS share_youden_positive FROM f""")
+def ranking_stability(spark, d):
+    return sensitivity.ranking_stability(_sensitivity(spark, d))
+
+
+@query("WITH" + _SENS + " SELECT churn_penalty, round(avg(CASE WHEN margin_rate = 1e-2 THEN nb1000_profit_three_way END), 2) AS c0, round(avg(CASE WHEN margin_rate = 5e-2 THEN nb1000_profit_three_way END), 2) AS c1 FROM sens GROUP BY 1")
+def sensitivity_pivot(spark, d):
+    out = sensitivity.pivot(_sensitivity(spark, d), "churn_penalty", "margin_rate", F.col("nb1000_profit_three_way"), _CELLS["margin_rate"])
+    return out.withColumns({c: F.round(c, 2) for c in ("c0", "c1")})
+
+
+# ---- bootstrap ------------------------------------------------------------
+
+_DRAWS = """, bi AS (SELECT *, row_number() OVER (ORDER BY dt, id) - 1 AS i, count(*) OVER () AS nn FROM {rows}),
+dr AS (SELECT b, ('0x' || substr(md5('7:' || b::VARCHAR || ':' || j::VARCHAR), 1, 8))::BIGINT % n AS i FROM range(0, 20) AS r1(b), (SELECT count(*) AS n FROM {rows}) c, LATERAL (SELECT unnest(range(0, n)) AS j) l),
+wt AS (SELECT b, i, count(*) AS w FROM dr GROUP BY b, i)"""
+_CI = "SELECT round(quantile_cont(value, 0.025), {r}) AS ci_low, round(quantile_cont(value, 0.975), {r}) AS ci_high, count(value) AS n_boot_valid, quantile_cont(value, 0.025) > 0 OR quantile_cont(value, 0.975) < 0 AS excludes_zero FROM v"
+
+
+def _boot(df):
+    return bootstrap.draws(df, 20, 7)
+
+
+@query("WITH" + CHOSEN + _DRAWS.format(rows="dec") + f", v AS (SELECT b, 1000e0 * sum(({_COST.format(d='d_youden_single')} - ({_COST.format(d='d_profit_single')})) * w) / sum(w) AS value FROM bi JOIN wt USING (i) GROUP BY b) " + _CI.format(r=4), digits=4)
+def bootstrap_mean_diff(spark, d):
+    t = policy.benefits(decision.decided(spark, d)[0], P)
+    return bootstrap.interval(bootstrap.mean_diff(_boot(t), "ben_profit_single", "ben_youden_single", 1000), "value", 20)
+
+
+@query("WITH" + CHOSEN + _DRAWS.format(rows="te") + ", v AS (SELECT b, sum(CASE WHEN score >= 5e-1 THEN y * w END) / sum(CASE WHEN score >= 5e-1 THEN w END)::DOUBLE - sum(CASE WHEN score_b >= 5e-1 THEN y * w END) / sum(CASE WHEN score_b >= 5e-1 THEN w END)::DOUBLE AS value FROM bi JOIN wt USING (i) GROUP BY b) " + _CI.format(r=6))
+def bootstrap_ratio_diff(spark, d):
+    t = decision.parts(split.time_split(txn(spark, d)))[2].withColumns({"fa": F.col("score") >= 0.5, "fb": F.col("score_b") >= 0.5})
+    return bootstrap.interval(bootstrap.ratio_diff(_boot(t), "fa", "fb", "precision"), "value", 20)
+
+
+def _weighted_ap(score: str, name: str) -> str:
+    return f"""{name}s AS (SELECT b, {score} AS s, sum(y * w) AS p, sum(w) AS c FROM bi JOIN wt USING (i) GROUP BY 1, 2),
+{name}c AS (SELECT *, sum(p) OVER x AS tp, sum(c) OVER x AS k FROM {name}s WINDOW x AS (PARTITION BY b ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), {name} AS (SELECT b, sum(p * tp / k::DOUBLE) / sum(p) AS ap FROM {name}c GROUP BY b)"""
+
+
+@query("WITH" + SPLIT + _DRAWS.format(rows="te") + f", {_weighted_ap('score', 'wa')}, {_weighted_ap('score_b', 'wb')}, v AS (SELECT wa.ap - wb.ap AS value FROM wa JOIN wb USING (b)) " + _CI.format(r=6))
+def bootstrap_metric_diff(spark, d):
+    t = decision.parts(split.time_split(txn(spark, d)))[2].select("id", "dt", "y", "score", "score_b")
+    return bootstrap.interval(bootstrap.metric_diff(_boot(t), "score", "score_b"), "value", 20)
+
+
+# ---- drift ----------------------------------------------------------------
+
+
+def _psi_sql(name: str, col: str) -> str:
+    return f"""{name}e AS (SELECT list_sort(list_distinct(list_transform(quantile_cont({col}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 3)))) AS e FROM tr),
+{name}b AS (SELECT split, CASE WHEN {col} IS NULL THEN len(e) + 1 ELSE len(list_filter(e, lambda x: x <= {col})) END AS bin FROM s, {name}e WHERE split <> 'valid'),
+{name}n AS (SELECT sum((split = 'train')::INTEGER) AS r, sum((split = 'test')::INTEGER) AS c FROM {name}b),
+{name}q AS (SELECT greatest(count(CASE WHEN split = 'train' THEN 1 END) / (SELECT r FROM {name}n)::DOUBLE, 1e-4) AS e, greatest(count(CASE WHEN split = 'test' THEN 1 END) / (SELECT c FROM {name}n)::DOUBLE, 1e-4) AS a
+  FROM (SELECT unnest(range(0, len(e) + 2)) AS g FROM {name}e) LEFT JOIN {name}b ON bin = g GROUP BY g)"""
+
+
+_BAND = "CASE WHEN psi >= 25e-2 THEN 'significant' WHEN psi >= 1e-1 THEN 'moderate' ELSE 'stable' END"
+_PSI = SPLIT + ", " + ", ".join(_psi_sql(n, c) for n, c in (("x1", "amount"), ("x2", "dt"), ("x3", "addr_n"))) + """,
+cat AS (SELECT CASE WHEN email IS NULL THEN 'm' WHEN NOT EXISTS (SELECT 1 FROM tr WHERE tr.email = s.email) THEN 'u' ELSE 'v' || email END AS bin, split FROM s WHERE split <> 'valid'),
+x4q AS (SELECT greatest(count(CASE WHEN split = 'train' THEN 1 END) / (SELECT count(*) FROM tr)::DOUBLE, 1e-4) AS e, greatest(count(CASE WHEN split = 'test' THEN 1 END) / (SELECT count(*) FROM te)::DOUBLE, 1e-4) AS a FROM cat GROUP BY bin),
+fp AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, sum((a - e) * ln(a / e)) AS psi FROM {n}q" for n, f in (("x1", "amount"), ("x2", "dt"), ("x3", "addr_n"), ("x4", "email"))) + ")"
+_PSI = _PSI.replace("tr AS (SELECT * FROM s", "s0 AS (SELECT 1), tr AS (SELECT * FROM s").replace("AS split FROM pos, cut)", "AS split, CASE WHEN addr <> 2 THEN addr::DOUBLE END AS addr_n FROM pos, cut)")
+
+
+def _feature_psi(spark, d):
+    t = split.time_split(txn(spark, d)).withColumn("addr_n", F.when(F.col("addr") != 2, F.col("addr").cast("double")))
+    train, _, test = decision.parts(t)
+    return drift.feature_psi(train, test, ["amount", "dt", "addr_n"], ["email"], digits=3)
+
+
+@query("WITH" + _PSI + f" SELECT feature, round(psi, 6) AS psi, {_BAND} AS band FROM fp")
+def feature_psi(spark, d):
+    return _feature_psi(spark, d)
+
+
+@query("WITH" + _PSI + f", bb AS (SELECT psi, {_BAND} AS band FROM fp) SELECT count(*) AS n_features, count(CASE WHEN band = 'significant' THEN 1 END) AS n_significant, count(CASE WHEN band = 'moderate' THEN 1 END) AS n_moderate, count(CASE WHEN band = 'stable' THEN 1 END) AS n_stable, round(max(psi), 6) AS max_psi FROM bb")
+def monitor_rollup(spark, d):
+    return drift.monitor_rollup(_feature_psi(spark, d))
+
+
+@query("WITH" + SPLIT + """, ee AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 3)))) AS e FROM va),
+w AS (SELECT te.*, floor((dt - (SELECT min(dt) FROM te)) / 604800e0)::BIGINT AS win FROM te),
+rb AS (SELECT len(list_filter(e, lambda x: x <= score)) AS bin, count(*) AS n FROM va, ee GROUP BY 1), cb AS (SELECT win, len(list_filter(e, lambda x: x <= score)) AS bin, count(*) AS n FROM w, ee GROUP BY 1, 2),
+sp AS (SELECT DISTINCT win, g FROM w, (SELECT unnest(range(0, len(e) + 2)) AS g FROM ee)), wn AS (SELECT win, count(*) AS n FROM w GROUP BY 1),
+q AS (SELECT sp.win, greatest(coalesce(rb.n, 0) / (SELECT count(*) FROM va)::DOUBLE, 1e-4) AS e, greatest(coalesce(cb.n, 0) / wn.n::DOUBLE, 1e-4) AS a FROM sp JOIN wn ON wn.win = sp.win LEFT JOIN rb ON rb.bin = g LEFT JOIN cb ON cb.bin = g AND cb.win = sp.win),
+ps AS (SELECT win, sum((a - e) * ln(a / e)) AS psi FROM q GROUP BY win),
+sc AS (SELECT win, score, sum(y) AS p, count(*) AS c FROM w GROUP BY 1, 2), cu AS (SELECT *, sum(p) OVER x AS tp, sum(c) OVER x AS k FROM sc WINDOW x AS (PARTITION BY win ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT win, CASE WHEN sum(p) > 0 AND sum(c) > sum(p) THEN sum(p * tp / k::DOUBLE) / sum(p) END AS ap FROM cu GROUP BY win)
+SELECT w.win AS "window", count(*) AS n, round((min(dt) - (SELECT min(dt) FROM te)) / 86400e0, 6) AS days_from_start, round(avg(score), 6) AS mean_score, round(quantile_cont(score, 0.99), 6) AS p99_score, round(avg(CASE WHEN score >= 8e-1 THEN 1e0 ELSE 0 END), 6) AS decline_rate,
+round(avg(CASE WHEN score >= 6e-1 AND score < 8e-1 THEN 1e0 ELSE 0 END), 6) AS review_rate, round(avg(y), 6) AS fraud_rate, round(max(ap.ap), 6) AS pr_auc, round(max(ps.psi), 6) AS psi, CASE WHEN max(ps.psi) >= 25e-2 THEN 'significant' WHEN max(ps.psi) >= 1e-1 THEN 'moderate' ELSE 'stable' END AS band
+FROM w JOIN ap ON ap.win = w.win JOIN ps ON ps.win = w.win GROUP BY w.win""")
+def score_stability(spark, d):
+    _, valid, test = decision.parts(split.time_split(txn(spark, d)))
+    return drift.score_stability(valid, test, 0.8, 0.6, digits=3)
+
+
+# ---- models and synthetic source (no SQL form) ----------------------------
+
+
+@query()
+def gbt_scores(spark, d):
+    """Test scores of a small boosted model on velocity features."""
+    t = split.time_split(windows.velocity(txn(spark, d), "card"))
+    spec = gbt.Spec(["amount", "vel_cnt_24h", "vel_amt_7d", "vel_secs_since_prev", "vel_tenure_days"], ["product"])
+    train, _, test = decision.parts(t)
+    model = gbt.fit(train.select("id", "y", *spec.numeric, *spec.categorical), spec, rounds=5, depth=3)
+    return gbt.predict(model, test.select("id", "y", *spec.numeric, *spec.categorical), spec, "model_score").select("id", "y", "model_score")
+
+
+@query()
+def synthetic_source(spark, d):
+    """The synthetic tables joined as the real ones are, profiled by split."""
+    tx, ids = make_raw(spark, 5000, 1, 8)
+    t = enrich(tx, ids, "TransactionID", False).withColumnsRenamed({"TransactionID": "id", "TransactionDT": "dt", "TransactionAmt": "amount", "isFraud": "y"})
+    return split.split_summary(split.time_split(t))
