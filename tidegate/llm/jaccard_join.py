@@ -63,7 +63,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(n: int, bands: int, rows: int):
     def run(batches):
-        for part in _bytes.slices(batches, 1 << 20):
+        for part in _bytes.slices(batches, 1 << 19):
             sets = _bytes.shingle_sets(part.column(1), n)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sig = [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets]
@@ -188,7 +188,7 @@ def _verify(n: int, threshold: float):
         for parts in _groups(batches):
             rep, block, size = _column(parts, "rep"), _column(parts, "block"), _column(parts, "size")
             gid, i, j = (int(_column(parts[:1], c)[0]) for c in ("gid", "i", "j"))
-            sets = [s for p in parts for q in _bytes.slices([p], 1 << 20) for s in _bytes.shingle_sets(q.column(q.schema.get_field_index("text")), n)]
+            sets = [s for p in parts for q in _bytes.slices([p], 1 << 19) for s in _bytes.shingle_sets(q.column(q.schema.get_field_index("text")), n)]
             a, b = links_in(sets, _first_pairs(_sigs(parts), gid, block, i, j), threshold)
             if not len(a):
                 continue

@@ -162,7 +162,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = 2000, longest: int = 20_000) -> LanguageModel:
     """Train on at most ``sample`` labelled rows of at most ``longest`` characters, chosen by a hash of doc_id, none of them held out."""
     ok = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))
-    rows = docs.where(ok).select("text", "lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("id")).orderBy("h", "id", "text", "lang").limit(sample).collect()
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    # First the bound on the hash alone, then the few texts below it: no task sends more than the sample.
+    bound = docs.where(ok).select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = docs.where(ok & (h <= F.lit(bound))).select("text", "lang", h.alias("h")).limit(2 * sample).collect() if bound is not None else []
+    rows = sorted(rows, key=lambda r: (r.h, r.text, r.lang))[:sample]
     return train([(r.text, r.lang) for r in rows])
 
 

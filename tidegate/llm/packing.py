@@ -37,7 +37,7 @@ class WordEncoder:
     goes to the tokenizers library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -139,7 +139,7 @@ def _pack(path: str, size: int, bins: int, end_id: int):
         encoder, fit = WordEncoder(path), BestFit(size, bins)
         own = TaskContext.get().partitionId() << 40
         tail = np.array([end_id], "<u4").tobytes()
-        for t in _bytes.slices(batches, 2 << 20):
+        for t in _bytes.slices(batches, 1 << 20):
             cols: list[list] = [[] for _ in range(7)]
             for doc, ids in zip(t.column(0).to_pylist(), encoder.encode([x or "" for x in t.column(1).to_pylist()]), strict=True):
                 ids += tail

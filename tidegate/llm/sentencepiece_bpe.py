@@ -28,7 +28,7 @@ MARK = "▁"
 
 
 class BacktrackingBpe:
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -64,10 +64,11 @@ class BacktrackingBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
+        pair = a << 20 | b
+        got = self.pairs.get(pair)
         if got is None:
             x, y = self.piece[a], self.piece[b]
-            got = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            got = self.pairs[pair] = self.merged(x + y) == [x, y]
         return got
 
     def encode_part(self, part: str) -> list[int]:
@@ -131,7 +132,7 @@ class BacktrackingBpe:
         """Little-endian ids of one text, without the end id."""
         if len(self.parts) > self.limit:
             self.parts = dict(islice(self.parts.items(), self.limit // 2))  # frequent parts came first
-        if len(self.pairs) > 4 * self.limit:
+        if len(self.pairs) > 2 * self.limit:
             self.pairs.clear()
         if not text:
             return b""
@@ -151,7 +152,7 @@ def _encode(path: str, end: bool):
     def run(batches):
         coder = BacktrackingBpe(path)
         tail = np.array([coder.end], "<i4").tobytes() if end else b""
-        for t in _bytes.slices(batches, 2 << 20):
+        for t in _bytes.slices(batches, 1 << 20):
             raw = [coder.encode(x or "") + tail for x in t.column(1).to_pylist()]
             offs = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(raw), "<i4")))

@@ -31,7 +31,7 @@ from tidegate.llm import _base, _bytes
 from tidegate.llm._bytes import U64
 
 #: Bytes of the k-gram that places a window; runs held by a task before it deals them out; bytes of a suffix array's text.
-K, FLUSH_RUNS, CHUNK = 20, 400_000, 2 << 20
+K, FLUSH_RUNS, CHUNK = 20, 250_000, 1 << 20
 
 
 def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def _deal(width: int, buckets: int):
                 ids.append(int(b[x]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
 
-        for part in _bytes.slices(batches, 1 << 20):
+        for part in _bytes.slices(batches, 1 << 19):
             buf, offs = _bytes.buffers(part.column(1))
             ids = part.column(0).to_numpy(zero_copy_only=False)
             d, a, b, h = _bytes.anchor_runs(buf, offs, width, K)
@@ -378,7 +378,7 @@ def removed_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     _base.ready(spark)
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     total = _base.text_bytes(ids)
-    buckets = _base.parts_for(total, 20 << 20, 2)
+    buckets = _base.parts_for(total, 8 << 20, 2)
     dealt = ids.where(F.octet_length("text") >= width).mapInArrow(_deal(width, buckets), _DEALT)
     met = _base.staged(dealt.repartition(buckets, "bucket").mapInArrow(_meet(width), "doc_id long, span long, anchor long"), "repeats")
     need = met.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))

@@ -32,7 +32,7 @@ def tokenizer_version(path: str) -> str:
 class WordCounter:
     """Token counts by a file of the tokenizers library whose pre-tokenizer drops white space, summed over words with a bounded cache."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,7 +68,7 @@ class TextCounter:
 def _count(path: str, by_word: bool):
     def run(batches):
         counter = (WordCounter if by_word else TextCounter)(path)
-        for t in _bytes.slices(batches, 2 << 20):
+        for t in _bytes.slices(batches, 1 << 20):
             n = counter.count([x or "" for x in t.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(np.array(n, np.int64))], names=["digest", "n_tokens"])
 
