@@ -21,6 +21,8 @@ def ready(spark: SparkSession) -> None:
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    # Workers give freed memory back instead of keeping pools of their own.
+    sc.environment |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 

@@ -12,8 +12,10 @@ doc_ids are packed like any others.  Every row's pieces come back once.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+from array import array
 from collections.abc import Iterable
 from itertools import islice
 
@@ -37,7 +39,7 @@ class WordEncoder:
     goes to the tokenizers library whole.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +69,7 @@ class WordEncoder:
         if self.short is None:
             return self._whole(words)
         one = self.short.encode_ordinary
-        return [np.array(one(w), "<u4").tobytes() if "<|" not in w else self._whole([w])[0] for w in words]
+        return [array("I", one(w)).tobytes() if "<|" not in w else self._whole([w])[0] for w in words]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -134,9 +136,15 @@ def pieces(total: int, size: int) -> Iterable[tuple[int, int]]:
         at += size
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per worker process, so that tasks after the first find its cache warm."""
+    return WordEncoder(path)
+
+
 def _pack(path: str, size: int, bins: int, end_id: int):
     def run(batches):
-        encoder, fit = WordEncoder(path), BestFit(size, bins)
+        encoder, fit = _encoder(path), BestFit(size, bins)
         own = TaskContext.get().partitionId() << 40
         tail = np.array([end_id], "<u4").tobytes()
         for t in _bytes.slices(batches, 1 << 20):

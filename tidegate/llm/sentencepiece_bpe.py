@@ -14,6 +14,7 @@ Null text counts as empty (the end id alone).  Other columns stay as they are.
 
 from __future__ import annotations
 
+import functools
 import re
 from itertools import islice
 
@@ -148,9 +149,15 @@ class BacktrackingBpe:
         return b"".join(map(known.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def _coder(path: str) -> BacktrackingBpe:
+    """One per worker process, so that tasks after the first find its cache warm."""
+    return BacktrackingBpe(path)
+
+
 def _encode(path: str, end: bool):
     def run(batches):
-        coder = BacktrackingBpe(path)
+        coder = _coder(path)
         tail = np.array([coder.end], "<i4").tobytes() if end else b""
         for t in _bytes.slices(batches, 1 << 20):
             raw = [coder.encode(x or "") + tail for x in t.column(1).to_pylist()]
@@ -163,7 +170,7 @@ def _encode(path: str, end: bool):
 
 def _decode(path: str):
     def run(batches):
-        coder = BacktrackingBpe(path)
+        coder = _coder(path)
         piece = [b""] * coder.library.vocab_size()
         for i, p in coder.piece.items():
             piece[i] = p.replace(MARK, " ").encode()
