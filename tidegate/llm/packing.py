@@ -28,6 +28,22 @@ from pyspark.sql import functions as F
 from tidegate.llm import _base, _bytes
 
 
+class UnsafeError(Exception):
+    """A text that can't be encoded in parts."""
+
+
+class Cache(dict):
+    """A dict that makes missing values by a function of the key."""
+
+    def __init__(self, make, items=()):
+        super().__init__(items)
+        self.make = make
+
+    def __missing__(self, key):
+        got = self[key] = self.make(key)
+        return got
+
+
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, through a bounded cache of words.
 
@@ -44,7 +60,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
+        self.limit, self.known = limit, Cache(self._part)
         self.short = self._byte_level(path)
 
     @staticmethod
@@ -65,11 +81,14 @@ class WordEncoder:
             return None
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _parts(self, words: list[str]) -> list[bytes]:
-        if self.short is None:
-            return self._whole(words)
-        one = self.short.encode_ordinary
-        return [array("I", one(w)).tobytes() if "<|" not in w else self._whole([w])[0] for w in words]
+    def _part(self, word: str) -> bytes:
+        """Ids of the text between two single spaces; unsafe if white space at its ends could join what is beside it."""
+        if not word or word[-1].isspace() or word[word[0] == "\n"].isspace():
+            raise UnsafeError
+        word = word if word[0] == "\n" else " " + word
+        if self.short is None or "<|" in word:
+            return self._whole([word])[0]
+        return array("I", self.short.encode_ordinary(word)).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -77,21 +96,17 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.limit:
-            self.known = dict(islice(self.known.items(), self.limit // 2))  # frequent words came first
-        known = self.known
+            self.known = Cache(self._part, islice(self.known.items(), self.limit * 3 // 4))  # frequent words came first
         words = [t.replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*(w[1:] for w in words)) - known.keys()
-        safe = [w for w in new if w and not w[-1].isspace() and not w[0 if w[0] != "\n" else 1].isspace()]
-        known |= dict(zip(safe, self._parts([w if w[0] == "\n" else " " + w for w in safe]), strict=True))
-        heads = self._whole([w[0] for w in words])
+        get = self.known.__getitem__
         out = []
-        for i, w in enumerate(words):
+        for text, w, head in zip(texts, words, self._whole([w[0] for w in words]), strict=True):
             try:
-                if w[0][-1:].isspace() or not w[0]:
-                    raise KeyError
-                out.append(heads[i] + b"".join(map(known.__getitem__, w[1:])))
-            except KeyError:
-                out.append(self._whole([texts[i]])[0])
+                if not w[0] or w[0][-1].isspace():
+                    raise UnsafeError
+                out.append(head + b"".join(map(get, w[1:])))
+            except UnsafeError:
+                out.append(self._whole([text])[0])
         return out
 
 
@@ -137,14 +152,14 @@ def pieces(total: int, size: int) -> Iterable[tuple[int, int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, limit: int) -> WordEncoder:
     """One per worker process, so that tasks after the first find its cache warm."""
-    return WordEncoder(path)
+    return WordEncoder(path, limit)
 
 
-def _pack(path: str, size: int, bins: int, end_id: int):
+def _pack(path: str, size: int, bins: int, end_id: int, cache_words: int):
     def run(batches):
-        encoder, fit = _encoder(path), BestFit(size, bins)
+        encoder, fit = _encoder(path, cache_words), BestFit(size, bins)
         own = TaskContext.get().partitionId() << 40
         tail = np.array([end_id], "<u4").tobytes()
         for t in _bytes.slices(batches, 1 << 20):
@@ -161,7 +176,7 @@ def _pack(path: str, size: int, bins: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, bins: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, bins: int = 1024, end_id: int = 2, cache_words: int = 250_000) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset); ids are little-endian unsigned 32-bit.
 
     Small inputs are read by fewer tasks, since each task's last sequences stay part empty.
@@ -170,4 +185,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, bins: int = 1024, en
     _base.ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tasks = _base.parts_for(_base.text_bytes(docs), 32 << 20, 4 * spark.sparkContext.defaultParallelism)
-    return docs.coalesce(tasks).mapInArrow(_pack(tokenizer, size, bins, end_id), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return docs.coalesce(tasks).mapInArrow(_pack(tokenizer, size, bins, end_id, cache_words), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

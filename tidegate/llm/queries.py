@@ -37,7 +37,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
+    got = packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE, cache_words=600_000)
     return got.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import _base, _bytes
+from tidegate.llm.packing import Cache
 
 MARK = "▁"
 
 
 class BacktrackingBpe:
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import ahocorasick
         import sentencepiece
 
@@ -47,7 +49,9 @@ class BacktrackingBpe:
         trie.make_automaton()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a space after another character")
-        self.trie, self.pairs, self.limit, self.parts, self.words = trie, {}, limit, {}, {}
+        self.size = {i: len(p) for i, p in self.piece.items()}
+        self.singles = {p for p in self.ids if len(p) == 1}
+        self.trie, self.pairs, self.limit, self.parts, self.words = trie, {}, limit, {}, Cache(self._word)
         self.from_byte = {i: b for b, i in enumerate(self.byte)}
         self.end = sp.eos_id()
 
@@ -65,17 +69,17 @@ class BacktrackingBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, a: int, b: int) -> bool:
-        pair = a << 20 | b
-        got = self.pairs.get(pair)
-        if got is None:
-            x, y = self.piece[a], self.piece[b]
-            got = self.pairs[pair] = self.merged(x + y) == [x, y]
+        x, y = self.piece[a], self.piece[b]
+        got = self.pairs[a << 20 | b] = self.merged(x + y) == [x, y]
         return got
 
     def encode_part(self, part: str) -> list[int]:
         starts: list[list[int]] = [[] for _ in range(len(part) + 1)]
+        size = self.size
         for last, i in self.trie.iter(part):
-            starts[last + 1 - len(self.piece[i])].append(i)  # shorter ones come first
+            starts[last + 1 - size[i]].append(i)  # shorter ones come first
+        if all(starts[:-1]) and self.singles.issuperset(part):
+            return self._backtrack(starts, 0, len(part))
         out: list[int] = []
         begin = 0
         for at in range(len(part) + 1):  # characters without a piece stand alone, as bytes
@@ -90,13 +94,18 @@ class BacktrackingBpe:
     def _backtrack(self, starts, begin: int, end: int) -> list[int]:
         path: list[int] = []
         tried: list[int] = []  # index of the next shorter choice at each step
+        size, pairs = self.size, self.pairs
         failed, pos, k = 0, begin, len(starts[begin]) - 1
         while pos < end:
             here = starts[pos]
             while k >= 0:
-                nxt = pos + len(self.piece[here[k]])
-                if nxt <= end and not failed >> (nxt - begin) & 1 and (not path or self.compatible(path[-1], here[k])):
-                    break
+                nxt = pos + size[here[k]]
+                if nxt <= end and not failed >> (nxt - begin) & 1:
+                    if not path:
+                        break
+                    ok = pairs.get(path[-1] << 20 | here[k])
+                    if self.compatible(path[-1], here[k]) if ok is None else ok:
+                        break
                 k -= 1
             if k >= 0:
                 path.append(here[k])
@@ -105,7 +114,7 @@ class BacktrackingBpe:
                 k = len(starts[pos]) - 1
             else:
                 failed |= 1 << (pos - begin)
-                pos -= len(self.piece[path.pop()])
+                pos -= size[path.pop()]
                 k = tried.pop()
         return path
 
@@ -129,24 +138,23 @@ class BacktrackingBpe:
             got = self.parts[part] = np.array(self.encode_part(part), "<i4").tobytes()
         return got
 
+    def _word(self, word: str) -> bytes:
+        return array("i", self.encode_part(word if word[0] == "\n" else MARK + word)).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian ids of one text, without the end id."""
         if len(self.parts) > self.limit:
             self.parts = dict(islice(self.parts.items(), self.limit // 2))  # frequent parts came first
-        if len(self.pairs) > 2 * self.limit:
+        if len(self.pairs) > self.limit:
             self.pairs.clear()
         if not text:
             return b""
         # Mostly words after one space each; a part that starts with a line break has no space before it.
         if "  " in text or " \n" in text or MARK in text or text[0] in " \n" or text[-1] == " ":
             return b"".join(map(self._part, re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", MARK + text.replace(" ", MARK))))
-        words = text.replace("\n", " \n").split(" ")
-        known = self.words
-        if len(known) > self.limit:
-            known = self.words = dict(islice(known.items(), self.limit // 2))
-        for w in set(words).difference(known):
-            known[w] = np.array(self.encode_part(w if w[0] == "\n" else MARK + w), "<i4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if len(self.words) > self.limit:
+            self.words = Cache(self._word, islice(self.words.items(), self.limit * 3 // 4))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
 
 
 @functools.lru_cache(maxsize=1)
