@@ -35,9 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
+def tasks_for(spark: SparkSession, total: int) -> int:
+    """Tasks for ``total`` bytes of text: 32 MB each, but enough to keep all cores busy."""
+    return parts_for(total, 32 << 20, 4 * spark.sparkContext.defaultParallelism)
+
+
+def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder, in at most ``tasks`` files, and read it back.
+
+    Each file costs a process on the executor (permissions) besides the file
+    system's work, so small partitions are written together, one after another.
+    """
     spark = df.sparkSession
+    df = df if tasks is None else df.coalesce(tasks)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,7 +75,7 @@ def carried(df: DataFrame, keep: dict[str, Column]) -> DataFrame:
     return df.select(F.struct("*").alias("__row"), *[c.alias(k) for k, c in keep.items()])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, root) for each node of ``edges(a, b)``: root is the least node reachable.
 
     Alternating large-star and small-star contraction; each round is staged in
@@ -73,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the largest component.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = staged(e, "edges")
+    e = staged(e, "edges", tasks)
     seen = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -82,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        nxt = staged(small.distinct(), "edges")
+        nxt = staged(small.distinct(), "edges", tasks)
         mark = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         drop_staged(e)
         e = nxt

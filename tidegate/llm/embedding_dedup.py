@@ -253,22 +253,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     spark = vectors.sparkSession
     _base.ready(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), usable(F.col("embedding"))).alias("v"), F.col("label").cast("long").alias("grp"))
+    # A vector takes up to 1 KB with its links.
+    tasks = _base.tasks_for(spark, 1024 * rows.count())
     some = rows.where("v is not null").withColumn("dim", F.size("v"))
-    reps = _base.staged(some.groupBy("grp", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    reps = _base.staged(some.groupBy("grp", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors", tasks)
     sizes = reps.groupBy("grp", "dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = reps.join(sizes, ["grp", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     built = dealt.select("grp", "dim", "shard", "rep", "copies", "v").groupBy("grp", "dim", "shard").applyInArrow(_build, "grp long, dim int, shard int, ids binary, graph binary")
-    graphs = _base.staged(built, "graphs")
+    graphs = _base.staged(built, "graphs", tasks)
     # Each pair of shards of a label, itself included, is one group of two graphs.
     names = graphs.select("grp", "dim", "shard").join(sizes, ["grp", "dim"])
     names = names.select("grp", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
     names = names.select("grp", "dim", "shard", F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"))
     met = names.join(graphs, ["grp", "dim", "shard"])
-    found = _base.staged(met.groupBy("grp", "dim", "s", "t").applyInArrow(_query(threshold), "rep long, peer long, links long"), "links")
-    roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+    found = _base.staged(met.groupBy("grp", "dim", "s", "t").applyInArrow(_query(threshold), "rep long, peer long, links long"), "links", tasks)
+    roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), tasks)
     per = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("grp", "v", "rep", "copies").join(per, "rep", "left")
     own = own.select("grp", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(own, ["grp", "v"], "left")
+    out = rows.join(own, ["grp", "v"], "left").coalesce(tasks)
     root = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id").eqNullSafe(root)).alias("kept"))

@@ -211,13 +211,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     _base.ready(spark)
     bands, rows = plan_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = _base.staged(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, digest binary, bands array<long>"), "signed")
+    tasks = _base.tasks_for(spark, _base.text_bytes(docs))
+    signed = _base.staged(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, digest binary, bands array<long>"), "signed", tasks)
     some = signed.where("digest is not null and doc_id is not null")
     sets = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    sets = _base.staged(sets, "sets")
+    sets = _base.staged(sets, "sets", tasks)
     # One row for each set: the signature of its representative.
     one = some.join(sets.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").groupBy("digest").agg(F.first("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    one = _base.staged(one.join(sets.select("digest", "size"), "digest"), "reps")
+    one = _base.staged(one.join(sets.select("digest", "size"), "digest"), "reps", tasks)
     keyed = one.select("rep", F.explode("bands").alias("gid"))
     crowd = keyed.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1")
     met = keyed.join(crowd, "gid")
@@ -227,15 +228,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     met = met.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     sig = one.select("rep", "bands", "size")
     grouped = met.join(sig, "rep").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    cands = _base.staged(grouped.mapInArrow(_candidates, "gid long, i int, j int, block int, rep long"), "cands")
+    cands = _base.staged(grouped.mapInArrow(_candidates, "gid long, i int, j int, block int, rep long"), "cands", tasks)
     # Texts of the documents that have a candidate, once, then to their groups.
     asked = cands.select("rep").distinct()
-    texts = docs.join(asked.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    texts = docs.join(asked.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
     full = cands.join(texts, "rep").join(sig, "rep").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    found = _base.staged(full.mapInArrow(_verify(n, threshold), "rep long, peer long, links long"), "links")
-    roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
+    found = _base.staged(full.mapInArrow(_verify(n, threshold), "rep long, peer long, links long"), "links", tasks)
+    roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), tasks)
     per = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     classes = sets.join(per, "rep", "left").select("digest", F.col("rep").alias("copy_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
     out = signed.select("doc_id", F.when(~alone, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    return out.select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.coalesce(tasks).select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))

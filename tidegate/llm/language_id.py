@@ -182,5 +182,6 @@ def _predict(model: LanguageModel):
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Every row as struct ``__row`` beside lang_pred, score and accepted (false: rejected as no known language)."""
     _base.ready(docs.sparkSession)
-    rows = _base.carried(docs, {"text": F.col("text")})
+    tasks = _base.tasks_for(docs.sparkSession, _base.text_bytes(docs))
+    rows = _base.carried(docs, {"text": F.col("text")}).coalesce(tasks)
     return rows.mapInArrow(_predict(model), f"__row {docs.schema.simpleString()}, lang_pred string, score double, accepted boolean")

@@ -184,5 +184,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, bins: int = 1024, en
     spark = docs.sparkSession
     _base.ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tasks = _base.parts_for(_base.text_bytes(docs), 32 << 20, 4 * spark.sparkContext.defaultParallelism)
+    tasks = _base.tasks_for(spark, _base.text_bytes(docs))
     return docs.coalesce(tasks).mapInArrow(_pack(tokenizer, size, bins, end_id, cache_words), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

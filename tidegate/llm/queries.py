@@ -33,6 +33,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = chat_format.parse_chats(chat_format.format_chats(rows.unionByName(extra)))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), F.array_join(t["texts"], "\n"), F.lit("\n")))
     read = read.select("conv_id", "formatted", "turns", F.array_join(turns, "").alias("all"), chat_format.loss_text(F.col("turns")).alias("loss"))
+    read = read.coalesce(_base.tasks_for(spark, _base.text_bytes(rows)))
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("all", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 

@@ -199,7 +199,8 @@ def _decode(path: str):
 def encode(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
     """Every row as struct ``__row`` beside ids array<int>."""
     _base.ready(docs.sparkSession)
-    rows = _base.carried(docs, {"text": F.col("text")})
+    tasks = _base.tasks_for(docs.sparkSession, _base.text_bytes(docs))
+    rows = _base.carried(docs, {"text": F.col("text")}).coalesce(tasks)
     return rows.mapInArrow(_encode(model, end), f"__row {docs.schema.simpleString()}, ids array<int>")
 
 

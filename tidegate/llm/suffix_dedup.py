@@ -229,7 +229,7 @@ def _deal(width: int, buckets: int):
             late = ~first
             d, sp = _spans(doc[late], ws[late], wl[late] + width - 1)
             if len(d):
-                yield _rows(d, sp, int(anchor[0] % U64(buckets)))
+                yield _rows(d, sp, int(_bytes.mix(content[:1].copy())[0] % U64(buckets)))
             rec = np.empty(int(first.sum()), _ENTRY)
             for k, x in zip(("anchor", "content", "doc", "ws", "wl"), (anchor, content, doc, ws, wl), strict=True):
                 rec[k] = x[first]
@@ -379,8 +379,9 @@ def removed_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     total = _base.text_bytes(ids)
     buckets = _base.parts_for(total, 8 << 20, 2)
+    tasks = _base.tasks_for(spark, total)
     dealt = ids.where(F.octet_length("text") >= width).mapInArrow(_deal(width, buckets), _DEALT)
-    met = _base.staged(dealt.repartition(buckets, "bucket").mapInArrow(_meet(width), "doc_id long, span long, anchor long"), "repeats")
+    met = _base.staged(dealt.repartition(buckets, "bucket").mapInArrow(_meet(width), "doc_id long, span long, anchor long"), "repeats", tasks)
     need = met.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))
     cut = ids.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width), "anchor long, doc_id long, start long, bytes binary")
     parts = _base.parts_for(total, 32 << 20, spark.sparkContext.defaultParallelism)
@@ -398,4 +399,5 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     rows = _base.carried(docs, {"__id": F.col("doc_id").cast("long"), "__text": F.col("text")})
     both = rows.join(spans.withColumnRenamed("doc_id", "__id"), "__id", "left").select("__row", "__text", "spans")
     row = docs.schema.simpleString()
-    return both.mapInArrow(_remove, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    tasks = _base.tasks_for(docs.sparkSession, _base.text_bytes(docs))
+    return both.coalesce(tasks).mapInArrow(_remove, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -138,5 +138,5 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     for fan in (64, None):  # blocks' candidates merge in two rounds of bounded lists
         key = ["query_id"] if fan is None else ["query_id", F.floor(F.col("vb") / fan).alias("vb")]
         best = best.groupBy(*key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, k).alias("p"))
-    out = best.select("query_id", F.posexplode("p").alias("r", "x"))
+    out = best.coalesce(4 * spark.sparkContext.defaultParallelism).select("query_id", F.posexplode("p").alias("r", "x"))
     return out.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).cast("long").alias("score"))

@@ -144,7 +144,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     write_index(rules, os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
-    rows = _base.carried(pages, {"__url": F.col("url")})
+    tasks = _base.tasks_for(spark, _base.text_bytes(pages, "url"))
+    rows = _base.carried(pages, {"__url": F.col("url")}).coalesce(tasks)
     host, path = host_and_path(F.col("__url"))
     got = rows.select("__row", host.alias("host"), path.alias("path")).mapInArrow(_probe(name), f"__row {pages.schema.simpleString()}, host string, path string, rule string, verdict string")
     return got.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
