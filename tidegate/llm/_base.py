@@ -76,7 +76,7 @@ def carried(df: DataFrame, keep: dict[str, Column]) -> DataFrame:
 
 
 def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(node, root) for each node of ``edges(a, b)``: root is the least node reachable.
+    """(node, root) for each node of ``edges(a, b)`` but the roots: root is the least node reachable.
 
     Alternating large-star and small-star contraction; each round is staged in
     the shared folder, only a count and a checksum reach the driver.  Rounds

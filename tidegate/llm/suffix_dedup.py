@@ -15,7 +15,8 @@ Plan
  4. Spans meet their documents again and the bytes are cut.
 
 Null text counts as empty.  A row with null doc_id is compared with nothing
-and kept whole.  Repeated rows of one doc_id give repeated results.
+and kept whole.  Repeated rows of a document are one place and give repeated
+results.
 """
 
 from __future__ import annotations
@@ -171,7 +172,10 @@ def _repeated(text, lens, width, with_first=False):
 
 
 def _settle(anchor, content, doc, ws, wl):
-    """Order by (anchor, content, doc, start); which rows are the earliest of their content, and the contents of each row's anchor."""
+    """Order by (anchor, content, doc, start); which rows are the earliest of their content, which are later ones, and the contents of each row's anchor.
+
+    A repeated row of a document is neither: it is the same place.
+    """
     o = np.lexsort((ws, doc, content, anchor))
     anchor, content, doc, ws, wl = anchor[o], content[o], doc[o], ws[o], wl[o]
     new_a = np.ones(len(o), bool)
@@ -180,7 +184,9 @@ def _settle(anchor, content, doc, ws, wl):
     first[1:] |= content[1:] != content[:-1]
     ga = np.cumsum(new_a) - 1
     kinds = np.bincount(ga, weights=first)[ga] if len(o) else np.zeros(0)
-    return anchor, content, doc, ws, wl, first, kinds
+    of = np.cumsum(first) - 1
+    late = ~first & ((doc != doc[first][of]) | (ws != ws[first][of]))
+    return anchor, content, doc, ws, wl, first, late, kinds
 
 
 _ENTRY = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("ws", "<i8"), ("wl", "<i4")]
@@ -225,8 +231,7 @@ def _deal(width: int, buckets: int):
 
         def flush():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            anchor, content, doc, ws, wl, first, _ = _settle(*cols)
-            late = ~first
+            anchor, content, doc, ws, wl, first, late, _ = _settle(*cols)
             d, sp = _spans(doc[late], ws[late], wl[late] + width - 1)
             if len(d):
                 yield _rows(d, sp, int(_bytes.mix(content[:1].copy())[0] % U64(buckets)))
@@ -282,8 +287,8 @@ def _meet(width: int):
                 cols[k].append(np.frombuffer(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
         blobs.clear()
-        anchor, _, doc, ws, wl, first, kinds = _settle(*(np.concatenate(cols[k]) for k, _ in _ENTRY))
-        d, sp = _spans(doc[~first], ws[~first], wl[~first] + width - 1)
+        anchor, _, doc, ws, wl, first, late, kinds = _settle(*(np.concatenate(cols[k]) for k, _ in _ENTRY))
+        d, sp = _spans(doc[late], ws[late], wl[late] + width - 1)
         for x in range(0, len(d), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(d[x : x + 100_000]), pa.array(sp[x : x + 100_000]), pa.nulls(len(d[x : x + 100_000]), pa.int64())], names=["doc_id", "span", "anchor"])
         more = first & (kinds > 1)
@@ -316,6 +321,7 @@ def _compare(width: int):
 
     def solve(rows):
         rows.sort(key=lambda r: r[:2])
+        rows = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]  # repeated rows of a document
         segs = [r[2] for r in rows]
         hit = repeated_windows(segs, width)
         if not len(hit):
