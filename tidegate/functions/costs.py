@@ -36,13 +36,12 @@ def checked(y, amount, decision=None) -> Column:
 
 def decide(score, t_decline, t_review=None) -> Column:
     """2 from t_decline on, 1 from t_review on, else 0.  Infinity never triggers."""
+    if t_review is not None and not isinstance(t_decline, Column) and not isinstance(t_review, Column) and t_review > t_decline:
+        raise ValueError("t_review must not exceed t_decline")
     score, t_decline = _c(score), t_decline if isinstance(t_decline, Column) else F.lit(float(t_decline))
     out = F.when(score >= t_decline, DECLINE)
     if t_review is not None:
-        if not isinstance(t_review, Column):
-            if not isinstance(t_decline, Column) and t_review > t_decline:
-                raise ValueError("t_review must not exceed t_decline")
-            t_review = F.lit(float(t_review))
+        t_review = t_review if isinstance(t_review, Column) else F.lit(float(t_review))
         out = out.when(score >= t_review, REVIEW)
     return out.otherwise(APPROVE).cast("tinyint")
 

@@ -25,8 +25,8 @@ ORACLES: dict[str, str] = {}
 P = CostParams()
 
 
-def query(sql: str | None = None, digits: int = 6, money: int = 2):
-    """Register a query; doubles are rounded, money (columns named for it) to cents."""
+def query(sql: str | None = None, digits: int = 6, money: int = 4):
+    """Register a query; doubles are rounded, money (columns named for it) to hundredths of a cent, beyond which margins of cents don't reach."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +63,14 @@ def time_split(spark, d):
 
 
 @query("WITH" + SPLIT + """ SELECT split, count(*) AS n, sum(y)::BIGINT AS n_fraud, round(avg(y), 6) AS fraud_rate, min(dt) AS dt_min, max(dt) AS dt_max,
-round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 2) AS fraud_amount, round(sum(amount), 2) AS amount, round((max(dt) - min(dt)) / 86400e0, 6) AS days,
+round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 4) AS fraud_amount, round(sum(amount), 4) AS amount, round((max(dt) - min(dt)) / 86400e0, 6) AS days,
 CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS ord FROM s GROUP BY split""")
 def split_summary(spark, d):
     return split.split_summary(split.time_split(txn(spark, d)))
 
 
-_VEL = """ SELECT id, count(*) OVER h AS vel_cnt_1h, round(coalesce(sum(amount) OVER h, 0), 2) AS vel_amt_1h, count(*) OVER e AS vel_cnt_24h, round(coalesce(sum(amount) OVER e, 0), 2) AS vel_amt_24h,
-count(*) OVER w AS vel_cnt_7d, round(coalesce(sum(amount) OVER w, 0), 2) AS vel_amt_7d, dt - max(dt) OVER p AS vel_secs_since_prev, count(*) OVER p AS vel_prior_cnt,
+_VEL = """ SELECT id, count(*) OVER h AS vel_cnt_1h, round(coalesce(sum(amount) OVER h, 0), 4) AS vel_amt_1h, count(*) OVER e AS vel_cnt_24h, round(coalesce(sum(amount) OVER e, 0), 4) AS vel_amt_24h,
+count(*) OVER w AS vel_cnt_7d, round(coalesce(sum(amount) OVER w, 0), 4) AS vel_amt_7d, dt - max(dt) OVER p AS vel_secs_since_prev, count(*) OVER p AS vel_prior_cnt,
 round(coalesce((dt - min(dt) OVER p) / 86400e0, 0), 8) AS vel_tenure_days,
 CASE WHEN count(*) OVER w > 0 THEN round(amount / (sum(amount) OVER w / count(*) OVER w), 6) END AS vel_amt_vs_mean_7d
 FROM txn WINDOW h AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), e AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING),
@@ -263,7 +263,7 @@ def _grid(spark):
 
 
 @query("WITH" + TXN + STATS.format(rows="txn") + """, a AS (SELECT count(*) AS n, sum(y) AS p, sum(CASE WHEN y = 1 THEN amount ELSE 0 END) AS fa FROM txn)
-SELECT t, k AS n_declined, round(k / (n * 1e0), 6) AS decline_rate, round(a.fa - (st.fa - 2e-2 * la - 10e0 * lc), 2) AS cost, round(st.fa - 2e-2 * la - 10e0 * lc, 2) AS net_benefit, round((st.fa - 2e-2 * la - 10e0 * lc) * 1000 / n, 2) AS net_benefit_per_1000,
+SELECT t, k AS n_declined, round(k / (n * 1e0), 6) AS decline_rate, round(a.fa - (st.fa - 2e-2 * la - 10e0 * lc), 4) AS cost, round(st.fa - 2e-2 * la - 10e0 * lc, 4) AS net_benefit, round((st.fa - 2e-2 * la - 10e0 * lc) * 1000 / n, 4) AS net_benefit_per_1000,
 round(fc / (p * 1e0), 6) AS tpr, round(lc / ((n - p) * 1e0), 6) AS fpr, round(st.fa / a.fa, 6) AS fraud_capture_dollars FROM st, a""")
 def single_sweep(spark, d):
     return th.single_sweep(th.cum_stats(txn(spark, d), _grid(spark)), P)
@@ -282,7 +282,7 @@ def threshold_grid(spark, d):
     return q.union(th.literal_grid(spark, [i / 10 for i in range(11)])).select(F.round("t", 6).alias("t")).distinct()
 
 
-@query("WITH" + CHOSEN + " SELECT round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(nb, 2) AS net_benefit, rev AS n_reviews FROM pair")
+@query("WITH" + CHOSEN + " SELECT round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(nb, 4) AS net_benefit, rev AS n_reviews FROM pair")
 def three_way(spark, d):
     train, valid, _ = decision.parts(split.time_split(txn(spark, d)))
     limit = policy.max_reviews_per_day(train).join(F.broadcast(policy.split_days(valid))).select(F.col("cap") * F.col("days"))
@@ -297,7 +297,7 @@ def select_policies(spark, d):
 _COST = "CASE WHEN {d} = 1 THEN 5e0 + CASE WHEN y = 1 THEN (1 - 85e-2) * amount ELSE 0 END WHEN {d} = 0 AND y = 1 THEN amount WHEN {d} = 2 AND y = 0 THEN 2e-2 * amount + 10e0 ELSE 0 END"
 
 
-@query("WITH" + CHOSEN + f" SELECT id, d_profit_three_way AS decision, round({_COST.format(d='d_profit_three_way')}, 2) AS cost, round(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_three_way')}, 2) AS benefit FROM dec")
+@query("WITH" + CHOSEN + f" SELECT id, d_profit_three_way AS decision, round({_COST.format(d='d_profit_three_way')}, 4) AS cost, round(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_three_way')}, 4) AS benefit FROM dec")
 def row_costs(spark, d):
     t = decision.decided(spark, d)[0]
     return t.select("id", F.col("dec_profit_three_way").cast("int").alias("decision"), row_cost("dec_profit_three_way", "y", "amount", P).alias("cost"), row_benefit("dec_profit_three_way", "y", "amount", P).alias("benefit"))
@@ -305,12 +305,12 @@ def row_costs(spark, d):
 
 def _summary_sql(name: str, i: int) -> str:
     d = f"d_{name}"
-    return f"""SELECT '{name}' AS policy, count(*) AS n, round(sum(c), 2) AS total_cost, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 2) AS approve_all_cost,
-round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c), 2) AS net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c) * 1000 / count(*), 2) AS net_benefit_per_1000,
+    return f"""SELECT '{name}' AS policy, count(*) AS n, round(sum(c), 4) AS total_cost, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END), 4) AS approve_all_cost,
+round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c), 4) AS net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - c) * 1000 / count(*), 4) AS net_benefit_per_1000,
 round(avg(CASE WHEN d = 2 THEN 1e0 ELSE 0 END), 6) AS decline_rate, round(avg(CASE WHEN d = 1 THEN 1e0 ELSE 0 END), 6) AS review_rate,
 round(avg(CASE WHEN y = 0 THEN CASE WHEN d = 2 THEN 1e0 ELSE 0 END END), 6) AS good_customer_disruption_rate, round(avg(CASE WHEN y = 0 THEN CASE WHEN d = 1 THEN 1e0 ELSE 0 END END), 6) AS good_customer_review_rate,
 round(avg(CASE WHEN y = 1 THEN w END), 6) AS fraud_capture_rate_count, round(sum(CASE WHEN y = 1 THEN w * amount END) / sum(CASE WHEN y = 1 THEN amount END), 6) AS fraud_capture_rate_dollars,
-round(sum(CASE WHEN y = 1 THEN c ELSE 0 END), 2) AS fraud_loss_remaining, round(sum(CASE WHEN y = 0 AND d = 2 THEN c ELSE 0 END), 2) AS false_decline_cost, round(count(CASE WHEN d = 1 THEN 1 END) * 5e0, 2) AS review_cost_total,
+round(sum(CASE WHEN y = 1 THEN c ELSE 0 END), 4) AS fraud_loss_remaining, round(sum(CASE WHEN y = 0 AND d = 2 THEN c ELSE 0 END), 4) AS false_decline_cost, round(count(CASE WHEN d = 1 THEN 1 END) * 5e0, 4) AS review_cost_total,
 count(CASE WHEN d = 2 THEN 1 END) AS n_declined, count(CASE WHEN d = 1 THEN 1 END) AS n_reviewed, count(CASE WHEN d = 2 AND y = 0 THEN 1 END) AS n_false_declines,
 round(count(CASE WHEN d = 1 THEN 1 END) / ((max(dt) - min(dt)) / 86400e0), 6) AS reviews_per_day, {i} AS ord
 FROM (SELECT *, {d} AS d, {_COST.format(d=d)} AS c, CASE {d} WHEN 2 THEN 1e0 WHEN 1 THEN 85e-2 ELSE 0e0 END AS w FROM dec)"""
@@ -350,7 +350,7 @@ _SHARES = ((0.005, "5e-3"), (0.01, "1e-2"), (0.02, "2e-2"))
 
 
 def _capacity_sql(sh: str) -> str:
-    return f"""SELECT {sh} AS share, rt AS t_review, dt_ AS t_decline, round(nb, 2) AS valid_net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d')}), 2) AS test_net_benefit, count(CASE WHEN d = 1 THEN 1 END) AS n_reviewed
+    return f"""SELECT {sh} AS share, rt AS t_review, dt_ AS t_decline, round(nb, 4) AS valid_net_benefit, round(sum(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d')}), 4) AS test_net_benefit, count(CASE WHEN d = 1 THEN 1 END) AS n_reviewed
 FROM (SELECT te.y, te.amount, b.*, CASE WHEN score >= dt_ THEN 2 WHEN score >= rt THEN 1 ELSE 0 END AS d FROM te, (SELECT rt, dt AS dt_, nb FROM pall, lim WHERE rev <= lim * {sh} / 1e-2 AND nb >= (SELECT max(nb) FROM pall, lim WHERE rev <= lim * {sh} / 1e-2) - 1e-9 ORDER BY rev, dt DESC, rt LIMIT 1) b) GROUP BY rt, dt_, nb"""
 
 
@@ -377,7 +377,7 @@ def swap_sets(spark, d):
 @query("WITH" + CHOSEN + f""", b AS (SELECT y, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_single')} AS bp, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_youden_single')} AS by_, d_profit_single AS dp, d_youden_single AS dy, dt FROM dec),
 s2 AS (SELECT t, coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) - 2e-2 * coalesce(sum(CASE WHEN y = 0 THEN amount END), 0) - 10e0 * count(CASE WHEN y = 0 THEN 1 END) AS nb FROM grid LEFT JOIN te ON score >= t GROUP BY t),
 orc AS (SELECT t, nb FROM s2 WHERE nb >= (SELECT max(nb) FROM s2) - 1e-9 ORDER BY t DESC LIMIT 1)
-SELECT round(max(t_profit) - max(t_youden), 6) AS threshold_gap, max(orc.t) AS t_oracle, round(max(orc.nb) * 1000 / count(*), 2) AS oracle_net_benefit_per_1000, round(avg(bp - by_) * 1000, 4) AS left_on_table_per_1000, round(sum(bp - by_), 4) AS left_on_table_total,
+SELECT round(max(t_profit) - max(t_youden), 6) AS threshold_gap, max(orc.t) AS t_oracle, round(max(orc.nb) * 1000 / count(*), 4) AS oracle_net_benefit_per_1000, round(avg(bp - by_) * 1000, 4) AS left_on_table_per_1000, round(sum(bp - by_), 4) AS left_on_table_total,
 round(sum(bp - by_) / ((max(dt) - min(dt)) / 86400e0), 4) AS left_on_table_per_day, round(avg(CASE WHEN dy = 2 THEN 1e0 ELSE 0 END) / greatest(avg(CASE WHEN dp = 2 THEN 1e0 ELSE 0 END), 1e-12), 6) AS decline_rate_ratio,
 count(CASE WHEN dy = 2 AND y = 0 THEN 1 END) - count(CASE WHEN dp = 2 AND y = 0 THEN 1 END) AS false_declines_avoided FROM b, prof, you, orc""")
 def auc_versus_profit(spark, d):
@@ -413,10 +413,10 @@ def _sensitivity(spark, d):
     return sensitivity.run(sensitivity.cost_cells(spark, _CELLS), valid, t, grid, grid, limit, chosen.select("t_youden"), "rules")
 
 
-@query("WITH" + _SENS + " SELECT margin_rate, churn_penalty, review_cost, review_catch_rate, t_profit_single, t_review, t_decline, round(nb1000_profit_three_way, 2) AS nb1000_profit_three_way, round(nb1000_profit_single, 2) AS nb1000_profit_single, round(nb1000_youden_single, 2) AS nb1000_youden_single, round(nb1000_rules, 2) AS nb1000_rules FROM sens")
+@query("WITH" + _SENS + " SELECT margin_rate, churn_penalty, review_cost, review_catch_rate, t_profit_single, t_review, t_decline, round(nb1000_profit_three_way, 4) AS nb1000_profit_three_way, round(nb1000_profit_single, 4) AS nb1000_profit_single, round(nb1000_youden_single, 4) AS nb1000_youden_single, round(nb1000_rules, 4) AS nb1000_rules FROM sens")
 def sensitivity_grid(spark, d):
     out = _sensitivity(spark, d)
-    return out.withColumns({c: F.round(c, 2) for c in out.columns if c.startswith("nb1000")})
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c.startswith("nb1000")})
 
 
 @query("WITH" + _SENS + """, f AS (SELECT nb1000_profit_three_way >= nb1000_profit_single - 1e-9 AS a, nb1000_profit_single > nb1000_youden_single AS b, nb1000_profit_three_way > nb1000_rules AS c, nb1000_profit_three_way > 0 AS p, nb1000_youden_single > 0 AS q FROM sens)
@@ -425,10 +425,10 @@ def ranking_stability(spark, d):
     return sensitivity.ranking_stability(_sensitivity(spark, d))
 
 
-@query("WITH" + _SENS + " SELECT churn_penalty, round(avg(CASE WHEN margin_rate = 1e-2 THEN nb1000_profit_three_way END), 2) AS c0, round(avg(CASE WHEN margin_rate = 5e-2 THEN nb1000_profit_three_way END), 2) AS c1 FROM sens GROUP BY 1")
+@query("WITH" + _SENS + " SELECT churn_penalty, round(avg(CASE WHEN margin_rate = 1e-2 THEN nb1000_profit_three_way END), 4) AS c0, round(avg(CASE WHEN margin_rate = 5e-2 THEN nb1000_profit_three_way END), 4) AS c1 FROM sens GROUP BY 1")
 def sensitivity_pivot(spark, d):
     out = sensitivity.pivot(_sensitivity(spark, d), "churn_penalty", "margin_rate", F.col("nb1000_profit_three_way"), _CELLS["margin_rate"])
-    return out.withColumns({c: F.round(c, 2) for c in ("c0", "c1")})
+    return out.withColumns({c: F.round(c, 4) for c in ("c0", "c1")})
 
 
 # ---- bootstrap ------------------------------------------------------------
