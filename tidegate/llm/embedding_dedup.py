@@ -136,9 +136,10 @@ class Graph:
         left, right = [], []
         todo, n = np.arange(len(q)), len(self.x)
         while len(todo):
-            beam = min(beam, n)
+            if 32 * beam >= n:  # a beam this wide would read most of the shard by its edges: read it in order instead
+                beam = n
             again = []
-            size = max(8, min(256, 2_000_000 // max(beam, n // 8)))
+            size = max(8, min(256, 4_000_000 // n)) if beam == n else max(8, min(256, 2_000_000 // max(beam, n // 8)))
             for a in range(0, len(todo), size):
                 own = todo[a : a + size]
                 if beam == n:
@@ -155,7 +156,7 @@ class Graph:
                 left.append(own[r])
                 right.append(ids)
             todo = np.concatenate(again) if again else np.zeros(0, np.int64)
-            beam *= 4
+            beam *= 8
         return np.concatenate(left), np.concatenate(right).astype(np.int64)
 
 
@@ -164,7 +165,7 @@ def links_between(graph: Graph, q: np.ndarray, threshold: float) -> tuple[np.nda
     beam, n = BEAM, len(graph.x)
     some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     truth = int((q[some] @ graph.x.T >= threshold).sum())
-    while beam < n:
+    while 32 * beam < n:
         a, b = graph.within(q[some], threshold, beam)
         found = int((np.einsum("nd,nd->n", q[some][a], graph.x[b]) >= threshold).sum())
         if found >= RECALL * truth:
