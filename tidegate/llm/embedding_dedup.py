@@ -4,9 +4,10 @@ Vectors compare only under equal, non-null labels.  Equal vectors of a label
 collapse first.  Each label's vectors are dealt into shards of bounded size
 by a hash of their id; each shard gets one graph, stored in the shared
 folder, and every shard's vectors query every shard of the label.  A query
-whose whole beam lies above the threshold is repeated with a wider one, and a
-shard's beams widen until an audit against brute force passes.  Found pairs
-are verified by their cosine in double precision; links join components.
+whose whole beam lies above the threshold goes on along the edges of all it
+finds above it, and a shard's beams widen until an audit of sampled queries
+against brute force passes.  Found pairs are verified by their cosine in
+double precision; links join components.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing, like rows with null label.  Repeated rows count as copies.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import _base, _bytes
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, AUDIT, RECALL = 16_384, 16, 48, 32, 64, 0.99
+SHARD, DEGREE, BUILD_BEAM, BEAM, AUDIT, RECALL = 16_384, 16, 48, 32, 64, 0.999
 
 
 class Graph:
@@ -132,40 +133,56 @@ class Graph:
         return near
 
     def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs found with similarity of about the threshold or more; beams that stay above it all over are widened."""
+        """(query, vector) pairs found with similarity of about the threshold or more; where the whole beam lies above it, the search goes on along the edges."""
         left, right = [], []
-        todo, n = np.arange(len(q)), len(self.x)
-        while len(todo):
-            if 32 * beam >= n:  # a beam this wide would read most of the shard by its edges: read it in order instead
-                beam = n
-            again = []
-            size = max(8, min(256, 4_000_000 // n)) if beam == n else max(8, min(256, 2_000_000 // max(beam, n // 8)))
-            for a in range(0, len(todo), size):
-                own = todo[a : a + size]
-                if beam == n:
-                    sims = q[own] @ self.x.T
-                    r, c = np.nonzero(sims >= threshold - 1e-4)
-                    ids = c
-                else:
-                    got, sims = self.search(q[own], self.descend(q[own]), beam)
-                    full = sims[:, -1] >= threshold - 1e-4
-                    again.append(own[full])
-                    sims[full] = -np.inf
-                    r, c = np.nonzero(sims >= threshold - 1e-4)
-                    ids = got[r, c]
-                left.append(own[r])
+        n, low = len(self.x), threshold - 1e-4
+        beam = min(beam, n)
+        size = max(8, min(256, 2_000_000 // max(beam, n // 8)))
+        for a in range(0, len(q), size):
+            part = q[a : a + size]
+            got, sims = self.search(part, self.descend(part), beam)
+            full = sims[:, -1] >= low
+            r, c = np.nonzero((sims >= low) & ~full[:, None])
+            left.append(a + r)
+            right.append(got[r, c])
+            own = np.flatnonzero(full)
+            step = max(1, 1_000_000 // n)
+            for b in range(0, len(own), step):
+                r, ids = self._spread(part[own[b : b + step]], got[own[b : b + step]], low)
+                left.append(a + own[b + r])
                 right.append(ids)
-            todo = np.concatenate(again) if again else np.zeros(0, np.int64)
-            beam *= 8
         return np.concatenate(left), np.concatenate(right).astype(np.int64)
 
+    def _spread(self, q: np.ndarray, found: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, vector) pairs with similarity of ``low`` or more that edges between such vectors reach from the found ones."""
+        n, adj = len(self.x), self.layers[0]
+        seen = np.zeros(len(q) * n, bool)
+        key = (np.arange(len(q))[:, None] * n + found).ravel()
+        seen[key] = True
+        out, todo = [key], [key]
+        while todo:
+            key = todo.pop()
+            if len(key) > 50_000:
+                todo.append(key[50_000:])
+                key = key[:50_000]
+            r, nb = key // n, adj[key % n]
+            nxt = (r[:, None] * n + nb)[nb >= 0]
+            nxt = np.unique(nxt[~seen[nxt]])
+            seen[nxt] = True
+            nxt = nxt[np.einsum("nd,nd->n", self.x[nxt % n], q[nxt // n]) >= low]
+            if len(nxt):
+                out.append(nxt)
+                todo.append(nxt)
+        key = np.concatenate(out)
+        return key // n, key % n
+
 
 def links_between(graph: Graph, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """As ``Graph.within``, with beams widened until sampled queries reach the audited recall."""
     beam, n = BEAM, len(graph.x)
     some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     truth = int((q[some] @ graph.x.T >= threshold).sum())
-    while 32 * beam < n:
+    while beam < n:
         a, b = graph.within(q[some], threshold, beam)
         found = int((np.einsum("nd,nd->n", q[some][a], graph.x[b]) >= threshold).sum())
         if found >= RECALL * truth:
