@@ -59,6 +59,36 @@ class Graph:
                 ids[~np.isfinite(sims)] = -1
                 self._link(lv, w, ids)
             at += len(new)
+        self._reach_all()
+
+    def _reach_all(self) -> None:
+        """Give vectors that no edges lead to, as links were trimmed, a way from the nearest reachable one, in two columns more: to its first, and on to its next."""
+        x, n = self.x, len(self.x)
+        adj = self.layers[0] = np.concatenate((self.layers[0], np.full((n, 2), -1, np.int32)), 1)
+        got = np.zeros(n, bool)
+        wave = np.zeros(1, np.int64)
+        while True:
+            while len(wave):
+                got[wave] = True
+                wave = np.unique(adj[wave])
+                wave = wave[wave >= 0]
+                wave = wave[~got[wave]]
+            lost = np.flatnonzero(~got)
+            if not len(lost):
+                return
+            out = np.where((adj[lost] >= 0) & got[adj[lost]], adj[lost], -1)
+            ok = (out >= 0).any(axis=1)
+            if ok.any():
+                lost, out = lost[ok], out[ok]
+                sims = np.where(out >= 0, np.einsum("lkd,ld->lk", x[out], x[lost]), -np.inf)
+                near = np.take_along_axis(out, sims.argmax(axis=1)[:, None], 1)[:, 0]
+            else:
+                lost = lost[:1]
+                have = np.flatnonzero(got)
+                near = have[[int((x[have] @ x[lost[0]]).argmax())]]
+            for u, v in zip(lost.tolist(), near.tolist(), strict=True):
+                adj[u, -1], adj[v, -2] = adj[v, -2], u
+            wave = lost
 
     def _link(self, lv: int, new: np.ndarray, ids: np.ndarray) -> None:
         adj = self.layers[lv]
@@ -181,11 +211,9 @@ def links_between(graph: Graph, q: np.ndarray, threshold: float) -> tuple[np.nda
     """As ``Graph.within``, with beams widened until sampled queries reach the audited recall."""
     beam, n = BEAM, len(graph.x)
     some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = int((q[some] @ graph.x.T >= threshold).sum())
+    truth = q[some] @ graph.x.T >= threshold
     while beam < n:
-        a, b = graph.within(q[some], threshold, beam)
-        found = int((np.einsum("nd,nd->n", q[some][a], graph.x[b]) >= threshold).sum())
-        if found >= RECALL * truth:
+        if truth[graph.within(q[some], threshold, beam)].sum() >= RECALL * truth.sum():
             break
         beam *= 2
     return graph.within(q, threshold, beam)
@@ -213,7 +241,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _build(key, table):
-    table = table.sort_by("rep")
+    # In an order of their own, so that neighbouring ids that resemble each other don't come one after another.
+    rep = table.column("rep").to_numpy()
+    table = table.take(np.lexsort((rep, _bytes.mix(rep.astype(np.int64).view(np.uint64)))))
     v = _vectors(table)
     graph = Graph(_unit(v))
     shape = np.array([len(v), v.shape[1], len(graph.layers)], "<i8").tobytes()
@@ -227,7 +257,7 @@ def _load(ids: bytes, raw: bytes):
     v = np.frombuffer(raw, "<f8", n * d, 24).reshape(n, d)
     at, layers = 24 + 8 * n * d, []
     for lv in range(k):
-        w = 2 * DEGREE if lv == 0 else DEGREE
+        w = 2 * DEGREE + 2 if lv == 0 else DEGREE
         layers.append(np.frombuffer(raw, "<i4", n * w, at).reshape(n, w))
         at += 4 * n * w
     both = np.frombuffer(ids, "<i8")
