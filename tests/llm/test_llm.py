@@ -57,6 +57,22 @@ def test_suffix_dedup(spark, prose):
     assert {r.n_removed for r in suffix_dedup.suffix_dedup(null).collect()} == {0}
 
 
+def test_suffix_dedup_cuts_frequent_minimizers_finer(spark, monkeypatch):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    lines = [noise(k) for k in (70, 99, 101, 150, 260)]
+    texts = [noise(rng.randint(0, 90)) + rng.choice(lines) + noise(rng.randint(0, 90)) for _ in range(150)]
+    texts += [rng.choice("xy") + lines[3] + rng.choice("xy") + noise(40) for _ in range(40)] + [texts[5], None, ""]
+    df = docs_of(spark, texts).coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 20)
+    assert len(suffix_dedup.frequent_anchors(df.select("doc_id", "text"), 100, 1000)) >= 3
+    want = spans_by_force(list(enumerate(texts)), 100)
+    for most in (0, 2, 1000):  # which minimizers are cut finer changes no result
+        monkeypatch.setattr(suffix_dedup, "MOST_FREQUENT", most)
+        got = suffix_dedup.suffix_dedup(df).select("__row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=40), min_size=1, max_size=6), st.integers(17, 24))
 def test_repeated_windows(parts, width):

@@ -134,23 +134,21 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(got) - rest], got[rest:]) if rest else got
 
 
-def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int, salt: int = 0):
+def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int):
     """Runs of neighbouring ``width``-byte windows that share a minimizer.
 
     Equal windows have their minimizer (least hashed k-gram, the leftmost of
     equals) at the same place inside, so equal windows always fall under equal
-    anchor hashes.  Returns (doc index, first window, last window, anchor hash).
-    Buffers must be shorter than 2**24 bytes... longer ones use more position bits.
+    anchor hashes.  Returns (doc index, first window, last window, anchor hash,
+    place of the anchor).
     """
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64), none
     pre = prefix_hash(buf)
     at = np.arange(n - k + 1)
     full = span_hash(pre, at, at + k)
-    if salt:
-        full = mix(full ^ U64(salt))
     bits = max(24, int(n).bit_length())
     low = U64((1 << bits) - 1)
     least = sliding_min((full & ~low) | at.astype(U64), width - k + 1)
@@ -159,12 +157,12 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int, salt: int
     valid = np.arange(n - width + 1) + width <= offs[doc + 1]
     w = np.flatnonzero(valid)
     if not len(w):
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64), none
     new = np.ones(len(w), bool)
     new[1:] = (place[w][1:] != place[w][:-1]) | (doc[w][1:] != doc[w][:-1])
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(w)) - 1
-    return doc[w[s]], w[s], w[e], full[place[w[s]]]
+    return doc[w[s]], w[s], w[e], full[place[w[s]]], place[w[s]]
 
 
 def digest64(raw: bytes) -> int:

@@ -7,7 +7,10 @@ documents and are judged on the input.
 Plan
  1. Windows are cut into runs that share a minimizer; equal windows always lie
     in runs of equal minimizer hash.  Runs of equal content meet by that hash:
-    all but the earliest go whole.
+    all but the earliest go whole.  Minimizers with very many contents are
+    counted first; their runs are cut finer, by where the minimizer lies in a
+    window, and meet by the bytes that all windows of a cut have in common,
+    so no group grows with the number of texts around a frequent passage.
  2. Only hashes with two or more different contents left send the text of
     those contents on, dealt by the hash.
  3. Bounded chunks of that text get a suffix array by two-stage sorting, and
@@ -33,6 +36,8 @@ from tidegate.llm._bytes import U64
 
 #: Bytes of the k-gram that places a window; runs held by a task before it deals them out; bytes of a suffix array's text.
 K, FLUSH_RUNS, CHUNK = 20, 250_000, 1 << 20
+#: Contents from which a minimizer counts as frequent, minimizers so treated (results don't depend on which), windows of a finer cut.
+FREQUENT, MOST_FREQUENT, FINE = 1000, 1 << 16, 3
 
 
 def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +230,69 @@ def _rows(doc, span, bucket=0):
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(span), pa.nulls(n, pa.binary())], schema=_SENT)
 
 
-def _deal(width: int, buckets: int):
+def _runs(part, width: int):
+    """Buffer, prefix hashes, document offsets and ids, and the anchored runs of a record batch."""
+    buf, offs = _bytes.buffers(part.column(1))
+    ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _bytes.prefix_hash(buf), offs, ids, _bytes.anchor_runs(buf, offs, width, K)
+
+
+def _frequent(width: int):
+    """(anchor, contents) of the anchors that have one in a thousand of a task's contents, and 16 at least."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def counted():
+            anchor, content = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.lexsort((content, anchor))
+            anchor, content = anchor[o], content[o]
+            new = np.ones(len(o), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            own, many = np.unique(anchor[new], return_counts=True)
+            keep = many >= max(16, int(new.sum()) // 1000)
+            return pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(many[keep])], names=["anchor", "contents"])
+
+        for part in _bytes.slices(batches, 1 << 19):
+            pre, _, _, (d, a, b, h, _) = _runs(part, width)
+            held.append((h, _bytes.span_hash(pre, a, b + width)))
+            count += len(d)
+            if count >= FLUSH_RUNS:
+                yield counted()
+                held, count = [], 0
+        if held:
+            yield counted()
+
+    return run
+
+
+def frequent_anchors(ids: DataFrame, width: int, most: int) -> np.ndarray:
+    """Sorted hashes of the anchors with the most contents, from ``FREQUENT`` on; ``most`` bounds what is held, not what is compared."""
+    many = ids.mapInArrow(_frequent(width), "anchor long, contents long").groupBy("anchor").agg(F.sum("contents").alias("contents"))
+    got = many.where(F.col("contents") >= FREQUENT).orderBy(F.desc("contents"), "anchor").limit(most).select("anchor").collect()
+    return np.sort(np.array([r.anchor for r in got], np.int64).view(U64))
+
+
+def _finer(pre, width: int, d, a, b, h, place, hot):
+    """Runs of the frequent anchors cut by the anchor's place in the window, each keyed by the bytes common to the windows of its cut."""
+    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+    if not is_hot.any():
+        return d, a, b, h
+    x = np.flatnonzero(is_hot)
+    low, high = (place[x] - b[x]) // FINE, (place[x] - a[x]) // FINE  # cuts from the last window to the first
+    many = high - low + 1
+    x = np.repeat(x, many)
+    cut = np.repeat(low, many) + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+    first = np.maximum(a[x], place[x] - cut * FINE - FINE + 1)
+    last = np.minimum(b[x], place[x] - cut * FINE)
+    core = place[x] - cut * FINE
+    key = _bytes.span_hash(pre, core, core + width - FINE + 1)
+    key = _bytes.mix(key + (cut + 1).astype(U64))
+    rest = ~is_hot
+    return tuple(np.concatenate((p, q)) for p, q in ((d[rest], d[x]), (a[rest], first), (b[rest], last), (h[rest], key)))
+
+
+def _deal(width: int, buckets: int, hot: np.ndarray):
     def run(batches):
         held, count = [], 0
 
@@ -250,13 +317,11 @@ def _deal(width: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
 
         for part in _bytes.slices(batches, 1 << 19):
-            buf, offs = _bytes.buffers(part.column(1))
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            d, a, b, h = _bytes.anchor_runs(buf, offs, width, K)
+            pre, offs, ids, runs = _runs(part, width)
+            d, a, b, h = _finer(pre, width, *runs, hot)
             if not len(d):
                 continue
-            c = _bytes.span_hash(_bytes.prefix_hash(buf), a, b + width)
-            held.append((h, c, ids[d].astype(np.int64), a - offs[d], (b - a + 1).astype(np.int32)))
+            held.append((h, _bytes.span_hash(pre, a, b + width), ids[d], a - offs[d], (b - a + 1).astype(np.int32)))
             count += len(d)
             if count >= FLUSH_RUNS:
                 yield from flush()
@@ -386,7 +451,8 @@ def removed_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     total = _base.text_bytes(ids)
     buckets = _base.parts_for(total, 8 << 20, 2)
     tasks = _base.tasks_for(spark, total)
-    dealt = ids.where(F.octet_length("text") >= width).mapInArrow(_deal(width, buckets), _DEALT)
+    long = ids.where(F.octet_length("text") >= width)
+    dealt = long.mapInArrow(_deal(width, buckets, frequent_anchors(long, width, MOST_FREQUENT)), _DEALT)
     met = _base.staged(dealt.repartition(buckets, "bucket").mapInArrow(_meet(width), "doc_id long, span long, anchor long"), "repeats", tasks)
     need = met.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))
     cut = ids.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width), "anchor long, doc_id long, start long, bytes binary")
