@@ -282,6 +282,26 @@ def test_topk(spark):
     assert topk_search.topk(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 50])
+def test_topk_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "VECTOR_BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(120)]
+    rows += rows + [(3, [9 * x for x in rows[0][1]])] * 60 + [(20, rows[7][1]), (5, rows[0][1])]  # 3, 5 and 20: different vectors
+    score, at = {}, [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    for q, x in at:
+        for i, y in at if q % 20 == 0 else []:
+            if i != q:
+                score[q, i] = max(score.get((q, i), -(10**9)), int(x @ y))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in topk_search.topk(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 120, 20):
+        best = sorted((-s, i) for (own, i), s in score.items() if own == q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_search_block_stops_only_when_certain():
     rng = np.random.default_rng(0)
     v, q = rng.integers(-40, 40, (500, 8)), rng.integers(-40, 40, (20, 8))

@@ -10,7 +10,10 @@ Vectors and queries travel in packed blocks; each block of queries meets each
 block of vectors once, in a task of bounded size, and returns k candidates
 per query.  Vectors that are null, or hold null or non-finite components,
 take no part; vectors meet only others of their own length.  Ties go to the smaller id; a query never finds
-its own id, and repeated rows of one id count once.
+its own id, and repeated rows of one id count once: in blocks and in merges an
+id stands once, with the best score of any of its rows, before k are taken.
+An id with different vectors, as a query too, therefore has the score of its
+best pair.  (The registered SQL counts each row; the two differ on such tables.)
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ def whole(vec: Column, scale: int) -> Column:
 
 
 def search_block(qid, q, vid, v, k: int, cells: int = 16):
-    """Per query, the ids and scores of its k best in one block."""
+    """Per query, its k best distinct ids in one block, each with the best score of its rows."""
+    repeats = len(np.unique(vid)) < len(vid)
     low, high = v.min(axis=0), v.max(axis=0)
     step = np.maximum((high - low + cells) // cells, 1)
     code = ((v - low) // step).astype(np.uint8)  # the approximation file
@@ -50,7 +54,10 @@ def search_block(qid, q, vid, v, k: int, cells: int = 16):
             rest = np.partition(-b, want)[want] if want < len(vid) else np.inf  # minus the best bound left
             at = at[np.isfinite(b[at])]
             score = v[at] @ q[i]
-            o = np.lexsort((vid[at], -score))[:k]
+            o = np.lexsort((vid[at], -score))
+            if repeats:
+                o = o[np.sort(np.unique(vid[at][o], return_index=True)[1])]
+            o = o[:k]
             if want >= len(vid) or len(o) == k and score[o[-1]] > -rest:
                 break
             want = min(4 * want, len(vid))
@@ -134,9 +141,14 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     spread = spread.select("no", F.when(F.col("kind") == 0, F.col("b")).otherwise(F.col("o")).alias("qb"), F.when(F.col("kind") == 0, F.col("o")).otherwise(F.col("b")).alias("vb"))
     met = spread.join(packed, "no").select("qb", "vb", "kind", "ids", "raw")
     got = met.groupBy("qb", "vb").applyInArrow(_search(k), "query_id long, ids array<long>, scores array<long>, vb int")
-    best = got.select("query_id", "vb", F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("p"))
+    best = got.select("query_id", "vb", F.zip_with("scores", "ids", lambda s, i: F.struct(i.alias("i"), (-s).alias("s"))).alias("p"))
     for fan in (64, None):  # blocks' candidates merge in two rounds of bounded lists
         key = ["query_id"] if fan is None else ["query_id", F.floor(F.col("vb") / fan).alias("vb")]
-        best = best.groupBy(*key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, k).alias("p"))
+        best = best.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+        first = F.filter("p", lambda x, n: (n == 0) | (F.get("p", n - 1)["i"] != x["i"]))  # each id's best
+        by_score = F.array_sort(F.transform(first, lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"))))
+        best = best.select(*key[:1], *(["vb"] if fan else []), F.slice(by_score, 1, k).alias("p"))
+        if fan:
+            best = best.withColumn("p", F.transform("p", lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
     out = best.coalesce(4 * spark.sparkContext.defaultParallelism).select("query_id", F.posexplode("p").alias("r", "x"))
     return out.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).cast("long").alias("score"))
