@@ -35,5 +35,10 @@ def test_query(spark, name):
             assert u == v or (u is not None and v is not None and u == pytest.approx(v, abs=2e-4, rel=1e-6))
 
 
+@pytest.mark.parametrize("name", ["threshold_grid_full", "headline_policies_full"])
+def test_full_grids(spark, name):
+    test_query(spark, name)
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"gbt_scores", "synthetic_source"}

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,13 @@ def test_costs(spark, scored):
     assert th.threshold_grid(tied, 3, 3).count() >= 4
 
 
+def test_threshold_grid_defaults(spark):
+    scores = [((i * 37) % 101) ** 2 / 10_201 for i in range(60)]
+    df = spark.createDataFrame([(x,) for x in scores], "score double")
+    want = np.concatenate([np.quantile(scores, np.linspace(0, 1, 2000)), np.quantile(scores, 1 - np.geomspace(1e-5, 1, 2000)), np.linspace(0, 1, 1001), [np.inf]])
+    assert sorted(r.t for r in th.threshold_grid(df, digits=9).collect()) == sorted(set(np.round(want, 9).tolist()))
+
+
 def test_rules(spark):
     thr = policy.amount_threshold(spark.createDataFrame([(float(i),) for i in range(1, 101)], "amount double")).first()[0]
     df = spark.createDataFrame([(500.0, 0), (500.0, 3), (5.0, 0), (500.0, None)], "amount double, prior int")

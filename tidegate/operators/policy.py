@@ -31,10 +31,10 @@ def amount_threshold(train: DataFrame, percentile: float = 90, amount: str = "am
     return train.agg(F.when(F.count(amount) > 0, q).otherwise(F.raise_error(F.lit("no amounts")).cast("double")).alias("amount_threshold"))
 
 
-def select_policies(valid: DataFrame, train: DataFrame, p: CostParams, n_quantiles: int = 2000, n_linear: int = 1001, n_policy: int = 400, share: float = 0.01, grid: DataFrame | None = None, pair_grid: DataFrame | None = None) -> DataFrame:
+def select_policies(valid: DataFrame, train: DataFrame, p: CostParams, n_quantiles: int = 2000, n_linear: int = 1001, n_policy: int = 400, share: float = 0.01, grid: DataFrame | None = None, pair_grid: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """One row (t_youden, t_profit, t_review, t_decline, cap), chosen on ``valid`` alone; capacity comes from ``train``."""
-    grid = grid if grid is not None else th.threshold_grid(valid, n_quantiles, n_linear)
-    pair_grid = pair_grid if pair_grid is not None else th.threshold_grid(valid, n_policy // 2, 0)
+    grid = grid if grid is not None else th.threshold_grid(valid, n_quantiles, n_linear, digits=digits)
+    pair_grid = pair_grid if pair_grid is not None else th.threshold_grid(valid, n_policy // 2, 0, digits=digits)
     cap = max_reviews_per_day(train, share)
     limit = cap.join(F.broadcast(split_days(valid))).select((F.col("cap") * F.col("days")).alias("limit"))
     same = pair_grid is grid

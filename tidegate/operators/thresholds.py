@@ -21,8 +21,11 @@ def literal_grid(spark, values: list[float]) -> DataFrame:
     return spark.createDataFrame([(float(v),) for v in sorted(set(values))], "t double")
 
 
-def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score") -> DataFrame:
-    """Distinct thresholds: even quantiles, quantiles dense in the upper tail, an even grid on [0, 1], and infinity."""
+def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score", digits: int | None = None) -> DataFrame:
+    """Distinct thresholds: even quantiles, quantiles dense in the upper tail, an even grid on [0, 1], and infinity.
+
+    ``digits`` rounds them all, for results that another engine must reproduce.
+    """
     spark = df.sparkSession
     probs = np.linspace(0, 1, n_quantiles).tolist() + np.clip(1 - np.geomspace(1e-5, 1, n_quantiles), 0, 1).tolist() if n_quantiles else []
     fixed = np.linspace(0, 1, n_linear).tolist() if n_linear else []
@@ -30,7 +33,10 @@ def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001,
     if probs:
         # Exact quantiles over distinct scores and their counts.
         counts = df.groupBy(score).agg(F.count("*").alias("c"))
-        out = counts.select(F.explode(F.percentile(score, F.array(*[F.lit(p) for p in probs]), F.col("c"))).alias("t")).union(out)
+        at = F.split(F.lit(",".join(map(repr, probs))), ",").cast("array<double>")  # one literal: thousands are slow to plan
+        out = counts.select(F.explode(F.percentile(score, at, F.col("c"))).alias("t")).union(out)
+    if digits is not None:
+        out = out.select(F.round("t", digits).alias("t"))
     return out.distinct()
 
 

@@ -16,7 +16,7 @@ from tidegate.models import gbt
 from tidegate.operators import bootstrap, drift, encoding, metrics, policy, profile, selection, sensitivity, split, swap, windows
 from tidegate.operators import thresholds as th
 from tidegate.plans import decision, views
-from tidegate.plans.views import CHOSEN, SPLIT, STATS, TXN, table, txn
+from tidegate.plans.views import CHOSEN, SPLIT, STATS, TXN, full_sql, grid_sql, table, txn
 from tidegate.sources.synthetic import make_raw
 from tidegate.sources.tables import enrich
 
@@ -25,8 +25,8 @@ ORACLES: dict[str, str] = {}
 P = CostParams()
 
 
-def query(sql: str | None = None, digits: int = 6, money: int = 4):
-    """Register a query; doubles are rounded, money (columns named for it) to hundredths of a cent, beyond which margins of cents don't reach."""
+def query(sql: str | None = None, digits: int = 6, money: int = 4, full: bool = False):
+    """Register a query, and with ``full`` also name_full, the same over the operators' own grids; doubles are rounded, money (columns named for it) to hundredths of a cent, beyond which margins of cents don't reach."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,15 @@ def query(sql: str | None = None, digits: int = 6, money: int = 4):
         QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = sql.strip()
+        if full:
+
+            def run_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+                out = rounded(f(spark, sf_dir, full=True), digits, money, decision.DIGITS)
+                return out.withColumn("t", F.when(F.col("t") < F.lit(th.INF), F.col("t"))) if "t" in out.columns else out
+
+            run_full.__name__, run_full.__doc__ = f"{f.__name__}_full", f.__doc__
+            QUERIES[run_full.__name__] = run_full
+            ORACLES[run_full.__name__] = full_sql(sql.strip())
         return f
 
     return add
@@ -44,12 +53,14 @@ def query(sql: str | None = None, digits: int = 6, money: int = 4):
 MONEY = ("amount", "cost", "benefit", "loss", "amt_1h", "amt_24h", "amt_7d", "amount_total")
 
 
-def rounded(df: DataFrame, digits: int, money: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int, money: int, thresholds: int | None = None) -> DataFrame:
     out = {}
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
             cents = any(w in name for w in MONEY) and "rate" not in name and "share" not in name
             places = 8 if name.endswith("tenure_days") else money if cents else digits
+            if thresholds and (name == "t" or name.startswith("t_")):
+                places = thresholds
             out[name] = F.round(F.col(name).cast("double"), places) + F.lit(0.0)
     return df.withColumns(out)
 
@@ -258,20 +269,23 @@ def youden(spark, d):
 # ---- thresholds and policies ----------------------------------------------
 
 
-def _grid(spark):
-    return th.literal_grid(spark, decision.GRID)
+def _grid(spark, full=None):
+    """The fixed grid, or the full one of the scores of ``full``."""
+    return decision.full_grid(full) if full else th.literal_grid(spark, decision.GRID)
 
 
 @query("WITH" + TXN + STATS.format(rows="txn") + """, a AS (SELECT count(*) AS n, sum(y) AS p, sum(CASE WHEN y = 1 THEN amount ELSE 0 END) AS fa FROM txn)
 SELECT t, k AS n_declined, round(k / (n * 1e0), 6) AS decline_rate, round(a.fa - (st.fa - 2e-2 * la - 10e0 * lc), 4) AS cost, round(st.fa - 2e-2 * la - 10e0 * lc, 4) AS net_benefit, round((st.fa - 2e-2 * la - 10e0 * lc) * 1000 / n, 4) AS net_benefit_per_1000,
-round(fc / (p * 1e0), 6) AS tpr, round(lc / ((n - p) * 1e0), 6) AS fpr, round(st.fa / a.fa, 6) AS fraud_capture_dollars FROM st, a""")
-def single_sweep(spark, d):
-    return th.single_sweep(th.cum_stats(txn(spark, d), _grid(spark)), P)
+round(fc / (p * 1e0), 6) AS tpr, round(lc / ((n - p) * 1e0), 6) AS fpr, round(st.fa / a.fa, 6) AS fraud_capture_dollars FROM st, a""", full=True)
+def single_sweep(spark, d, full=False):
+    t = txn(spark, d)
+    return th.single_sweep(th.cum_stats(t, _grid(spark, full and t)), P)
 
 
-@query("WITH" + TXN + STATS.format(rows="txn") + ", nb AS (SELECT t, fa - 2e-2 * la - 10e0 * lc AS nb FROM st) SELECT max(t) AS t_profit FROM nb WHERE nb >= (SELECT max(nb) FROM nb) - 1e-9")
-def profit_optimal(spark, d):
-    return th.profit_optimal(th.single_sweep(th.cum_stats(txn(spark, d), _grid(spark)), P))
+@query("WITH" + TXN + STATS.format(rows="txn") + ", nb AS (SELECT t, fa - 2e-2 * la - 10e0 * lc AS nb FROM st) SELECT max(t) AS t_profit FROM nb WHERE nb >= (SELECT max(nb) FROM nb) - 1e-9", full=True)
+def profit_optimal(spark, d, full=False):
+    t = txn(spark, d)
+    return th.profit_optimal(th.single_sweep(th.cum_stats(t, _grid(spark, full and t)), P))
 
 
 @query("WITH" + TXN + ", q AS (SELECT unnest(quantile_cont(round(score, 2), [0.0, 0.25, 0.5, 0.75, 1.0])) AS t FROM txn UNION ALL SELECT i / 10e0 FROM range(0, 11) AS r(i)) SELECT DISTINCT round(t, 6) AS t FROM q")
@@ -282,24 +296,31 @@ def threshold_grid(spark, d):
     return q.union(th.literal_grid(spark, [i / 10 for i in range(11)])).select(F.round("t", 6).alias("t")).distinct()
 
 
-@query("WITH" + CHOSEN + " SELECT round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(nb, 4) AS net_benefit, rev AS n_reviews FROM pair")
-def three_way(spark, d):
+@query("WITH" + TXN + "," + grid_sql("txn", "grid") + " SELECT CASE WHEN t < 'infinity'::DOUBLE THEN t END AS t FROM grid", digits=9)
+def threshold_grid_full(spark, d):
+    """The operator's own grid: even and upper-tail quantiles, the even grid, and infinity, given as null."""
+    return th.threshold_grid(txn(spark, d), digits=decision.DIGITS).select(F.when(F.col("t") < F.lit(th.INF), F.col("t")).alias("t"))
+
+
+@query("WITH" + CHOSEN + " SELECT round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(nb, 4) AS net_benefit, rev AS n_reviews FROM pair", full=True)
+def three_way(spark, d, full=False):
     train, valid, _ = decision.parts(split.time_split(txn(spark, d)))
     limit = policy.max_reviews_per_day(train).join(F.broadcast(policy.split_days(valid))).select(F.col("cap") * F.col("days"))
-    return th.three_way(th.cum_stats(valid, _grid(spark)), P, limit).select("t_review", "t_decline", "net_benefit", "n_reviews")
+    grid = decision.full_pair_grid(valid) if full else _grid(spark)
+    return th.three_way(th.cum_stats(valid, grid), P, limit).select("t_review", "t_decline", "net_benefit", "n_reviews")
 
 
-@query("WITH" + CHOSEN + " SELECT round(t_youden, 6) AS t_youden, round(t_profit, 6) AS t_profit, round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(cap, 6) AS cap FROM you, prof, pair, cap")
-def select_policies(spark, d):
-    return decision.decided(spark, d)[1]
+@query("WITH" + CHOSEN + " SELECT round(t_youden, 6) AS t_youden, round(t_profit, 6) AS t_profit, round(t_review, 6) AS t_review, round(t_decline, 6) AS t_decline, round(cap, 6) AS cap FROM you, prof, pair, cap", full=True)
+def select_policies(spark, d, full=False):
+    return decision.decided(spark, d, full)[1]
 
 
 _COST = "CASE WHEN {d} = 1 THEN 5e0 + CASE WHEN y = 1 THEN (1 - 85e-2) * amount ELSE 0 END WHEN {d} = 0 AND y = 1 THEN amount WHEN {d} = 2 AND y = 0 THEN 2e-2 * amount + 10e0 ELSE 0 END"
 
 
-@query("WITH" + CHOSEN + f" SELECT id, d_profit_three_way AS decision, round({_COST.format(d='d_profit_three_way')}, 4) AS cost, round(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_three_way')}, 4) AS benefit FROM dec")
-def row_costs(spark, d):
-    t = decision.decided(spark, d)[0]
+@query("WITH" + CHOSEN + f" SELECT id, d_profit_three_way AS decision, round({_COST.format(d='d_profit_three_way')}, 4) AS cost, round(CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_three_way')}, 4) AS benefit FROM dec", full=True)
+def row_costs(spark, d, full=False):
+    t = decision.decided(spark, d, full)[0]
     return t.select("id", F.col("dec_profit_three_way").cast("int").alias("decision"), row_cost("dec_profit_three_way", "y", "amount", P).alias("cost"), row_benefit("dec_profit_three_way", "y", "amount", P).alias("benefit"))
 
 
@@ -316,33 +337,33 @@ round(count(CASE WHEN d = 1 THEN 1 END) / ((max(dt) - min(dt)) / 86400e0), 6) AS
 FROM (SELECT *, {d} AS d, {_COST.format(d=d)} AS c, CASE {d} WHEN 2 THEN 1e0 WHEN 1 THEN 85e-2 ELSE 0e0 END AS w FROM dec)"""
 
 
-@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_summary_sql(n, i + 1) for i, n in enumerate(policy.POLICIES)))
-def headline_policies(spark, d):
-    return policy.evaluate_policies(decision.decided(spark, d)[0], P)
+@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_summary_sql(n, i + 1) for i, n in enumerate(policy.POLICIES)), full=True)
+def headline_policies(spark, d, full=False):
+    return policy.evaluate_policies(decision.decided(spark, d, full)[0], P)
 
 
-@query("WITH" + CHOSEN + ", f AS (SELECT y, d_rules = 2 AS flag FROM dec), sc AS (SELECT flag::INTEGER AS score, sum(y) AS p, count(*) AS c FROM f GROUP BY 1), cv AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS k, sum(p) OVER () AS pa, sum(c) OVER () AS na FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT (SELECT count(*) FROM f WHERE flag) AS n_flagged, round((SELECT avg(flag::INTEGER) FROM f), 6) AS flag_rate, round((SELECT avg(y) FROM f WHERE flag), 6) AS precision, round((SELECT sum(y) FROM f WHERE flag) / (SELECT sum(y) * 1e0 FROM f), 6) AS recall, ".replace(", sc AS", ", sc2 AS").replace("FROM sc WINDOW", "FROM sc2 WINDOW") + _AUC.replace("AS roc_auc", "AS roc_auc_degenerate").replace("AS pr_auc", "AS pr_auc_degenerate") + " FROM cv")
-def rules_baseline(spark, d):
-    return metrics.rule_metrics(decision.decided(spark, d)[0], "rules")
+@query("WITH" + CHOSEN + ", f AS (SELECT y, d_rules = 2 AS flag FROM dec), sc AS (SELECT flag::INTEGER AS score, sum(y) AS p, count(*) AS c FROM f GROUP BY 1), cv AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS k, sum(p) OVER () AS pa, sum(c) OVER () AS na FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT (SELECT count(*) FROM f WHERE flag) AS n_flagged, round((SELECT avg(flag::INTEGER) FROM f), 6) AS flag_rate, round((SELECT avg(y) FROM f WHERE flag), 6) AS precision, round((SELECT sum(y) FROM f WHERE flag) / (SELECT sum(y) * 1e0 FROM f), 6) AS recall, ".replace(", sc AS", ", sc2 AS").replace("FROM sc WINDOW", "FROM sc2 WINDOW") + _AUC.replace("AS roc_auc", "AS roc_auc_degenerate").replace("AS pr_auc", "AS pr_auc_degenerate") + " FROM cv", full=True)
+def rules_baseline(spark, d, full=False):
+    return metrics.rule_metrics(decision.decided(spark, d, full)[0], "rules")
 
 
 _DAILY = ", dd AS (SELECT floor((dt - (SELECT min(dt) FROM dec)) / 86400e0)::BIGINT AS day, count(CASE WHEN d_profit_three_way = 1 THEN 1 END) AS reviews FROM dec GROUP BY 1)"
 
 
-@query("WITH" + CHOSEN + _DAILY + " SELECT day, reviews FROM dd")
-def reviews_per_day(spark, d):
-    return policy.reviews_per_day(decision.decided(spark, d)[0], "dec_profit_three_way")
+@query("WITH" + CHOSEN + _DAILY + " SELECT day, reviews FROM dd", full=True)
+def reviews_per_day(spark, d, full=False):
+    return policy.reviews_per_day(decision.decided(spark, d, full)[0], "dec_profit_three_way")
 
 
-@query("WITH" + CHOSEN + _DAILY + " SELECT max(reviews) AS reviews_max, round(quantile_cont(reviews, 0.95), 6) AS reviews_p95, count(CASE WHEN reviews > cap THEN 1 END) AS days_over_capacity, count(*) AS n_days FROM dd, cap")
-def review_load(spark, d):
-    t, chosen, *_ = decision.decided(spark, d)
+@query("WITH" + CHOSEN + _DAILY + " SELECT max(reviews) AS reviews_max, round(quantile_cont(reviews, 0.95), 6) AS reviews_p95, count(CASE WHEN reviews > cap THEN 1 END) AS days_over_capacity, count(*) AS n_days FROM dd, cap", full=True)
+def review_load(spark, d, full=False):
+    t, chosen, *_ = decision.decided(spark, d, full)
     return policy.review_load(policy.reviews_per_day(t, "dec_profit_three_way"), chosen.select("cap"))
 
 
-@query("WITH" + CHOSEN + _DAILY + ", o AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM dd, cap WHERE reviews > cap) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS length FROM o GROUP BY g HAVING count(*) >= 1")
-def capacity_breach_runs(spark, d):
-    t, chosen, *_ = decision.decided(spark, d)
+@query("WITH" + CHOSEN + _DAILY + ", o AS (SELECT day, day - row_number() OVER (ORDER BY day) AS g FROM dd, cap WHERE reviews > cap) SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS length FROM o GROUP BY g HAVING count(*) >= 1", full=True)
+def capacity_breach_runs(spark, d, full=False):
+    t, chosen, *_ = decision.decided(spark, d, full)
     return drift.breach_runs(policy.reviews_per_day(t, "dec_profit_three_way"), chosen.select("cap"), 1)
 
 
@@ -357,10 +378,10 @@ FROM (SELECT te.y, te.amount, b.*, CASE WHEN score >= dt_ THEN 2 WHEN score >= r
 _PALL = """, pall AS (SELECT r.t AS rt, d.t AS dt, r.k - d.k AS rev, d.fa + 85e-2 * (r.fa - d.fa) - 2e-2 * d.la - 10e0 * d.lc - 5e0 * (r.k - d.k) AS nb FROM st r, st d WHERE r.t <= d.t AND r.k >= d.k)"""
 
 
-@query("WITH" + CHOSEN + _PALL + " " + " UNION ALL ".join(f"SELECT * FROM ({_capacity_sql(s)})" for _, s in _SHARES))
-def capacity_sensitivity(spark, d):
+@query("WITH" + CHOSEN + _PALL + " " + " UNION ALL ".join(f"SELECT * FROM ({_capacity_sql(s)})" for _, s in _SHARES), full=True)
+def capacity_sensitivity(spark, d, full=False):
     train, valid, test = decision.parts(split.time_split(txn(spark, d)))
-    return policy.capacity_sensitivity(valid, train, test, P, [s for s, _ in _SHARES], _grid(spark))
+    return policy.capacity_sensitivity(valid, train, test, P, [s for s, _ in _SHARES], decision.full_pair_grid(valid) if full else _grid(spark))
 
 
 def _swap_sql(name: str, cond: str) -> str:
@@ -369,9 +390,9 @@ def _swap_sql(name: str, cond: str) -> str:
 round(quantile_cont(amount, 0.75), 4) AS amount_p75, round(quantile_cont(amount, 0.95), 4) AS amount_p95, round(median(tenure), 6) AS tenure_days_median, round(avg(CASE WHEN prior_cnt = 0 THEN 1e0 ELSE 0 END), 6) AS share_new_card, {prods} FROM dec WHERE {cond}"""
 
 
-@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_swap_sql(n, f"d_profit_single = {a} AND d_youden_single = {b}") for n, a, b in zip(swap.SETS, (0, 2, 2, 0), (2, 0, 2, 0), strict=True)), money=4)
-def swap_sets(spark, d):
-    return swap.characterise(decision.decided(spark, d)[0], "dec_profit_single", "dec_youden_single", products=["click", "purchase"])
+@query("WITH" + CHOSEN + " " + " UNION ALL ".join(_swap_sql(n, f"d_profit_single = {a} AND d_youden_single = {b}") for n, a, b in zip(swap.SETS, (0, 2, 2, 0), (2, 0, 2, 0), strict=True)), money=4, full=True)
+def swap_sets(spark, d, full=False):
+    return swap.characterise(decision.decided(spark, d, full)[0], "dec_profit_single", "dec_youden_single", products=["click", "purchase"])
 
 
 @query("WITH" + CHOSEN + f""", b AS (SELECT y, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_profit_single')} AS bp, CASE WHEN y = 1 THEN amount ELSE 0 END - {_COST.format(d='d_youden_single')} AS by_, d_profit_single AS dp, d_youden_single AS dy, dt FROM dec),
@@ -379,10 +400,10 @@ s2 AS (SELECT t, coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) - 2e-2 * coal
 orc AS (SELECT t, nb FROM s2 WHERE nb >= (SELECT max(nb) FROM s2) - 1e-9 ORDER BY t DESC LIMIT 1)
 SELECT round(max(t_profit) - max(t_youden), 6) AS threshold_gap, max(orc.t) AS t_oracle, round(max(orc.nb) * 1000 / count(*), 4) AS oracle_net_benefit_per_1000, round(avg(bp - by_) * 1000, 4) AS left_on_table_per_1000, round(sum(bp - by_), 4) AS left_on_table_total,
 round(sum(bp - by_) / ((max(dt) - min(dt)) / 86400e0), 4) AS left_on_table_per_day, round(avg(CASE WHEN dy = 2 THEN 1e0 ELSE 0 END) / greatest(avg(CASE WHEN dp = 2 THEN 1e0 ELSE 0 END), 1e-12), 6) AS decline_rate_ratio,
-count(CASE WHEN dy = 2 AND y = 0 THEN 1 END) - count(CASE WHEN dp = 2 AND y = 0 THEN 1 END) AS false_declines_avoided FROM b, prof, you, orc""")
-def auc_versus_profit(spark, d):
-    t, chosen, _, _, grid = decision.decided(spark, d)
-    out = policy.auc_versus_profit(policy.evaluate_policies(t, P), chosen, t, P, grid, policy.split_days(t))
+count(CASE WHEN dy = 2 AND y = 0 THEN 1 END) - count(CASE WHEN dp = 2 AND y = 0 THEN 1 END) AS false_declines_avoided FROM b, prof, you, orc""", full=True)
+def auc_versus_profit(spark, d, full=False):
+    t, chosen, _, _, grid = decision.decided(spark, d, full)
+    out = policy.auc_versus_profit(policy.evaluate_policies(t, P), chosen, t, P, decision.full_grid(t) if full else grid, policy.split_days(t))
     return out.withColumns({c: F.round(c, 4) for c in ("left_on_table_per_1000", "left_on_table_total", "left_on_table_per_day")})
 
 
@@ -443,9 +464,9 @@ def _boot(df):
     return bootstrap.draws(df, 20, 7)
 
 
-@query("WITH" + CHOSEN + _DRAWS.format(rows="dec") + f", v AS (SELECT b, 1000e0 * sum(({_COST.format(d='d_youden_single')} - ({_COST.format(d='d_profit_single')})) * w) / sum(w) AS value FROM bi JOIN wt USING (i) GROUP BY b) " + _CI.format(r=4), digits=4)
-def bootstrap_mean_diff(spark, d):
-    t = policy.benefits(decision.decided(spark, d)[0], P)
+@query("WITH" + CHOSEN + _DRAWS.format(rows="dec") + f", v AS (SELECT b, 1000e0 * sum(({_COST.format(d='d_youden_single')} - ({_COST.format(d='d_profit_single')})) * w) / sum(w) AS value FROM bi JOIN wt USING (i) GROUP BY b) " + _CI.format(r=4), digits=4, full=True)
+def bootstrap_mean_diff(spark, d, full=False):
+    t = policy.benefits(decision.decided(spark, d, full)[0], P)
     return bootstrap.interval(bootstrap.mean_diff(_boot(t), "ben_profit_single", "ben_youden_single", 1000), "value", 20)
 
 

@@ -13,6 +13,9 @@ from tidegate.operators.split import time_split
 from tidegate.plans import views
 
 GRID = [i / 20 for i in range(21)]
+#: The full grids are those of the operators' defaults, rounded so that SQL has the same thresholds.
+DIGITS = 9
+PAIR_QUANTILES = 200
 #: The rules baseline calls an account new up to this many earlier rows (0 where accounts are many; the driver's events have few).
 NEW_UP_TO = 55
 
@@ -21,12 +24,21 @@ def parts(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(df.where(F.col("split") == s) for s in ("train", "valid", "test"))
 
 
-def decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(test rows with dec_ columns, chosen thresholds, train, valid, grid)."""
+def full_grid(df: DataFrame) -> DataFrame:
+    return local_table(th.threshold_grid(df, digits=DIGITS))
+
+
+def full_pair_grid(df: DataFrame) -> DataFrame:
+    return local_table(th.threshold_grid(df, PAIR_QUANTILES, 0, digits=DIGITS))
+
+
+def decided(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(test rows with dec_ columns, chosen thresholds, train, valid, grid); ``full`` takes the operators' own grids, not GRID."""
     df = time_split(views.with_history(views.txn(spark, sf_dir)))
     train, valid, test = parts(df)
-    grid = th.literal_grid(spark, GRID)
-    chosen = local_table(policy.select_policies(valid, train, CostParams(), grid=grid, pair_grid=grid))
+    grid = full_grid(valid) if full else th.literal_grid(spark, GRID)
+    pairs = full_pair_grid(valid) if full else grid
+    chosen = local_table(policy.select_policies(valid, train, CostParams(), grid=grid, pair_grid=pairs))
     new = F.greatest(F.col("prior_cnt") - NEW_UP_TO, F.lit(0))
     test = policy.with_rules(test.withColumn("__new", new), train, "__new").drop("__new")
     return policy.decisions(test, chosen, "rules"), chosen, train, valid, grid

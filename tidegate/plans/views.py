@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,42 @@ st AS (
   FROM grid LEFT JOIN {rows} ON score >= t GROUP BY t
 )"""
 
+
+def grid_sql(rows: str, name: str, n_quantiles: int = 2000, n_linear: int = 1001) -> str:
+    """The thresholds of ``threshold_grid`` rounded to 9 digits."""
+    even = f" UNION ALL SELECT i / {n_linear - 1}e0 FROM range(0, {n_linear}) AS r3(i)" if n_linear else ""
+    return f"""
+{name}o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i FROM {rows}),
+{name}p AS (
+  SELECT p * ((SELECT count(*) FROM {rows}) - 1) AS pos FROM (
+    SELECT i / {n_quantiles - 1}e0 AS p FROM range(0, {n_quantiles}) AS r1(i)
+    UNION ALL SELECT greatest(0e0, least(1e0, 1e0 - pow(10e0, 5e0 * i / {n_quantiles - 1}e0 - 5e0))) FROM range(0, {n_quantiles}) AS r2(i)
+  )
+),
+{name} AS (
+  SELECT DISTINCT round(t, 9) AS t FROM (
+    SELECT lo.score + (pos - floor(pos)) * (hi.score - lo.score) AS t FROM {name}p JOIN {name}o lo ON lo.i = floor(pos)::BIGINT JOIN {name}o hi ON hi.i = ceil(pos)::BIGINT
+    UNION ALL SELECT 'infinity'::DOUBLE{even}
+  )
+)"""
+
+
+def full_sql(sql: str) -> str:
+    """SQL over the fixed grid as SQL over the full grids: pairs from ``pgrid``, all else from ``grid``."""
+    fixed, pairs = "grid AS (SELECT i / 20e0 AS t FROM range(0, 21) AS r(i))", "FROM st r, st d"
+    rows = "va" if "LEFT JOIN va ON score >= t" in sql else "txn"
+    start = sql.index("st AS (\n")
+    st = sql[start : sql.index("\n)", start) + 2]
+    new = grid_sql(rows, "grid")
+    if rows == "va":
+        new += "," + grid_sql("va", "pgrid", 200, 0) + "," + grid_sql("te", "tgrid")
+        sql = sql.replace(st, st + ", sp " + st[3:].replace("FROM grid", "FROM pgrid"))
+    sql = sql.replace(fixed, new.strip()).replace(pairs, "FROM sp r, sp d").replace("FROM grid LEFT JOIN te", "FROM tgrid LEFT JOIN te")
+    sql = sql.replace("FROM (SELECT t FROM grid UNION SELECT t_youden", "FROM (SELECT t FROM grid UNION SELECT t FROM pgrid UNION SELECT t_youden")
+    sql = re.sub(r"round\((t_\w+), 6\)", r"round(\1, 9)", sql)
+    return sql.replace("SELECT t, k AS n_declined", "SELECT CASE WHEN t < 'infinity'::DOUBLE THEN t END AS t, k AS n_declined")
+
+
 #: The policies chosen on validation with the fixed grid.
 CHOSEN = SPLIT + STATS.format(rows="va") + r""",
 nb AS (SELECT *, fa - 2e-2 * la - 10e0 * lc AS nb FROM st),
