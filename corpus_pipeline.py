@@ -15,9 +15,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by 5-word Jaccard similarity of 0.8 or more, the one of smallest doc_id stays."""
+    """Of documents joined by 5-word Jaccard similarity of 0.8 or more, the one of smallest doc_id stays.
+
+    Rows with the same doc_id and text are one document: one stays, the least by its other columns.  Rows with null
+    doc_id link with nothing; of those with the same text one stays, whether or not a document with an id has that text.
+    """
     gone = jaccard_join.jaccard_join(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(_base.staged(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    again = _base.staged(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fold = docs.join(again, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    fold = fold.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r")).select(*[F.col(f"r.`{c}`") if c in rest else F.col(c) for c in docs.columns])
+    once = docs.where("doc_id is not null").join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.union(fold).join(_base.staged(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

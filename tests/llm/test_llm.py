@@ -372,3 +372,12 @@ def test_pipeline(spark, prose):
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert 0 in kept and not {40, 41, 45, 46, 51, 52} & set(kept) and kept[1] == prose[1]
     assert c.packed(spark, docs, "").select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_repeated_rows(spark, prose):
+    import corpus_pipeline as c
+
+    texts, ids = [prose[0], prose[0], prose[0], prose[5], prose[5], prose[5], prose[6], prose[7]], [1, 1, 2, None, None, 3, None, 4]
+    docs = _base.staged(docs_of(spark, texts, ids).select("doc_id", "text", "lang", "source", "n_chars"), "docs")
+    got = [(r.doc_id, r.text) for r in c.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, prose[0]), (None, prose[5]), (3, prose[5]), (None, prose[6]), (4, prose[7])], key=str)
