@@ -33,12 +33,12 @@ def full_pair_grid(df: DataFrame) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(test rows with dec_ columns, chosen thresholds, train, valid, grid); ``full`` takes the operators' own grids, not GRID."""
+    """(test rows with dec_ columns, chosen thresholds, train, valid, grid); ``full`` takes the operators' own grids, not GRID, and no earlier row, not NEW_UP_TO."""
     df = time_split(views.with_history(views.txn(spark, sf_dir)))
     train, valid, test = parts(df)
     grid = full_grid(valid) if full else th.literal_grid(spark, GRID)
     pairs = full_pair_grid(valid) if full else grid
     chosen = local_table(policy.select_policies(valid, train, CostParams(), grid=grid, pair_grid=pairs))
-    new = F.greatest(F.col("prior_cnt") - NEW_UP_TO, F.lit(0))
+    new = F.greatest(F.col("prior_cnt") - (0 if full else NEW_UP_TO), F.lit(0))
     test = policy.with_rules(test.withColumn("__new", new), train, "__new").drop("__new")
     return policy.decisions(test, chosen, "rules"), chosen, train, valid, grid

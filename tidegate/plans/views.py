@@ -87,7 +87,7 @@ def grid_sql(rows: str, name: str, n_quantiles: int = 2000, n_linear: int = 1001
 
 
 def full_sql(sql: str) -> str:
-    """SQL over the fixed grid as SQL over the full grids: pairs from ``pgrid``, all else from ``grid``."""
+    """SQL over the fixed grid as SQL over the full grids: pairs from ``pgrid``, all else from ``grid``; accounts are new without earlier rows."""
     fixed, pairs = "grid AS (SELECT i / 20e0 AS t FROM range(0, 21) AS r(i))", "FROM st r, st d"
     rows = "va" if "LEFT JOIN va ON score >= t" in sql else "txn"
     start = sql.index("st AS (\n")
@@ -98,6 +98,8 @@ def full_sql(sql: str) -> str:
         sql = sql.replace(st, st + ", sp " + st[3:].replace("FROM grid", "FROM pgrid"))
     sql = sql.replace(fixed, new.strip()).replace(pairs, "FROM sp r, sp d").replace("FROM grid LEFT JOIN te", "FROM tgrid LEFT JOIN te")
     sql = sql.replace("FROM (SELECT t FROM grid UNION SELECT t_youden", "FROM (SELECT t FROM grid UNION SELECT t FROM pgrid UNION SELECT t_youden")
+    sql = sql.replace("prior_cnt <= 55", "prior_cnt = 0")
+    sql = sql.replace("(SELECT sum(y) FROM f WHERE flag)", "(SELECT coalesce(sum(y), 0) FROM f WHERE flag)")  # none flagged: recall 0
     sql = re.sub(r"round\((t_\w+), 6\)", r"round(\1, 9)", sql)
     return sql.replace("SELECT t, k AS n_declined", "SELECT CASE WHEN t < 'infinity'::DOUBLE THEN t END AS t, k AS n_declined")
 
