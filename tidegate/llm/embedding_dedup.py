@@ -1,16 +1,18 @@
 """Operator 8: near-duplicate embeddings by hierarchical navigable small worlds.
 
-Vectors compare only under equal, non-null labels.  Equal vectors of a label
-collapse first.  Each label's vectors are dealt into shards of bounded size
-by a hash of their id; each shard gets one graph, stored in the shared
-folder, and every shard's vectors query every shard of the label.  A query
-whose whole beam lies above the threshold goes on along the edges of all it
-finds above it, and a shard's beams widen until an audit of sampled queries
-against brute force passes.  Found pairs are verified by their cosine in
-double precision; links join components.
+Vectors compare only under equal, non-null labels of any type.  Equal vectors
+of a label collapse first.  Each label's vectors are dealt into shards of
+bounded size by a hash of their id; each shard gets one graph, stored in the
+shared folder, and every two shards of a label meet in one of the two graphs.
+A query whose whole beam lies above the threshold goes on along the edges of
+all it finds above it.  Audits compare sampled queries with brute force; one
+that fails widens the beam, and the vectors it lost get new edges.  Found
+pairs are verified by their cosine in double precision; links join components.
 
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing, like rows with null label.  Repeated rows count as copies.
+nothing, like rows with null label or null vec_id.  Repeated rows count as
+copies.  A cosine equal to the threshold links.  Columns other than vec_id,
+embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import _base, _bytes
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, AUDIT, RECALL = 16_384, 16, 48, 32, 64, 0.999
+SHARD, DEGREE, BUILD_BEAM = 16_384, 16, 48
+#: Beams in the order tried, queries of an audit, the recall it wants, shards that query a graph in one task.
+BEAMS, AUDIT, RECALL, TOGETHER = (32, 64, 128, 256), 512, 0.99, 8
 
 
 class Graph:
@@ -114,6 +118,17 @@ class Graph:
             adj[t] = -1
             adj[t, : len(every)] = every
 
+    def relink(self, q: np.ndarray, asked: np.ndarray, lost: np.ndarray) -> None:
+        """Edges both ways, in two columns more, between each lost vector and the nearest one that its query reaches."""
+        if not len(lost):
+            return
+        lost, first = np.unique(lost, return_index=True)
+        part = q[asked[first]]
+        near = self.search(part, self.descend(part), min(BEAMS[0], len(self.x)))[0][:, 0].astype(np.int64)
+        adj = self.layers[0] = np.concatenate((self.layers[0], np.full((len(self.x), 2), -1, np.int32)), 1)
+        adj[near, -1] = lost
+        adj[lost, -2] = near
+
     def search(self, q: np.ndarray, entry: np.ndarray, beam: int, lv: int = 0, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the best ``beam`` found per query, best first (-1 and -inf where fewer)."""
         adj, n = self.layers[lv], len(self.x)
@@ -207,21 +222,67 @@ class Graph:
         return key // n, key % n
 
 
-def links_between(graph: Graph, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """As ``Graph.within``, with beams widened until sampled queries reach the audited recall."""
-    beam, n = BEAM, len(graph.x)
-    some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+def audit(graph: Graph, q: np.ndarray, some: np.ndarray, threshold: float, own: bool, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, vector) of the pairs that queries ``some`` lack among the found (a, b), and the number of pairs they have by brute force."""
     truth = q[some] @ graph.x.T >= threshold
-    while beam < n:
-        if truth[graph.within(q[some], threshold, beam)].sum() >= RECALL * truth.sum():
-            break
-        beam *= 2
-    return graph.within(q, threshold, beam)
+    if own:
+        truth[np.arange(len(some)), some] = False
+    all_ = int(truth.sum())
+    place = np.full(len(q), -1)
+    place[some] = np.arange(len(some))
+    asked = place[a] >= 0
+    truth[place[a[asked]], b[asked]] = False
+    r, c = np.nonzero(truth)
+    return some[r], c, all_
+
+
+def _spread_over(items: np.ndarray, many: int) -> np.ndarray:
+    return items[np.unique(np.linspace(0, len(items) - 1, min(many, len(items))).astype(int))] if len(items) else items
+
+
+def links_between(graph: Graph, q: np.ndarray, threshold: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Found (query, vector) pairs, the beam that passed its audits and the recall of the last audit.
+
+    ``own``: the queries are the graph's vectors; a pair then counts from both
+    sides once either side finds it.  Two audits against brute force must pass:
+    one of queries spread over all, before the others are asked, and one of
+    queries that have links.  A failed audit doubles the beam and gives the
+    vectors it lost edges from what their queries found.  Should the widest
+    beam fail, this pair of shards is compared in full (beam 0).
+    """
+    every = np.arange(len(q))
+    for beam in BEAMS:
+        some = _spread_over(every, AUDIT)
+        r, found = graph.within(q[some], threshold, beam)
+        lost_q, lost, have = audit(graph, q, some, threshold, own, some[r], found)
+        if len(lost) <= (1 - RECALL) * have:
+            a, b = graph.within(q, threshold, beam)
+            if own:
+                key = np.unique(np.concatenate((a * len(q) + b, b * len(q) + a)))
+                a, b = key // len(q), key % len(q)
+            linked = np.unique(a[a != b] if own else a)
+            lost_q, lost, have = audit(graph, q, _spread_over(linked, AUDIT), threshold, own, a, b)
+            if len(lost) <= (1 - RECALL) * have:
+                return a, b, beam, 1 - len(lost) / max(have, 1)
+        graph.relink(q, lost_q, lost)
+    left, right = [], []
+    for at in range(0, len(q), 256):
+        r, c = np.nonzero(q[at : at + 256] @ graph.x.T >= threshold - 1e-4)
+        left.append(at + r)
+        right.append(c)
+    return np.concatenate(left), np.concatenate(right), 0, 1.0
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors in double precision by powers of two, which are exact, so that no square overflows."""
+    _, e = np.frexp(np.abs(v).max(axis=1, keepdims=True))
+    return np.ldexp(v.astype(np.float64), -e)
 
 
 def verified(a: np.ndarray, b: np.ndarray, va: np.ndarray, vb: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs' cosines in double precision reach the threshold."""
     keep = np.zeros(len(a), bool)
+    va, vb = scaled(va), scaled(vb)
     na, nb = np.sqrt((va * va).sum(axis=1)), np.sqrt((vb * vb).sum(axis=1))
     for i in range(0, len(a), 100_000):
         x, y = a[i : i + 100_000], b[i : i + 100_000]
@@ -236,55 +297,88 @@ def _vectors(table) -> np.ndarray:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+_GRAPHS = "grp string, dim int, shard int, shards int, ids binary, vecs binary, layers binary"
+
+
 def _build(key, table):
     # In an order of their own, so that neighbouring ids that resemble each other don't come one after another.
     rep = table.column("rep").to_numpy()
     table = table.take(np.lexsort((rep, _bytes.mix(rep.astype(np.int64).view(np.uint64)))))
     v = _vectors(table)
     graph = Graph(_unit(v))
-    shape = np.array([len(v), v.shape[1], len(graph.layers)], "<i8").tobytes()
-    raw = shape + v.astype("<f8").tobytes() + b"".join(layer.astype("<i4").tobytes() for layer in graph.layers)
+    short = v.astype("<f4")  # single precision where it loses nothing
+    vecs = (short if (short.astype(np.float64) == v).all() else v.astype("<f8")).tobytes()
     ids = table.column("rep").to_numpy().astype("<i8").tobytes() + table.column("copies").to_numpy().astype("<i8").tobytes()
-    return pa.Table.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)] + [pa.array([ids], pa.binary()), pa.array([raw], pa.binary())], names=["grp", "dim", "shard", "ids", "graph"])
+    layers = b"".join(layer.astype("<i4").tobytes() for layer in graph.layers)
+    grp, dim, shard, shards = (k.as_py() for k in key)
+    row = {"grp": grp, "dim": dim, "shard": shard, "shards": shards, "ids": ids, "vecs": vecs, "layers": np.array([len(graph.layers)], "<i8").tobytes() + layers}
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.Table.from_pylist([row], pa.schema(list(zip(row, kinds, strict=True))))
+
+
+def _load(ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both = np.frombuffer(ids, "<i8")
+    n, dim_bytes = len(both) // 2, len(vecs) // (len(both) // 2)
+    return both[:n], both[n:], np.frombuffer(vecs, np.uint8).reshape(n, dim_bytes)
+
+
+def _numbers(raw: np.ndarray, dim: int) -> np.ndarray:
+    return raw.view("<f4" if raw.shape[1] == 4 * dim else "<f8")
 
 
-def _load(ids: bytes, raw: bytes):
-    n, d, k = np.frombuffer(raw, "<i8", 3).tolist()
-    v = np.frombuffer(raw, "<f8", n * d, 24).reshape(n, d)
-    at, layers = 24 + 8 * n * d, []
-    for lv in range(k):
+def _layers(raw: bytes, n: int) -> list[np.ndarray]:
+    layers, at = [], 8
+    for lv in range(int(np.frombuffer(raw, "<i8", 1)[0])):
         w = 2 * DEGREE + 2 if lv == 0 else DEGREE
         layers.append(np.frombuffer(raw, "<i4", n * w, at).reshape(n, w))
         at += 4 * n * w
-    both = np.frombuffer(ids, "<i8")
-    return both[:n], both[n:], v, layers
+    return layers
+
+
+_LINKS = pa.schema([("rep", pa.int64()), ("peer", pa.int64()), ("links", pa.int64()), ("beam", pa.int32()), ("recall", pa.float64())])
 
 
 def _query(threshold: float):
-    def run(key, table):
-        s, t = key[2].as_py(), key[3].as_py()
-        blobs = {r["shard"]: (r["ids"], r["graph"]) for r in table.select(["shard", "ids", "graph"]).to_pylist()}
-        ids_b, copies_b, vb, layers = _load(*blobs[t])
-        graph = Graph(_unit(vb), layers)
-        ids_a, copies_a, va, _ = _load(*blobs[s]) if s != t else (ids_b, copies_b, vb, None)
-        a, b = links_between(graph, _unit(va).astype(np.float32), threshold)
-        if s == t:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            pair = np.unique(a[a != b] * len(ids_b) + b[a != b])
-            a, b = pair // len(ids_b), pair % len(ids_b)
+    """One graph and a bounded number of shards that query it; a row with null ``rep`` tells each audit."""
+
+    def met(graph, own, ids_a, copies_a, va, ids_b, copies_b, vb):
+        a, b, beam, recall = links_between(graph, _unit(va).astype(np.float32), threshold, own)
+        if own:
+            up = a < b
+            a, b = a[up], b[up]
         ok = verified(a, b, va, vb, threshold)
         a, b = a[ok], b[ok]
-        add_a = np.bincount(a, copies_b[b], len(ids_a)).astype(np.int64)
-        add_b = np.bincount(b, copies_a[a], len(ids_b)).astype(np.int64)
-        total = dict(zip(ids_a.tolist(), add_a.tolist(), strict=True))
-        for i, x in zip(ids_b.tolist(), add_b.tolist(), strict=True):
-            total[i] = total.get(i, 0) + x
+        ids = np.concatenate((ids_a, ids_b))
+        adds = np.concatenate((np.bincount(a, copies_b[b], len(ids_a)), np.bincount(b, copies_a[a], len(ids_b)))).astype(np.int64)
+        o = np.argsort(ids, kind="stable")
         node, root = _base.local_roots(ids_a[a], ids_b[b])
-        return pa.Table.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array([total[i] for i in node.tolist()], pa.int64())], names=["rep", "peer", "links"])
+        head = np.searchsorted(ids[o], node)
+        total = np.append(np.cumsum(adds[o]), 0)
+        tail = np.searchsorted(ids[o], node, side="right")
+        links = total[tail - 1] - np.where(head > 0, total[head - 1], 0)
+        n = len(node) + 1
+        cols = [pa.array(np.append(node, 0), pa.int64(), mask=np.arange(n) == n - 1), pa.array(np.append(root, 0), pa.int64()), pa.array(np.append(links, 0), pa.int64()), pa.array(np.full(n, beam, np.int32)), pa.array(np.full(n, recall))]
+        return pa.Table.from_arrays(cols, schema=_LINKS)
+
+    def run(key, table):
+        dim = key[1].as_py()
+        out = []
+        blobs = table.select(["ids", "vecs", "layers"]).to_pylist()
+        own = next(r for r in blobs if r["layers"] is not None)
+        ids_b, copies_b, raw = _load(own["ids"], own["vecs"])
+        vb = _numbers(raw, dim)
+        graph = Graph(_unit(vb), _layers(own["layers"], len(vb)))
+        if table.column("itself").to_pylist()[blobs.index(own)]:
+            out.append(met(graph, True, ids_b, copies_b, vb, ids_b, copies_b, vb))
+        for r in blobs:
+            if r["layers"] is None:
+                ids_a, copies_a, raw = _load(r["ids"], r["vecs"])
+                out.append(met(graph, False, ids_a, copies_a, _numbers(raw, dim), ids_b, copies_b, vb))
+        return pa.concat_tables(out) if out else _LINKS.empty_table()
 
     return run
 
@@ -296,25 +390,39 @@ def usable(vec: Column) -> Column:
     return F.when(vec.isNotNull() & ~bad & ~zero, F.transform(vec, lambda x: x.cast("double")))
 
 
+def found_links(reps: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """(rep, peer, links, beam, recall) from staged reps(grp, dim, v, rep, copies): what each rep links with, and a row with null rep for each pair of shards."""
+    sizes = reps.groupBy("grp", "dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    dealt = reps.join(sizes, ["grp", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    built = dealt.select("grp", "dim", "shard", "shards", "rep", "copies", "v").groupBy("grp", "dim", "shard", "shards").applyInArrow(_build, _GRAPHS)
+    graphs = _base.staged(built, "graphs", tasks)
+    # Each pair of shards of a label meets once: the vectors of the lower shard go to the graph of the higher one, TOGETHER shards a task.
+    last = F.floor(F.col("shard") / TOGETHER).cast("int")
+    chunk = F.explode(F.sequence(F.lit(0), last))
+    whole = graphs.select("grp", "dim", F.col("shard").alias("t"), chunk.alias("chunk"), last.alias("last"), "ids", "vecs", "layers")
+    whole = whole.select("grp", "dim", "t", "chunk", (F.col("chunk") == F.col("last")).alias("itself"), "ids", "vecs", "layers")
+    asking = graphs.where("shard + 1 < shards").select("grp", "dim", F.explode(F.sequence(F.col("shard") + 1, F.col("shards") - 1)).alias("t"), last.alias("chunk"), F.lit(False).alias("itself"), "ids", "vecs", F.lit(None).cast("binary").alias("layers"))
+    # A group without a graph (an empty shard) has nothing to meet.
+    have = graphs.select("grp", "dim", F.col("shard").alias("t"))
+    met = whole.union(asking.join(have, ["grp", "dim", "t"], "left_semi")).groupBy("grp", "dim", "t", "chunk")
+    found = _base.staged(met.applyInArrow(_query(threshold), "rep long, peer long, links long, beam int, recall double"), "links", tasks)
+    _base.drop_staged(graphs)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
     spark = vectors.sparkSession
     _base.ready(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), usable(F.col("embedding"))).alias("v"), F.col("label").cast("long").alias("grp"))
+    label = F.col("label")
+    if dict(vectors.dtypes)["label"] in ("float", "double"):
+        label = label + F.lit(0.0)  # one zero
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(label.isNotNull() & F.col("vec_id").isNotNull(), usable(F.col("embedding"))).alias("v"), label.cast("string").alias("grp"))
     # A vector takes up to 1 KB with its links.
     tasks = _base.tasks_for(spark, 1024 * rows.count())
     some = rows.where("v is not null").withColumn("dim", F.size("v"))
     reps = _base.staged(some.groupBy("grp", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors", tasks)
-    sizes = reps.groupBy("grp", "dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    dealt = reps.join(sizes, ["grp", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    built = dealt.select("grp", "dim", "shard", "rep", "copies", "v").groupBy("grp", "dim", "shard").applyInArrow(_build, "grp long, dim int, shard int, ids binary, graph binary")
-    graphs = _base.staged(built, "graphs", tasks)
-    # Each pair of shards of a label, itself included, is one group of two graphs.
-    names = graphs.select("grp", "dim", "shard").join(sizes, ["grp", "dim"])
-    names = names.select("grp", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
-    names = names.select("grp", "dim", "shard", F.least("shard", "other").alias("s"), F.greatest("shard", "other").alias("t"))
-    met = names.join(graphs, ["grp", "dim", "shard"])
-    found = _base.staged(met.groupBy("grp", "dim", "s", "t").applyInArrow(_query(threshold), "rep long, peer long, links long"), "links", tasks)
+    found = found_links(reps, threshold, tasks).where("rep is not null")
     roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), tasks)
     per = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("grp", "v", "rep", "copies").join(per, "rep", "left")
