@@ -6,6 +6,7 @@ process-local hash seeds, so every executor computes the same values.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -134,19 +135,19 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(got) - rest], got[rest:]) if rest else got
 
 
-def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int):
+def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int, pre: np.ndarray | None = None):
     """Runs of neighbouring ``width``-byte windows that share a minimizer.
 
     Equal windows have their minimizer (least hashed k-gram, the leftmost of
     equals) at the same place inside, so equal windows always fall under equal
-    anchor hashes.  Returns (doc index, first window, last window, anchor hash,
+    anchor hashes.  ``pre`` is the buffer's prefix hash.  Returns (doc index, first window, last window, anchor hash,
     place of the anchor).
     """
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, np.zeros(0, U64), none
-    pre = prefix_hash(buf)
+    pre = prefix_hash(buf) if pre is None else pre
     at = np.arange(n - k + 1)
     full = span_hash(pre, at, at + k)
     bits = max(24, int(n).bit_length())
@@ -167,3 +168,10 @@ def anchor_runs(buf: np.ndarray, offs: np.ndarray, width: int, k: int):
 
 def digest64(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system (where the C library can), since idle workers keep what they have."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -6,20 +6,25 @@ documents and are judged on the input.
 
 Plan
  1. Windows are cut into runs that share a minimizer; equal windows always lie
-    in runs of equal minimizer hash.  Runs of equal content meet by that hash:
-    all but the earliest go whole.  Minimizers with very many contents are
+    in runs of equal minimizer hash.  Minimizers with very many contexts are
     counted first; their runs are cut finer, by where the minimizer lies in a
-    window, and meet by the bytes that all windows of a cut have in common,
-    so no group grows with the number of texts around a frequent passage.
- 2. Only hashes with two or more different contents left send the text of
-    those contents on, dealt by the hash.
- 3. Bounded chunks of that text get a suffix array by two-stage sorting, and
+    window, and are known by the bytes that all windows of a cut have in
+    common, so no group grows with the number of texts around a passage.
+ 2. A task settles the repeats inside small chunks of its documents: the text
+    of runs that look alike gets a suffix array, and windows it finds earlier
+    in the chunk go.  Of the runs left, only places and hashes are sent.
+ 3. Runs whose hash occurs at several places send their bytes, dealt by it.
+ 4. Bounded chunks of these get a suffix array by two-stage sorting, and
     neighbours whose common prefix reaches ``width`` are repeats.
- 4. Spans meet their documents again and the bytes are cut.
+ 5. Spans meet their documents again and the bytes are cut.
+
+Hashes only choose what is compared: every removal comes from common prefixes
+in a suffix array over bytes, so colliding hashes cost time, never a byte.
 
 Null text counts as empty.  A row with null doc_id is compared with nothing
 and kept whole.  Repeated rows of a document are one place and give repeated
-results.
+results; where one doc_id has several texts, what repeats at a place of one
+of them goes from that place of all.  Very long texts are read in pieces.
 """
 
 from __future__ import annotations
@@ -34,39 +39,49 @@ from pyspark.sql import functions as F
 from tidegate.llm import _base, _bytes
 from tidegate.llm._bytes import U64
 
-#: Bytes of the k-gram that places a window; runs held by a task before it deals them out; bytes of a suffix array's text.
-K, FLUSH_RUNS, CHUNK = 20, 250_000, 1 << 20
-#: Contents from which a minimizer counts as frequent, minimizers so treated (results don't depend on which), windows of a finer cut.
-FREQUENT, MOST_FREQUENT, FINE = 1000, 1 << 16, 3
+#: Bytes of the k-gram that places a window, and the longest piece of a text read at once.
+K, PIECE = 20, 1 << 20
+#: Runs whose repeats a task settles at once, runs it holds before it deals them out, bytes of a suffix array's text, bytes a task holds to compare.
+LOCAL_RUNS, FLUSH_RUNS, CHUNK, HELD = 64_000, 500_000, 1 << 20, 64 << 20
+#: Contents from which a minimizer counts as frequent, contents in a task's batch from which it is counted, minimizers so treated (results depend on none of them), windows of a finer cut.
+FREQUENT, COUNTED, MOST_FREQUENT, FINE = 1000, 4, 1 << 16, 3
 
 
-def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of ``text`` (separators are 0) by its first ``depth`` bytes at least, and the ranks of 16-byte blocks.
 
     Suffixes smaller than their successors are sorted directly, block by
     block; the others are induced by scanning the buckets of first bytes in
-    ascending order, each scan a few array operations.
+    ascending order, each scan a few array operations.  Of the suffixes that
+    are not ``wanted`` only those that wanted ones are induced from take part.
     """
     n = len(text)
-    pad = np.zeros(n + 32, np.uint8)
+    pad = np.zeros(n + 40, np.uint8)
     pad[:n] = text
-    key = np.zeros(n + 16, U64)
-    for j in range(8):
-        key |= pad[j : j + n + 16].astype(U64) << U64(56 - 8 * j)
-    _, r8 = np.unique(key, return_inverse=True)
-    r8 = r8.astype(U64)
-    _, block = np.unique((r8[: n + 8] << U64(32)) | r8[8 : n + 16], return_inverse=True)
-    block = np.concatenate((block[:n], np.zeros(depth + 16, np.int64))).astype(U64)
+    key = np.empty(n + 16, U64)
+    for j in range(8):  # eight bytes from each place on
+        own = key[j::8]
+        own[:] = np.frombuffer(pad, ">u8", len(own), j)
+    r8 = _dense(key)
+    block = np.zeros(n + depth + 16, np.int32)
+    block[:n] = _dense((r8[:n].astype(np.int64) << 32) | r8[8 : n + 8])
     # Which suffixes are smaller than their successors: by the next place where neighbours differ.
-    nxt = np.append(text[1:], 0)
-    differ = np.where(text != nxt, np.arange(n), n)
-    where = np.minimum.accumulate(differ[::-1])[::-1]
-    small = np.zeros(n, bool)
-    inside = where < n
-    small[inside] = text[where[inside]] < nxt[where[inside]]
-    direct = small | (text == 0)
-    pos = np.flatnonzero(direct)
-    order = pos[np.argsort(block[pos], kind="stable")]
+    nxt = np.append(text[1:], np.uint8(0))
+    differ = np.flatnonzero(text != nxt)
+    smaller = text[differ] < nxt[differ]
+    direct = np.zeros(n, bool)
+    direct[: differ[-1] + 1 if len(differ) else 0] = np.repeat(smaller, np.diff(differ, prepend=-1))
+    direct |= text == 0
+    part = np.ones(n, bool) if wanted is None else wanted.copy()
+    new = np.flatnonzero(part & ~direct)
+    while len(new):
+        new = new[new + 1 < n] + 1
+        new = new[~part[new]]
+        part[new] = True
+        new = new[~direct[new]]
+    rest = part & ~direct
+    pos = np.flatnonzero(direct & part).astype(np.int32)
+    order = pos[np.argsort(block[pos])]
     group = _ranks(block[order])
     for at in range(16, depth, 16):
         tied = np.zeros(len(order), bool)
@@ -76,20 +91,20 @@ def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         live = np.flatnonzero(tied)
         if not len(live):
             break
-        k = (group[live].astype(U64) << U64(32)) | block[order[live] + at]
-        by = np.argsort(k, kind="stable")
+        k = (group[live].astype(np.int64) << 32) | block[order[live] + at]
+        by = np.argsort(k)
         order[live] = order[live][by]
         k = k[by]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         head = np.flatnonzero(new)  # a tied group's members are renumbered by their places in the array
-        group[live] = live[head][np.cumsum(new) - 1]
+        group[live] = live[head][np.cumsum(new) - 1].astype(np.int32)
     # Induce the rest.
     first = text[order]
-    size = np.bincount(text, minlength=256)
+    size = np.bincount(text[part], minlength=256)
     begin = np.concatenate(([0], np.cumsum(size)))
     front = begin[:-1].copy()
-    sa = np.empty(n, np.int64)
+    sa = np.empty(begin[-1], np.int32)
     cut = np.searchsorted(first, np.arange(257))
     for c in range(256):
         if not size[c]:
@@ -101,13 +116,13 @@ def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             wave = sa[done : front[c]] - 1
             done = front[c]
             wave = wave[(wave >= 0)]
-            wave = wave[(text[wave] == c) & ~direct[wave]]
+            wave = wave[(text[wave] == c) & rest[wave]]
             sa[front[c] : front[c] + len(wave)] = wave
             front[c] += len(wave)
         prev = sa[begin[c] : begin[c + 1]] - 1
         prev = prev[prev >= 0]
         ch = text[prev]
-        ok = (ch > c) & ~direct[prev]
+        ok = (ch > c) & rest[prev]
         prev, ch = prev[ok], ch[ok]
         by = np.argsort(ch, kind="stable")
         prev, ch = prev[by], ch[by]
@@ -118,10 +133,21 @@ def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, block
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    o = np.argsort(key)
+    own = key[o]
+    new = np.zeros(len(o), np.int32)
+    new[1:] = own[1:] != own[:-1]
+    out = np.empty(len(o), np.int32)
+    out[o] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
 def _ranks(sorted_keys: np.ndarray) -> np.ndarray:
     new = np.ones(len(sorted_keys), bool)
     new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    return np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    return np.flatnonzero(new).astype(np.int32)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int32)
 
 
 def repeated_windows(segments: list[bytes], width: int) -> np.ndarray:
@@ -153,13 +179,9 @@ def _repeated_with_zeros(segments, lens, width):
 
 
 def _repeated(text, lens, width, with_first=False):
-    sa, block = two_stage(text, width + 12)
-    ends = np.cumsum(lens + 1) - 1
-    ok = np.zeros(len(text), bool)
-    mark = np.zeros(len(text) + 1, np.int64)
-    np.add.at(mark, ends - lens, 1)
-    np.add.at(mark, np.maximum(ends - lens, ends - width + 1), -1)
-    ok = np.cumsum(mark)[: len(text)] > 0
+    wins = np.maximum(lens - width + 1, 0)  # every segment: so many places where a window begins, then the rest and a separator
+    ok = np.repeat(np.tile(np.array([True, False]), len(lens)), np.stack((wins, lens + 1 - wins), 1).ravel())
+    sa, block = two_stage(text, width + 12, ok)
     sa = sa[ok[sa]]
     if not len(sa):
         return (sa, sa) if with_first else sa
@@ -173,31 +195,15 @@ def _repeated(text, lens, width, with_first=False):
     gone = sa != least
     hit = sa[gone]
     by = np.argsort(hit)
-    return (hit[by], least[gone][by]) if with_first else hit[by]
+    hit = hit[by].astype(np.int64)
+    return (hit, least[gone][by].astype(np.int64)) if with_first else hit
 
 
-def _settle(anchor, content, doc, ws, wl):
-    """Order by (anchor, content, doc, start); which rows are the earliest of their content, which are later ones, and the contents of each row's anchor.
-
-    A repeated row of a document is neither: it is the same place.
-    """
-    o = np.lexsort((ws, doc, content, anchor))
-    anchor, content, doc, ws, wl = anchor[o], content[o], doc[o], ws[o], wl[o]
-    new_a = np.ones(len(o), bool)
-    new_a[1:] = anchor[1:] != anchor[:-1]
-    first = new_a.copy()
-    first[1:] |= content[1:] != content[:-1]
-    ga = np.cumsum(new_a) - 1
-    kinds = np.bincount(ga, weights=first)[ga] if len(o) else np.zeros(0)
-    of = np.cumsum(first) - 1
-    late = ~first & ((doc != doc[first][of]) | (ws != ws[first][of]))
-    return anchor, content, doc, ws, wl, first, late, kinds
-
-
-_ENTRY = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("ws", "<i8"), ("wl", "<i4")]
 _DEALT = "bucket int, doc_id long, span long, blob binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("span", pa.int64()), ("blob", pa.binary())])
-#: A span is start << 24 | length, or start << 24 alone with the length in an anchored row; lengths of merged runs stay below 2**24.
+_FOUND = pa.schema([("doc_id", pa.int64()), ("span", pa.int64())])
+_WANTED = pa.schema([("doc_id", pa.int64()), ("span", pa.int64()), ("anchor", pa.int64())])
+#: A span is start << 24 | length, lengths below 2**24.
 _BITS = 24
 
 
@@ -230,15 +236,40 @@ def _rows(doc, span, bucket=0):
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(span), pa.nulls(n, pa.binary())], schema=_SENT)
 
 
-def _runs(part, width: int):
-    """Buffer, prefix hashes, document offsets and ids, and the anchored runs of a record batch."""
-    buf, offs = _bytes.buffers(part.column(1))
-    ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return _bytes.prefix_hash(buf), offs, ids, _bytes.anchor_runs(buf, offs, width, K)
+def _packed(*cols: np.ndarray) -> bytes:
+    """Columns of numbers, low bytes first and each byte's place together, compressed."""
+    n = len(cols[0])
+    raw = np.array([n], "<i8").tobytes() + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in cols)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for k in map(np.dtype, kinds):
+        cut = np.frombuffer(raw, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(cut.T).view(k).ravel())
+        at += n * k.itemsize
+    return out
+
+
+def _texts(batches, width: int):
+    """(document ids, where each text begins in its document, bytes, offsets) of a few documents, or of a piece of a very long one; pieces overlap by width - 1 bytes, so each window is in one."""
+    for part in _bytes.slices(batches, 1 << 19):
+        buf, offs = _bytes.buffers(part.column(1))
+        ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(buf) <= PIECE:
+            yield ids, np.zeros(len(ids), np.int64), buf, offs
+            continue
+        for i in range(len(ids)):
+            own = buf[offs[i] : offs[i + 1]]
+            for at in range(0, max(1, len(own) - width + 1), PIECE):
+                piece = own[at : at + PIECE + width - 1]
+                yield ids[i : i + 1], np.array([at]), piece, np.array([0, len(piece)])
 
 
 def _frequent(width: int):
-    """(anchor, contents) of the anchors that have one in a thousand of a task's contents, and 16 at least."""
+    """(anchor, contents) of the anchors with several contents in a batch of a task."""
 
     def run(batches):
         held, count = [], 0
@@ -250,14 +281,15 @@ def _frequent(width: int):
             new = np.ones(len(o), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             own, many = np.unique(anchor[new], return_counts=True)
-            keep = many >= max(16, int(new.sum()) // 1000)
+            keep = many >= COUNTED
             return pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(many[keep])], names=["anchor", "contents"])
 
-        for part in _bytes.slices(batches, 1 << 19):
-            pre, _, _, (d, a, b, h, _) = _runs(part, width)
+        for _, _, buf, offs in _texts(batches, width):
+            pre = _bytes.prefix_hash(buf)
+            _, a, b, h, _ = _bytes.anchor_runs(buf, offs, width, K, pre)
             held.append((h, _bytes.span_hash(pre, a, b + width)))
-            count += len(d)
-            if count >= FLUSH_RUNS:
+            count += len(h)
+            if count >= FLUSH_RUNS // 2:
                 yield counted()
                 held, count = [], 0
         if held:
@@ -292,127 +324,240 @@ def _finer(pre, width: int, d, a, b, h, place, hot):
     return tuple(np.concatenate((p, q)) for p, q in ((d[rest], d[x]), (a[rest], first), (b[rest], last), (h[rest], key)))
 
 
+def _settled(texts, width: int):
+    """What repeats inside one chunk of texts: (document, span) that go, and (anchor, document, first window, windows) of the runs that don't go whole."""
+    base = np.cumsum([0, *(len(t[2]) for t in texts)])
+    buf = np.concatenate([t[2] for t in texts])
+    row, a, b, h, content = (np.concatenate(x) for x in zip(*(t[4] for t in texts), strict=True))
+    many = np.array([len(t[0]) for t in texts])
+    shift = np.repeat(base[:-1], [len(t[4][0]) for t in texts])
+    row += np.repeat(np.cumsum(many) - many, [len(t[4][0]) for t in texts])
+    ids = np.concatenate([t[0] for t in texts])
+    origin = np.concatenate([t[1] - t[3][:-1] - x for t, x in zip(texts, base, strict=False)])  # from the buffer to the document
+    a, b = a + shift, b + shift
+    doc, ws = ids[row], a + origin[row]
+    if len(np.unique(ids)) < len(ids):  # repeated rows: a place stands once
+        o = np.lexsort((content, b - a, ws, doc))
+        new = np.ones(len(o), bool)
+        for k, x in enumerate((content, b - a, ws, doc)):
+            new[1:] = (x[o][1:] != x[o][:-1]) | (new[1:] if k else False)
+        o = np.sort(o[new])
+        row, a, b, h, content, doc, ws = (x[o] for x in (row, a, b, h, content, doc, ws))
+    o = np.argsort(content)
+    same = content[o][1:] == content[o][:-1]
+    alike = np.zeros(len(o), bool)
+    alike[o[1:][same]] = alike[o[:-1][same]] = True
+    x = np.flatnonzero(alike)
+    if not len(x):
+        return doc[:0], ws[:0], (h, doc, ws, b - a + 1)
+    x = x[np.lexsort((a[x], row[x]))]
+    # Runs of one text that touch are one segment.
+    reach = np.maximum.accumulate(b[x] + width)
+    new = np.ones(len(x), bool)
+    new[1:] = (row[x][1:] != row[x][:-1]) | (a[x][1:] >= reach[:-1])
+    head = np.flatnonzero(new)
+    seg_row, seg_a, seg_e = row[x][head], a[x][head], reach[np.append(head[1:], len(x)) - 1]
+    o = np.lexsort((seg_a + origin[seg_row], ids[seg_row]))
+    seg_row, seg_a, seg_e = seg_row[o], seg_a[o], seg_e[o]
+    hit = repeated_windows([buf[p:q].tobytes() for p, q in zip(seg_a.tolist(), seg_e.tolist(), strict=True)], width)
+    begin = np.cumsum(seg_e - seg_a + 1) - (seg_e - seg_a + 1)
+    seg = np.searchsorted(begin, hit, side="right") - 1
+    at = seg_a[seg] + hit - begin[seg]
+    gone = np.zeros(len(buf) + 1, np.int64)
+    gone[at + 1] = 1
+    gone = np.cumsum(gone)
+    left = gone[b + 1] - gone[a] < b - a + 1
+    d, sp = _spans(ids[seg_row][seg], at + origin[seg_row][seg], np.full(len(at), width))
+    return d, sp, tuple(v[left] for v in (h, doc, ws, b - a + 1))
+
+
+_ENTRY = ["<u8", "<i8", "<u4", "<u2"]
+
+
 def _deal(width: int, buckets: int, hot: np.ndarray):
     def run(batches):
         held, count = [], 0
+        texts, runs = [], 0
 
-        def flush():
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            anchor, content, doc, ws, wl, first, late, _ = _settle(*cols)
-            d, sp = _spans(doc[late], ws[late], wl[late] + width - 1)
+        def settle():
+            d, sp, rest = _settled(texts, width)
             if len(d):
-                yield _rows(d, sp, int(_bytes.mix(content[:1].copy())[0] % U64(buckets)))
-            rec = np.empty(int(first.sum()), _ENTRY)
-            for k, x in zip(("anchor", "content", "doc", "ws", "wl"), (anchor, content, doc, ws, wl), strict=True):
-                rec[k] = x[first]
-            b = (_bytes.mix(rec["anchor"].copy()) % U64(buckets)).astype(np.int64)
+                yield _rows(d, sp, int(d[0] % buckets))
+            held.append(rest)
+
+        def deal():
+            h, doc, ws, wl = (np.concatenate(x) for x in zip(*held, strict=True))
+            b = (_bytes.mix(h.copy()) % U64(buckets)).astype(np.int32)
             o = np.argsort(b, kind="stable")
-            rec, b = rec[o], b[o]
-            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-            blobs, ids = [], []
-            for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True):
-                part = rec[x:y]
-                blobs.append(b"".join(part[k].tobytes() for k, _ in _ENTRY))
-                ids.append(int(b[x]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
-
-        for part in _bytes.slices(batches, 1 << 19):
-            pre, offs, ids, runs = _runs(part, width)
-            d, a, b, h = _finer(pre, width, *runs, hot)
+            b, h, doc, ws, wl = b[o], h[o] >> U64(16), doc[o], ws[o].astype("<u4"), wl[o].astype("<u2")
+            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+            blobs = [_packed(h[x:y], doc[x:y], ws[x:y], wl[x:y]) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(blobs, pa.binary())], schema=_SENT)
+
+        for ids, begins, buf, offs in _texts(batches, width):
+            pre = _bytes.prefix_hash(buf)
+            d, a, b, h = _finer(pre, width, *_bytes.anchor_runs(buf, offs, width, K, pre), hot)
             if not len(d):
                 continue
-            held.append((h, _bytes.span_hash(pre, a, b + width), ids[d], a - offs[d], (b - a + 1).astype(np.int32)))
-            count += len(d)
-            if count >= FLUSH_RUNS:
-                yield from flush()
-                held, count = [], 0
+            texts.append((ids, begins, buf, offs, (d, a, b, h, _bytes.span_hash(pre, a, b + width))))
+            runs += len(d)
+            if runs >= LOCAL_RUNS:
+                yield from settle()
+                count, texts, runs = count + runs, [], 0
+                if count >= FLUSH_RUNS:
+                    yield from deal()
+                    held, count = [], 0
+        if texts:
+            yield from settle()
         if held:
-            yield from flush()
+            yield from deal()
+        held, texts = [], []
+        _bytes.give_back()
 
     return run
 
 
-def _meet(width: int):
-    """One bucket of anchors: spans of repeated contents, and (span = start << 24 | windows, anchor) of contents that need their text compared."""
+def _meet():
+    """One part of the anchors: (doc_id, span = start << 24 | windows, anchor) of runs whose anchor is at several places; other rows pass."""
 
     def run(batches):
-        blobs = []
+        held, count, room, known = [], 0, 6 * FLUSH_RUNS, np.zeros(0, U64)
+
+        def told(doc, span, anchor):
+            for x in range(0, len(doc), 100_000):
+                y = slice(x, x + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(span[y]), pa.array(anchor[y].view(np.int64))], schema=_WANTED)
+
+        def several():
+            nonlocal held, known
+            anchor, doc, ws, wl = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.lexsort((wl, ws, doc, anchor))
+            anchor, doc, ws, wl = anchor[o], doc[o], ws[o], wl[o]
+            new = np.ones(len(o), bool)  # repeated rows of a document are one place
+            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (ws[1:] != ws[:-1]) | (wl[1:] != wl[:-1])
+            anchor, doc, ws, wl = anchor[new], doc[new], ws[new], wl[new]
+            more = np.zeros(len(anchor), bool)
+            more[1:] = anchor[1:] == anchor[:-1]
+            more[:-1] |= more[1:]
+            more |= np.isin(anchor, known)
+            known = np.union1d(known, anchor[more])
+            held = [tuple(x[~more] for x in (anchor, doc, ws, wl))]
+            yield from told(doc[more], (ws[more].astype(np.int64) << _BITS) | wl[more], anchor[more])
+
         for t in batches:
             plain = t.filter(t.column("blob").is_null())
             if plain.num_rows:
-                yield pa.RecordBatch.from_arrays([plain.column("doc_id"), plain.column("span"), pa.nulls(plain.num_rows, pa.int64())], names=["doc_id", "span", "anchor"])
-            blobs += [x.as_py() for x in t.column("blob").drop_null()]
-        if not blobs:
-            return
-        cols = {k: [] for k, _ in _ENTRY}
-        each = np.dtype(_ENTRY).itemsize
-        for raw in blobs:
-            n, at = len(raw) // each, 0
-            for k, kind in _ENTRY:
-                cols[k].append(np.frombuffer(raw, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-        blobs.clear()
-        anchor, _, doc, ws, wl, first, late, kinds = _settle(*(np.concatenate(cols[k]) for k, _ in _ENTRY))
-        d, sp = _spans(doc[late], ws[late], wl[late] + width - 1)
-        for x in range(0, len(d), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[x : x + 100_000]), pa.array(sp[x : x + 100_000]), pa.nulls(len(d[x : x + 100_000]), pa.int64())], names=["doc_id", "span", "anchor"])
-        more = first & (kinds > 1)
-        d, sp, an = doc[more], (ws[more] << _BITS) | wl[more], anchor[more].view(np.int64)
-        for x in range(0, len(d), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[x : x + 100_000]), pa.array(sp[x : x + 100_000]), pa.array(an[x : x + 100_000])], names=["doc_id", "span", "anchor"])
+                yield pa.RecordBatch.from_arrays([plain.column("doc_id"), plain.column("span"), pa.nulls(plain.num_rows, pa.int64())], schema=_WANTED)
+            for blob in t.column("blob").drop_null():
+                cols = _unpacked(blob.as_py(), _ENTRY)
+                held.append(cols)
+                count += len(cols[0])
+                if count >= room:  # only anchors stay that have been at one place so far
+                    yield from several()
+                    count = len(held[0][0])
+                    room = max(room, 2 * count)
+        if held:
+            yield from several()
+        held = []
+        _bytes.give_back()
 
     return run
 
 
-def _cut(width: int):
-    """The bytes of the runs that need comparing."""
+def _cut(width: int, buckets: int):
+    """The bytes of the runs that need comparing, packed by bucket of their anchors."""
 
     def run(batches):
+        held, size = [], 0
+
+        def deal():
+            anchor, doc, start, ln = (np.concatenate([h[k] for h in held]) for k in range(4))
+            body = b"".join(h[4] for h in held)
+            at = np.concatenate([h[5] + x for h, x in zip(held, np.cumsum([0, *(len(h[4]) for h in held)]), strict=False)])
+            b = (_bytes.mix(anchor.view(U64) + U64(1)) % U64(buckets)).astype(np.int32)
+            o = np.lexsort((anchor, b))
+            b, anchor, doc, start, ln, at = b[o], anchor[o], doc[o], start[o].astype("<u4"), ln[o].astype("<u4"), at[o]
+            cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            blobs = []
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=True):
+                head = _packed(anchor[x:y], doc[x:y], start[x:y], ln[x:y])
+                raw = b"".join([body[p : p + n] for p, n in zip(at[x:y].tolist(), ln[x:y].tolist(), strict=True)])
+                blobs.append(len(head).to_bytes(4, "little") + head + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
         for t in batches:
-            out = [], [], [], []
-            for doc, text, spans in zip(t.column(0).to_pylist(), t.column(1), t.column(2).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                for x in spans:
-                    s = x["span"] >> _BITS
-                    for col, v in zip(out, (x["anchor"], doc, s, raw[s : s + (x["span"] & ((1 << _BITS) - 1)) + width - 1]), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["anchor", "doc_id", "start", "bytes"])
+            buf, offs = _bytes.buffers(t.column(1))
+            runs = t.column(2)
+            each = np.diff(np.asarray(runs.offsets))
+            flat = runs.flatten()
+            span, anchor = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            row = np.repeat(np.arange(len(each)), each)
+            start, ln = span >> _BITS, (span & ((1 << _BITS) - 1)) + width - 1
+            ln = np.clip(np.minimum(ln, np.diff(offs)[row] - start), 0, None)  # several texts of one doc_id
+            held.append((anchor, t.column(0).to_numpy(zero_copy_only=False)[row], start, ln, buf.tobytes(), offs[row] + start))
+            size += int(ln.sum()) + len(buf)
+            if size >= FLUSH_RUNS << 5:
+                yield deal()
+                held, size = [], 0
+        if held:
+            yield deal()
+        held = []
+        _bytes.give_back()
 
     return run
 
 
 def _compare(width: int):
-    """Suffix arrays over chunks of whole anchors (rows sorted by anchor)."""
-
-    def solve(rows):
-        rows.sort(key=lambda r: r[:2])
-        rows = [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]  # repeated rows of a document
-        segs = [r[2] for r in rows]
-        hit = repeated_windows(segs, width)
-        if not len(hit):
-            return
-        begin = np.cumsum([0, *(len(s) + 1 for s in segs)])
-        seg = np.searchsorted(begin, hit, side="right") - 1
-        doc = np.fromiter((r[0] for r in rows), np.int64, len(rows))[seg]
-        start = np.fromiter((r[1] for r in rows), np.int64, len(rows))[seg] + hit - begin[seg]
-        d, sp = _spans(doc, start, np.full(len(doc), width))
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(sp)], names=["doc_id", "span"])
+    """Suffix arrays over chunks of whole anchors.  Beyond ``HELD`` bytes a task compares what it has, and of each anchor keeps the segments with a window that is not gone yet."""
 
     def run(batches):
-        held, own, size, last = [], [], 0, None
+        held, size, limit = [], 0, HELD
+
+        def settle():
+            nonlocal held, size
+            anchor, doc, start, ln = (np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True))
+            body = b"".join(h[4] for h in held)
+            at = np.cumsum(ln.astype(np.int64)) - ln
+            held, size = [], 0
+            o = np.lexsort((ln, start, doc, anchor))
+            new = np.ones(len(o), bool)  # repeated rows of a document
+            new[1:] = (anchor[o][1:] != anchor[o][:-1]) | (doc[o][1:] != doc[o][:-1]) | (start[o][1:] != start[o][:-1]) | (ln[o][1:] != ln[o][:-1])
+            o = o[new]
+            anchor, doc, start, ln, at = anchor[o], doc[o], start[o].astype(np.int64), ln[o].astype(np.int64), at[o]
+            head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            tail = np.append(head[1:], len(anchor))
+            upto = np.cumsum(ln)
+            left, x = [], 0
+            while x < len(head):  # whole anchors, about a chunk of bytes
+                y = max(x + 1, int(np.searchsorted(upto[tail - 1], upto[head[x]] - ln[head[x]] + CHUNK)))
+                rows = np.arange(head[x], tail[y - 1])
+                rows = rows[np.lexsort((start[rows], doc[rows]))]
+                segs = [body[p : p + n] for p, n in zip(at[rows].tolist(), ln[rows].tolist(), strict=True)]
+                x = y
+                hit = repeated_windows(segs, width)
+                begin = np.cumsum(ln[rows] + 1) - (ln[rows] + 1)
+                seg = np.searchsorted(begin, hit, side="right") - 1
+                d, sp = _spans(doc[rows][seg], start[rows][seg] + hit - begin[seg], np.full(len(hit), width))
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(sp, pa.int64())], schema=_FOUND)
+                left.append(rows[np.bincount(seg, minlength=len(rows)) < ln[rows] - width + 1])
+            left = np.concatenate(left)
+            held = [(anchor[left], doc[left], start[left], ln[left], b"".join(body[p : p + n] for p, n in zip(at[left].tolist(), ln[left].tolist(), strict=True)))]
+            size = int(ln[left].sum())
+
         for t in batches:
-            for a, d, s, raw in zip(*(t.column(j).to_pylist() for j in range(4)), strict=True):
-                if a != last:
-                    held += own
-                    own, last = [], a
-                    if size >= CHUNK:
-                        yield from solve(held)
-                        held, size = [], 0
-                own.append((d, s, raw))
-                size += len(raw)
-        held += own
+            for blob in t.column(1):
+                raw = blob.as_py()
+                n = 4 + int.from_bytes(raw[:4], "little")
+                body = pa.decompress(raw[n + 8 :], int.from_bytes(raw[n : n + 8], "little"), codec="zstd", asbytes=True)
+                held.append((*_unpacked(raw[4:n], ["<i8", "<i8", "<u4", "<u4"]), body))
+                size += len(body)
+                if size >= limit:
+                    yield from settle()
+                    limit = max(HELD, 2 * size)
         if held:
-            yield from solve(held)
+            yield from settle()
+        held = []
+        _bytes.give_back()
 
     return run
 
@@ -444,21 +589,25 @@ def _remove(batches):
 
 
 def removed_spans(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, span) of all bytes that go; spans may overlap."""
+    """(doc_id, spans) of all bytes that go; spans may overlap."""
     spark = docs.sparkSession
     _base.ready(spark)
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     total = _base.text_bytes(ids)
-    buckets = _base.parts_for(total, 8 << 20, 2)
     tasks = _base.tasks_for(spark, total)
     long = ids.where(F.octet_length("text") >= width)
-    dealt = long.mapInArrow(_deal(width, buckets, frequent_anchors(long, width, MOST_FREQUENT)), _DEALT)
-    met = _base.staged(dealt.repartition(buckets, "bucket").mapInArrow(_meet(width), "doc_id long, span long, anchor long"), "repeats", tasks)
+    # Several buckets a task even out their hashes.
+    meeting = _base.parts_for(total, 16 << 20, 2)
+    dealt = long.mapInArrow(_deal(width, 4 * meeting, frequent_anchors(long, width, MOST_FREQUENT)), _DEALT)
+    met = _base.staged(dealt.repartition(meeting, "bucket").mapInArrow(_meet(), "doc_id long, span long, anchor long"), "repeats", tasks)
     need = met.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))
-    cut = ids.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width), "anchor long, doc_id long, start long, bytes binary")
-    parts = _base.parts_for(total, 32 << 20, spark.sparkContext.defaultParallelism)
-    found = cut.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(width), "doc_id long, span long")
-    return met.where("anchor is null").select("doc_id", "span").union(found)
+    parts = _base.parts_for(total, 24 << 20, spark.sparkContext.defaultParallelism)
+    cut = long.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width, 4 * parts), "bucket int, blob binary")
+    found = cut.repartition(parts, "bucket").mapInArrow(_compare(width), "doc_id long, span long")
+    spans = met.where("anchor is null").select("doc_id", "span").union(found)
+    out = _base.staged(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans", tasks)
+    _base.drop_staged(met)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -467,7 +616,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     kept_sha256 is over the exact remaining bytes; kept_text leaves out what
     is no longer valid UTF-8 where a cut went through a character.
     """
-    spans = removed_spans(docs, width).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = removed_spans(docs, width)
     rows = _base.carried(docs, {"__id": F.col("doc_id").cast("long"), "__text": F.col("text")})
     both = rows.join(spans.withColumnRenamed("doc_id", "__id"), "__id", "left").select("__row", "__text", "spans")
     row = docs.schema.simpleString()
