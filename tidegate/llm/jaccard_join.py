@@ -7,14 +7,15 @@ pair is verified on the full shingle sets.
 
 Documents with equal sets form one class and only its representative takes
 part, so groups of copies are never expanded.  A pair is verified once, in
-the first band that both share.  Buckets of more than ``BLOCK`` documents are
-split into blocks, and each pair of blocks is a group of its own: no pair is
-lost and no group grows with the data.  Groups return sums and star edges,
-never pairs.
+the first band that both share.  Buckets of more than ``BLOCK`` documents, or
+of more than ``GRAMS`` shingles, are split into blocks, and each pair of blocks
+is a group of its own: no pair is lost and no group grows with the data.
+Groups return sums and star edges, never pairs.
 
 A document without words (or with null text) has an empty set and links with
 nothing, other empty documents included.  Null doc_ids link with nothing and
-keep a null class_id.  Repeated rows count as copies of each other.
+keep a null class_id.  Repeated rows count as copies of each other.  Where one
+doc_id has several texts, it has the links and the class of all of them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from tidegate.llm import _base, _bytes
 from tidegate.llm._bytes import U64
 
-BLOCK = 256
+#: Documents and shingles of a block.
+BLOCK, GRAMS = 256, 1 << 20
 
 
 def plan_bands(threshold: float, recall: float = 0.9999, most: int = 128) -> tuple[int, int]:
@@ -61,13 +63,18 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _sign(n: int, bands: int, rows: int):
     def run(batches):
         for part in _bytes.slices(batches, 1 << 19):
             sets = _bytes.shingle_sets(part.column(1), n)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digest = [_digest(s) if len(s) else None for s in sets]
             sig = [band_hashes(s, bands, rows).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+            grams = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), grams, pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "digest", "grams", "bands"])
 
     return run
 
@@ -128,23 +135,28 @@ def _sigs(parts):
 
 def _candidates(batches):
     """The members of each group that have a pair to verify there."""
-    out: dict[str, list] = {k: [] for k in ("gid", "i", "j", "block", "rep")}
+    kinds = {"gid": pa.int64(), "i": pa.int32(), "j": pa.int32(), "block": pa.int32(), "digest": pa.binary()}
+    out: list[pa.RecordBatch] = []
     size = 0
+
+    def told():
+        return pa.Table.from_batches(out).combine_chunks().to_batches()
+
     for parts in _groups(batches):
-        rep, block = _column(parts, "rep"), _column(parts, "block")
+        block, digest = _column(parts, "block"), pa.concat_arrays([p.column("digest") for p in parts])
         gid, i, j = (int(_column(parts[:1], c)[0]) for c in ("gid", "i", "j"))
         own = _first_pairs(_sigs(parts), gid, block, i, j)
         need = own.any(axis=0) | own.any(axis=1)
         k = int(need.sum())
         if k:
-            for name, v in (("gid", np.full(k, gid)), ("i", np.full(k, i, np.int32)), ("j", np.full(k, j, np.int32)), ("block", block[need].astype(np.int32)), ("rep", rep[need])):
-                out[name].append(v)
+            cols = (np.full(k, gid), np.full(k, i), np.full(k, j), block[need], digest.filter(pa.array(need)))
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds)))
             size += k
         if size > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
-            out, size = {k: [] for k in out}, 0
+            yield from told()
+            out, size = [], 0
     if size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+        yield from told()
 
 
 def links_in(sets: list[np.ndarray], own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -186,15 +198,20 @@ def links_in(sets: list[np.ndarray], own: np.ndarray, threshold: float) -> tuple
 def _verify(n: int, threshold: float):
     def run(batches):
         for parts in _groups(batches):
-            rep, block, size = _column(parts, "rep"), _column(parts, "block"), _column(parts, "size")
             gid, i, j = (int(_column(parts[:1], c)[0]) for c in ("gid", "i", "j"))
             sets = [s for p in parts for q in _bytes.slices([p], 1 << 19) for s in _bytes.shingle_sets(q.column(q.schema.get_field_index("text")), n)]
-            a, b = links_in(sets, _first_pairs(_sigs(parts), gid, block, i, j), threshold)
+            rep, block, size, sigs = _column(parts, "rep"), _column(parts, "block"), _column(parts, "size"), _sigs(parts)
+            # Of several texts of one doc_id, each set takes its own.
+            own = [k for k, (s, d) in enumerate(zip(sets, (x for p in parts for x in p.column("digest").to_pylist()), strict=True)) if _digest(s) == d]
+            sets, rep, block, size, sigs = [sets[k] for k in own], rep[own], block[own], size[own], sigs[own]
+            a, b = links_in(sets, _first_pairs(sigs, gid, block, i, j), threshold)
             if not len(a):
                 continue
             add = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
             node, root = _base.local_roots(rep[a], rep[b])
-            total = dict(zip(rep.tolist(), add.astype(np.int64).tolist(), strict=True))
+            total: dict[int, int] = {}
+            for r, x in zip(rep.tolist(), add.astype(np.int64).tolist(), strict=True):
+                total[r] = total.get(r, 0) + x
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array([total[x] for x in node.tolist()], pa.int64())], names=["rep", "peer", "links"])
 
     return run
@@ -212,31 +229,30 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     bands, rows = plan_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tasks = _base.tasks_for(spark, _base.text_bytes(docs))
-    signed = _base.staged(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, digest binary, bands array<long>"), "signed", tasks)
+    signed = _base.staged(docs.mapInArrow(_sign(n, bands, rows), "doc_id long, digest binary, grams long, bands array<long>"), "signed", tasks)
     some = signed.where("digest is not null and doc_id is not null")
-    sets = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    sets = _base.staged(sets, "sets", tasks)
     # One row for each set: the signature of its representative.
-    one = some.join(sets.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").groupBy("digest").agg(F.first("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    one = _base.staged(one.join(sets.select("digest", "size"), "digest"), "reps", tasks)
-    keyed = one.select("rep", F.explode("bands").alias("gid"))
-    crowd = keyed.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1")
+    one = some.groupBy("digest").agg(F.min_by(F.struct("doc_id", "grams", "bands"), "doc_id").alias("r"), F.count("*").alias("size"))
+    one = _base.staged(one.select("digest", F.col("r.doc_id").alias("rep"), "r.grams", "r.bands", "size"), "sets", tasks)
+    keyed = one.select("digest", "grams", F.explode("bands").alias("gid"))
+    crowd = keyed.groupBy("gid").agg(F.count("*").alias("members"), F.sum("grams").alias("all_grams")).where("members > 1")
     met = keyed.join(crowd, "gid")
-    nb = F.ceil(F.col("members") / BLOCK).cast("int")
-    met = met.select("gid", "rep", nb.alias("nb"), F.pmod(F.xxhash64("rep"), nb).cast("int").alias("block"))
-    met = met.select("gid", "rep", "block", F.explode(F.expr("sequence(0, nb - 1)")).alias("other"))
-    met = met.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
-    sig = one.select("rep", "bands", "size")
-    grouped = met.join(sig, "rep").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    cands = _base.staged(grouped.mapInArrow(_candidates, "gid long, i int, j int, block int, rep long"), "cands", tasks)
+    nb = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all_grams") / GRAMS)).cast("int")
+    met = met.select("gid", "digest", nb.alias("nb"), F.pmod(F.xxhash64("digest"), nb).cast("int").alias("block"))
+    met = met.select("gid", "digest", "block", F.explode(F.expr("sequence(0, nb - 1)")).alias("other"))
+    met = met.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest")
+    grouped = met.join(one.select("digest", "bands"), "digest").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    cands = _base.staged(grouped.mapInArrow(_candidates, "gid long, i int, j int, block int, digest binary"), "cands", tasks)
     # Texts of the documents that have a candidate, once, then to their groups.
-    asked = cands.select("rep").distinct()
-    texts = docs.join(asked.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-    full = cands.join(texts, "rep").join(sig, "rep").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    sig = one.select("digest", "rep", "bands", "size")
+    asked = cands.select("digest").distinct().join(sig.select("digest", "rep"), "digest").select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.join(asked.hint("shuffle_hash"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts"))
+    full = cands.join(sig, "digest").join(texts.select("rep", F.explode("texts").alias("text")), "rep").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     found = _base.staged(full.mapInArrow(_verify(n, threshold), "rep long, peer long, links long"), "links", tasks)
     roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), tasks)
     per = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = sets.join(per, "rep", "left").select("digest", F.col("rep").alias("copy_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
+    classes = one.select("digest", "rep", "size").join(per, "rep", "left").select("digest", F.col("rep").alias("copy_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
     out = signed.select("doc_id", F.when(~alone, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    return out.coalesce(tasks).select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = out.select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return _base.finished(out.coalesce(tasks), "classes", signed, one, cands, found, roots)
