@@ -32,15 +32,21 @@ class UnsafeError(Exception):
     """A text that can't be encoded in parts."""
 
 
+#: Longer parts are encoded anew each time: texts without spaces would otherwise fill the caches with themselves.
+LONGEST = 64
+
+
 class Cache(dict):
-    """A dict that makes missing values by a function of the key."""
+    """A dict that makes missing values by a function of the key, and keeps those of keys of at most ``LONGEST`` characters."""
 
     def __init__(self, make, items=()):
         super().__init__(items)
         self.make = make
 
     def __missing__(self, key):
-        got = self[key] = self.make(key)
+        got = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = got
         return got
 
 
@@ -52,7 +58,8 @@ class WordEncoder:
     between are encoded one by one and remembered: by tiktoken over the
     file's own vocabulary (the same ids, several times faster on short
     strings) unless a special token's text may be inside.  Any other text
-    goes to the tokenizers library whole.
+    goes to the tokenizers library whole, and so do all texts where the file
+    has a normaliser or another pre-tokenizer than the byte-level one.
     """
 
     def __init__(self, path: str, limit: int = 250_000):
@@ -61,15 +68,18 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.limit, self.known = limit, Cache(self._part)
-        self.short = self._byte_level(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        before = file.get("pre_tokenizer") or {}
+        # The pattern of the byte-level pre-tokenizer is fixed in the library; what a file may change is looked at here.
+        self.by_parts = not file.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.short = self._byte_level(file) if self.by_parts else None
 
     @staticmethod
-    def _byte_level(path: str):
+    def _byte_level(file: dict):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
         plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 173)]
         letter = {chr(b): b for b in plain}
         letter |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -97,6 +107,8 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.limit:
             self.known = Cache(self._part, islice(self.known.items(), self.limit * 3 // 4))  # frequent words came first
+        if not self.by_parts:
+            return self._whole(texts)
         words = [t.replace("\n", " \n").split(" ") for t in texts]
         get = self.known.__getitem__
         out = []

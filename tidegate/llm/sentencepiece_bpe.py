@@ -9,7 +9,8 @@ a prefix has only one merge encoding, such a place never needs another look.
 No piece holds a space mark after another character, so texts fall into
 parts that start at runs of spaces; encoded parts are kept in a bounded cache.
 
-Null text counts as empty (the end id alone).  Other columns stay as they are.
+Null text counts as empty (the end id alone).  Other columns stay as they are,
+and repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import _base, _bytes
-from tidegate.llm.packing import Cache
+from tidegate.llm.packing import LONGEST, Cache
 
 MARK = "▁"
 
@@ -95,12 +96,13 @@ class BacktrackingBpe:
         path: list[int] = []
         tried: list[int] = []  # index of the next shorter choice at each step
         size, pairs = self.size, self.pairs
-        failed, pos, k = 0, begin, len(starts[begin]) - 1
+        failed = bytearray((end - begin >> 3) + 1)  # a bit for each place from which nothing leads on
+        pos, k = begin, len(starts[begin]) - 1
         while pos < end:
             here = starts[pos]
             while k >= 0:
                 nxt = pos + size[here[k]]
-                if nxt <= end and not failed >> (nxt - begin) & 1:
+                if nxt <= end and not failed[nxt - begin >> 3] >> (nxt - begin & 7) & 1:
                     if not path:
                         break
                     ok = pairs.get(path[-1] << 20 | here[k])
@@ -113,7 +115,7 @@ class BacktrackingBpe:
                 pos = nxt
                 k = len(starts[pos]) - 1
             else:
-                failed |= 1 << (pos - begin)
+                failed[pos - begin >> 3] |= 1 << (pos - begin & 7)
                 pos -= size[path.pop()]
                 k = tried.pop()
         return path
@@ -135,7 +137,9 @@ class BacktrackingBpe:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            got = self.parts[part] = np.array(self.encode_part(part), "<i4").tobytes()
+            got = np.array(self.encode_part(part), "<i4").tobytes()
+            if len(part) <= LONGEST:
+                self.parts[part] = got
         return got
 
     def _word(self, word: str) -> bytes:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from itertools import islice
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import _base, _bytes
+from tidegate.llm.packing import LONGEST
 
 
 def tokenizer_version(path: str) -> str:
@@ -60,7 +62,11 @@ class WordCounter:
         words = [t.replace("\n", " ").split(" ") for t in texts]
         new = list(set().union(*words) - known.keys())
         known |= dict(zip(new, self._words(new), strict=True))
-        return [sum(map(known.__getitem__, w)) for w in words]
+        out = [sum(map(known.__getitem__, w)) for w in words]
+        for w in new:  # texts without spaces would otherwise fill the cache with themselves
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 class TextCounter:
@@ -80,6 +86,21 @@ class TextCounter:
             self.count = lambda texts: list(map(len, tok.encode_batch(texts, add_special_tokens=False)))
 
 
+@functools.lru_cache(maxsize=8)
+def drops_white_space(path: str) -> bool:
+    """Whether a file of the tokenizers library makes of any text the tokens of its words, one after another, whatever white space is between."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        before = json.load(f).get("pre_tokenizer")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    probes = ["a b", "  Ab,  12\nc's ", "\n\n", "x \n y", "don't 3.5 \u00e9t\u00e9 \u6f22 z"]
+    return before is not None and all(ids(p) == [i for w in p.replace("\n", " ").split(" ") for i in ids(w)] for p in probes)
+
+
 @functools.lru_cache(maxsize=1)
 def _counter(path: str, by_word: bool):
     """One per worker process, so that tasks after the first find its cache warm."""
@@ -96,13 +117,18 @@ def _count(path: str, by_word: bool):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, store: str, limit: int = 2048, by_word: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, store: str, limit: int = 2048, by_word: bool | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; new counts are appended to the Parquet folder ``store``.
 
     ``by_word``: the file's pre-tokenizer drops white space and never joins
-    across it, so spaces fold in the key and words count on their own.
+    across it, so spaces fold in the key and words count on their own.  It is
+    found out from the file; to ask for it where that does not hold is an error.
     """
     spark = docs.sparkSession
+    apart = drops_white_space(tokenizer)
+    if by_word and not apart:
+        raise ValueError("this tokenizer's counts are not those of its words")
+    by_word = apart if by_word is None else by_word
     _base.ready(spark)
     version = tokenizer_version(tokenizer)
     text = F.coalesce("text", F.lit(""))
@@ -121,5 +147,5 @@ def token_counts(docs: DataFrame, tokenizer: str, store: str, limit: int = 2048,
     new = asked.mapInArrow(_count(tokenizer, by_word), "digest binary, n_tokens long")
     new.coalesce(tasks).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(store)
     known = spark.read.schema(shape).parquet(store).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = keys.join(known, "digest", "left")
-    return out.coalesce(tasks).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = keys.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return _base.finished(out.coalesce(tasks), "counts", keys)
