@@ -6,13 +6,15 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegate.llm import _base, chat_format, embedding_dedup, jaccard_join, language_id, packing, queries, sentencepiece_bpe, suffix_dedup, token_counts, topk_search, url_filter
+from tidegate.llm import _base, _bytes, chat_format, embedding_dedup, jaccard_join, language_id, packing, queries, sentencepiece_bpe, suffix_dedup, token_counts, topk_search, url_filter
 
+repeated = suffix_dedup.repeated_windows
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, text_ string, kept_text string, digest string, bands string"
 
 
@@ -73,6 +75,71 @@ def test_suffix_dedup_cuts_frequent_minimizers_finer(spark, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
 
 
+def removed_in_process(rows, width, tasks=3, hot=()):
+    """The operator's steps without Spark, so that patches reach them."""
+    hot = np.sort(np.array(hot, np.uint64))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], names=["doc_id", "text"])
+    dealt = [b for k in range(tasks) for b in suffix_dedup._deal(width, 4, hot)(iter([batch(rows[k::tasks])]))]
+    gone, want = [], {}
+    for b in suffix_dedup._meet()(iter(dealt)):
+        for d, sp, an in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if an is None:
+                gone.append((d, sp))
+            else:
+                want.setdefault(d, []).append({"span": sp, "anchor": an})
+    have = [(d, t, want[d]) for d, t in rows if d in want]
+    kind = pa.list_(pa.struct([("span", pa.int64()), ("anchor", pa.int64())]))
+    joined = pa.RecordBatch.from_arrays([pa.array([d for d, *_ in have], pa.int64()), pa.array([t for _, t, _ in have], pa.string()), pa.array([w for *_, w in have], kind)], names=["doc_id", "text", "runs"])
+    cut = list(suffix_dedup._cut(width, 3)(iter([joined]))) if have else []
+    gone += [x for b in suffix_dedup._compare(width)(iter(cut)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    out = {d: bytearray(len((t or "").encode())) for d, t in rows}
+    for d, sp in gone:
+        out[d][sp >> 24 : (sp >> 24) + (sp & 0xFFFFFF)] = b"\1" * (sp & 0xFFFFFF)
+    return {d: (len(g), sum(g), sum(1 for k in range(len(g)) if g[k] and not (k and g[k - 1]))) for d, g in out.items()}
+
+
+@pytest.mark.parametrize("hashes", [1 << 64, 7, 1])
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_is_exact_under_collisions(prose, monkeypatch, hashes, small):
+    true = _bytes.span_hash
+    monkeypatch.setattr(_bytes, "span_hash", lambda *a: true(*a) % np.uint64(hashes) if hashes < 1 << 64 else true(*a))
+    if small:  # every bound is reached: pieces of texts, batches, chunks, what tasks hold
+        for k, v in {"PIECE": 3000, "LOCAL_RUNS": 40, "FLUSH_RUNS": 60, "CHUNK": 500, "HELD": 2000}.items():
+            monkeypatch.setattr(suffix_dedup, k, v)
+    rows = list(enumerate(prose[:54])) + [(7, prose[7]), (40, prose[40])]
+    rows = [(i, t[:4000] if t else t) for i, t in rows]
+    want = {i: w[:3] for i, w in spans_by_force(list(dict(rows).items()), 100).items()}
+    assert sum(w[1] for w in want.values()) > 1000
+    assert removed_in_process(rows, 100) == want
+    assert removed_in_process(rows[::-1], 100, 1) == want
+
+
+def test_suffix_dedup_splits_one_minimizer_of_many_tasks(monkeypatch):
+    """A minimizer with few contents in each of many tasks is found and cut finer; no group of texts to compare keeps all its contexts."""
+    rng = random.Random(1)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = noise(60)
+    rows = [(i, noise(90) + line + noise(90)) for i in range(300)] + [(300 + i, "x" + noise(39) + line + "y" * 40) for i in range(3)]
+    rows += [(400, rows[7][1][20:220]), (401, rows[301][1])]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1)  # one anchor a suffix array
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], names=["doc_id", "text"])
+    seen = {}
+    for k in range(20):
+        for b in suffix_dedup._frequent(100)(iter([batch(rows[k::20])])):
+            for anchor, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                seen[anchor] = seen.get(anchor, 0) + n
+    hot = [np.int64(k).view(np.uint64) for k, n in seen.items() if n > 60]
+    assert hot
+    want = {i: w[:3] for i, w in spans_by_force(rows, 100).items()}
+    groups = {}
+    for h in ((), hot):
+        known = {}
+        monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda segs, width, f=repeated, k=known: (k.update(n=max(k.get("n", 0), len(segs))), f(segs, width))[1])
+        assert removed_in_process(rows, 100, 20, h) == want
+        groups[bool(h)] = known["n"]
+    assert groups[True] < groups[False] / 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=40), min_size=1, max_size=6), st.integers(17, 24))
 def test_repeated_windows(parts, width):
@@ -87,6 +154,20 @@ def test_repeated_windows(parts, width):
     assert suffix_dedup.repeated_windows(parts, width).tolist() == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=80), st.integers(1, 4), st.randoms())
+def test_two_stage(raw, spread, rng):
+    text = np.frombuffer(raw, np.uint8) % (spread + 1)
+    text = np.append(text, 0).astype(np.uint8)
+    wanted = np.array([rng.random() < 0.4 for _ in text])
+    for want in (None, wanted):
+        sa, _ = suffix_dedup.two_stage(text, 96, want)
+        have = np.arange(len(text)) if want is None else np.flatnonzero(want)
+        assert set(have.tolist()) <= set(sa.tolist()) and len(set(sa.tolist())) == len(sa)
+        suffixes = [(bytes(text[p:]) + b"\0" * 200)[:100] for p in sa.tolist()]
+        assert suffixes == sorted(suffixes)
+
+
 def links_by_force(rows, n=5, threshold=0.8):
     sets = {}
     for i, t in rows:
@@ -126,6 +207,17 @@ def test_jaccard_join(spark, prose, monkeypatch):
     assert jaccard_join.jaccard_join(docs_of(spark, [])).count() == 0
     odd = jaccard_join.jaccard_join(docs_of(spark, ["a b c d e f", "a b c d e f", None], [None, 3, None])).collect()
     assert {(r.doc_id, r.n_links) for r in odd} == {(None, 0), (3, 0)} and len(odd) == 3
+    # One doc_id with two texts has the links of both, whatever the order.
+    two = [prose[10], prose[11], prose[10] + " more", prose[11] + " more", prose[12]]
+    got = jaccard_join.jaccard_join(docs_of(spark, two, [1, 1, 2, 3, 4])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_jaccard_join_blocks_by_shingles(spark, prose, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GRAMS", 50)
+    texts = [prose[10] + f" tail{i}" for i in range(12)] + prose[:5]
+    want = links_by_force(list(enumerate(texts)))
+    assert {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join.jaccard_join(docs_of(spark, texts)).collect()} == want
 
 
 def test_bands_reach_recall():
@@ -139,11 +231,12 @@ def test_packing(spark, prose):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    rows = packing.pack(docs_of(spark, prose), path, 64, 8).collect()
+    texts = [*prose, *EDGE]
+    rows = packing.pack(docs_of(spark, texts), path, 64, 8).collect()
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
-    for i, t in enumerate(prose):
+    for i, t in enumerate(texts):
         own = sorted(by[i], key=lambda r: r.piece)
         ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in own]).tolist()
         assert ids == lib.encode(t or "", add_special_tokens=False).ids + [2]
@@ -160,6 +253,52 @@ def test_packing(spark, prose):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_caches_keep_no_long_parts():
+    long = ["漢字" * 200, "x" * 300, "short words here"]
+    byte = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    byte.encode([f"a {t} b" for t in long])
+    piece = sentencepiece_bpe.BacktrackingBpe(public_tokenizers.path("piece_bpe_32k.model"))
+    for t in long:
+        piece.encode(t), piece.encode(f"  {t}")
+    word = token_counts.WordCounter(public_tokenizers.path("word_bpe_49k.json"))
+    word.count(long)
+    for cache in (byte.known, piece.words, piece.parts, word.known):
+        assert cache and max(map(len, cache)) <= packing.LONGEST + 1
+
+
+def test_encoders_look_at_the_file(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    file["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "lower.json")
+    json.dump(file, open(path, "w", encoding="utf-8"))
+    encoder, lib = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for t in ("Hello World ABC", " A  B\n"):
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert not encoder.by_parts
+    assert token_counts.drops_white_space(public_tokenizers.path("word_bpe_49k.json")) and not token_counts.drops_white_space(path)
+
+
+def test_token_counts_of_files_that_join_words(spark, prose, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), [*prose[:5], *EDGE]
+    got = token_counts.token_counts(docs_of(spark, texts), path, f"file://{tmp_path}/s").collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs_of(spark, texts), path, f"file://{tmp_path}/s", by_word=True)
+
+
+def test_sentencepiece_long_text_without_spaces():
+    coder = sentencepiece_bpe._coder(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "".join(random.Random(4).choice("abcdefgheiouy漢") for _ in range(60_000))
+    assert np.frombuffer(coder.encode(text), "<i4").tolist() == coder.library.encode(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 9))
 def test_best_fit(lengths, bins):
@@ -233,12 +372,57 @@ def test_language_id(spark):
     assert language_id.fit(df.limit(0)).langs == ["und"]
 
 
+def invented(seed, letters, n=260):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(5, 80))) for _ in range(n)]
+
+
+def score_by_force(model, text):
+    raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+    total, n = np.zeros(len(model.langs) + 1), 0
+    for size, salt in zip(language_id._GRAMS, language_id._SALT):
+        for p in range(len(raw) - size + 1):
+            if raw[p] == raw[p + 1] == 32:
+                continue
+            h = int.from_bytes(bytes(raw[p : p + size]), "big") * salt & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            total += model.scores[h >> 32 - model.bits]
+            n += 1
+    z = (total[:-1] / max(n, 1) + model.bias) * model.temperature
+    p = np.exp(z - z.max())
+    return model.langs[int(z.argmax())], float((p / p.sum()).max())
+
+
+def test_language_id_by_force_and_rejection():
+    alphabets = {"a": "abcdefgh", "b": "ghijklmn", "c": "mnopqrst"}
+    rows = [(t, lang) for k, (lang, letters) in enumerate(alphabets.items()) for t in invented(k, letters)]
+    random.Random(0).shuffle(rows)
+    model = language_id.train(rows[:600])
+    texts = [t for t, _ in rows[600:]] + ["x", "a b", "É漢字 mixed 12", "ab" * 30_000, " ", "gh gh", "gh gh"]
+    lang, score, accepted = model.predict(pa.array(texts))
+    for t, got, s in zip(texts, lang, score):
+        want, p = score_by_force(model, t)
+        if any(c.isalpha() for c in t):
+            assert got == want and abs(p - s) < 1e-4
+        else:
+            assert (got, s) == ("und", 0.0)
+    assert lang[-1] == lang[-2] and score[-1] == score[-2]
+    assert accepted[: len(rows) - 600].mean() > 0.97 and not accepted[texts.index(" ")]
+    other = [t for t in invented(9, "uvwxyzéß漢") if len(t) > 60]
+    caught = ~model.predict(pa.array(other))[2]
+    assert caught.mean() > 0.9
+    assert model.rejection.kept > 0.97 and model.rejection.left_out_caught > 0.5
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/7?x", "https://b.com/en/", "x://shop.example.net/de/88#t", "u://net/de/", "u://xnet/de/", None, "", "no scheme", "http://com", "http://org/es/a", "http://a..org/es/", "://com/en/", "http://" + "a." * 5000 + "com/en/" + "x" * 5000, "ht://com/en"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, queries.RULES).select("__row.page_id", "rule", "verdict").collect()}
     a = (None, "allow")
     assert [got[i] for i in range(len(urls))] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), ("net/de/", "allow"), a, a, a, a, a, ("org/es/", "block"), ("org/es/", "block"), ("com/en/", "block"), ("com/en/", "block"), a]
+    twice = url_filter.filter_urls(df.union(df), queries.RULES).groupBy("__row.page_id").agg(F.count("*").alias("n"), F.min("verdict").alias("a"), F.max("verdict").alias("b")).collect()
+    assert all(r.n == 2 and r.a == r.b == got[r.page_id][1] for r in twice)
     assert url_filter.filter_urls(df, []).where("verdict <> 'allow'").count() == 0 and url_filter.filter_urls(df.limit(0), queries.RULES).count() == 0
 
 
@@ -257,6 +441,10 @@ def test_chat_format(spark):
     assert [(t.role, list(t.texts)) for t in got[2].turns] == [("assistant", ["first"]), ("", [""])]
     assert got[3].turns[0].role == "we>ird<&" and got[3].turns[0].texts == ["&lt;"] and got[4].loss == "ss"
     assert chat_format.format_chats(df.limit(0)).count() == 0
+    long = "<&" * 30_000
+    wide = spark.createDataFrame([(1, 0, "user", long, "x", 1), (1, 1, "user", None, "y", 2)], "conv_id long, turn long, role string, text string, formatted string, t int")
+    row = chat_format.parse_chats(chat_format.format_chats(wide)).first()
+    assert [list(t.texts) for t in row.turns] == [[long, ""]]
 
 
 def vectors(spark, n=300, d=16):
@@ -302,14 +490,47 @@ def test_topk_repeated_ids(spark, monkeypatch, block):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
-def test_search_block_stops_only_when_certain():
+@pytest.mark.parametrize("scale", [1, 50, 10**7])
+def test_cells_keep_what_may_be_among_the_best(scale):
     rng = np.random.default_rng(0)
-    v, q = rng.integers(-40, 40, (500, 8)), rng.integers(-40, 40, (20, 8))
+    v, q = rng.integers(-40, 40, (500, 8)) * scale + rng.integers(0, scale, (500, 8)), rng.integers(-40, 40, (20, 8))
     v[100:200] = v[0]
-    for i, (ids, scores) in enumerate(topk_search.search_block(np.full(20, -1), q, np.arange(500), v, 9, 4)):
-        s = v @ q[i]
-        o = np.lexsort((np.arange(500), -s))[:9]
-        assert ids.tolist() == o.tolist() and scores.tolist() == s[o].tolist()
+    ids = np.sort(rng.integers(0, 400, 500))  # some ids have several vectors
+    best = topk_search.Nearest(np.arange(20), q, 9)
+    for no, part in enumerate(np.array_split(np.arange(500), 3)):
+        best.scan(no, ids[part], *topk_search.quantised(v[part]))
+    r, i, no, low, up = best.rows
+    for own in range(20):
+        score = {}
+        for x, s in zip(ids.tolist(), (v @ q[own]).tolist(), strict=True):
+            score[x] = max(s, score.get(x, s))
+        score.pop(own, None)
+        want = sorted(score, key=lambda x: (-score[x], x))[:9]
+        have = set(i[r == own].tolist())
+        assert set(want) <= have and own not in have
+        assert scale > 1 or have == set(want)  # cells of one value bound exactly
+    assert len(r) < 20 * 500 / 2
+
+
+def test_topk_large_components_copies_and_extra_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "READERS", 7)
+    rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100, [1e30, 0.0]), (101, [-1e30, 1.0]), (102, [1e17, 1e17]), (40, None), (None, [1.0, 2.0])]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, no int, ids string, kind int")
+    got = {}
+    for r in topk_search.topk(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    most, big = (1 << 63) - 1, lambda x: max(-(1 << 63), min((1 << 63) - 1, int(x * 64)))
+    whole = {i: [big(x) for x in v] for i, v in rows if i is not None and v}
+    for q in (0, 20, 40, 100):
+        score = {i: max(-most - 1, min(most, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert sorted(got[q]) == [(k + 1, i, score[i]) for k, i in enumerate(want)]
+
+
+def test_topk_reads_few_exact_vectors(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.rand(5) * 0 + F.cos(F.col("id") * j * j * 0.7)).alias("embedding"))
+    reads = [r.exact_reads for r in topk_search.topk(df, F.col("vec_id") % 100 == 0, 10, 10**6).collect()]
+    assert len(reads) == 300 and 10 <= min(reads) and max(reads) < 300
 
 
 @pytest.mark.parametrize("shard", [16_384, 40])
@@ -331,15 +552,56 @@ def test_embedding_dedup(spark, monkeypatch, shard):
                 links[j] += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
-    assert len(got) == len(rows) and sum(links.values()) > 100
-    found = sum(r.n_links for r in got.values())
-    assert found >= 0.9 * sum(links.values()) and all(got[i].n_links <= links[i] for i in links)
-    if found == sum(links.values()):
+    named = df.withColumnRenamed("label", "n").select("*", F.concat(F.lit("l "), "n").alias("label"), F.lit(1).alias("grp"), F.lit(1).alias("rep"), F.lit(1).alias("v"))
+    for table in (df, named.drop("n")):  # labels of any type, extra columns whose names are used inside
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+        assert len(got) == len(rows) and sum(links.values()) > 100
+        assert {i: r.n_links for i, r in got.items()} == links
         assert all(got[i].component_id == find(i) and got[i].kept == (find(i) == i) for i in links)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_ties_and_large_components(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (3, [1e200, 0.0], 0), (None, [1.0, 0.0], 0), (4, [0.0, 1e-300], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.6).collect()}
+    assert got == {1: (2, 1), 2: (3, 1), 3: (2, 1), 4: (1, 1), None: (0, None)}  # cosines of 0.6 and 0.8 both reach 0.6
+
+
+def clusters():
+    rng = np.random.default_rng(3)
+    heart = np.repeat(rng.standard_normal((12, 24)), 60, axis=0) + 0.12 * rng.standard_normal((720, 24))
+    return embedding_dedup._unit(np.concatenate((heart, rng.standard_normal((300, 24))))).astype(np.float32)  # in the clusters' order
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_links_between_passes_its_audits(monkeypatch, broken):
+    x = clusters()
+    truth = x @ x.T >= 0.93
+    graph = embedding_dedup.Graph(x)
+    if broken:  # edges lead nowhere: every audit fails, and the shard is compared in full
+        graph.layers = [np.full_like(layer, -1) for layer in graph.layers]
+        monkeypatch.setattr(embedding_dedup.Graph, "relink", lambda *a: None)
+    a, b, beam, recall = embedding_dedup.links_between(graph, x, 0.93, True)
+    got = np.zeros_like(truth)
+    got[a, b] = True
+    np.fill_diagonal(truth, False)
+    assert (beam == 0) == broken and recall >= 0.99 and (got & truth).sum() >= 0.995 * truth.sum() > 10_000
+
+
+def test_relink_finds_lost_vectors():
+    x = clusters()
+    graph = embedding_dedup.Graph(x)
+    base = graph.layers[0]
+    base[base == 30] = -1  # no edge leads to vector 30
+    some = np.array([29])
+    r, found = graph.within(x[some], 0.93, 64)
+    lost_q, lost, _ = embedding_dedup.audit(graph, x, some, 0.93, True, some[r], found)
+    assert lost.tolist() == [30]
+    graph.relink(x, lost_q, lost)
+    assert 30 in graph.within(x[some], 0.93, 64)[1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(i, i + 1) for i in range(500, 560)]

@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def ready(spark: SparkSession) -> None:
     """Bound Arrow batches and let Python workers import this library."""
     sc = spark.sparkContext
-    have = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    if sc.master.startswith("local"):
+        have = sc.environment.get("PYTHONPATH", "")
+        if str(ROOT) not in have.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), have) if x)
+    elif not getattr(sc, "_tidegate_sent", False):
+        sc.addPyFile(_archive())
+        sc._tidegate_sent = True
     # Workers give freed memory back instead of keeping pools of their own.
     sc.environment |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def _archive() -> str:
+    """The package as a compiled archive, which Spark's file server hands to the executors."""
+    folder = tempfile.mkdtemp(prefix="tidegate-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tidegate.zip")
+    with zipfile.PyZipFile(path, "w", optimize=0) as z:
+        z.writepy(str(Path(__file__).resolve().parents[1]))
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all nodes share: spark.checkpoint.dir; on a single machine, as in tests, one of our own where it is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         got = "file://" + tempfile.mkdtemp(prefix="tidegate-")
+        atexit.register(shutil.rmtree, got[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", got)
     return got
 
@@ -53,6 +73,14 @@ def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(df: DataFrame, name: str, *used: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A result, staged, and the staged tables it was made from deleted."""
+    out = staged(df, name, tasks)
+    for t in used:
+        drop_staged(t)
+    return out
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     spark = df.sparkSession
@@ -62,8 +90,16 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+def text_bytes(docs: DataFrame) -> int:
+    """About how many bytes the texts of a table have: twice its compressed files, by their listing.  Only task counts go by it, never a result."""
+    return 2 * stored_bytes(docs)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files a plan reads, from their listing alone; of tables that are not in files, what Spark holds or 64 bytes a row."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else 64 * df.count()
 
 
 def parts_for(total: int, each: int, least: int = 1) -> int:

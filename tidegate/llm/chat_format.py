@@ -9,7 +9,8 @@ one role are merged, and everything is concatenated:
 texts, so no text can hold a mark of the template, and parsing is exact.
 Null role or text counts as empty; rows with null conv_id form one
 conversation; merged texts read back with a line break between them, which
-the loss mask leaves out.
+the loss mask leaves out.  Repeated rows are turns of their own; ties of turn
+go by role and text; columns of other names are not read.
 """
 
 from __future__ import annotations

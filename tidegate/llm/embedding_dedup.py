@@ -418,15 +418,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     if dict(vectors.dtypes)["label"] in ("float", "double"):
         label = label + F.lit(0.0)  # one zero
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(label.isNotNull() & F.col("vec_id").isNotNull(), usable(F.col("embedding"))).alias("v"), label.cast("string").alias("grp"))
-    # A vector takes up to 1 KB with its links.
-    tasks = _base.tasks_for(spark, 1024 * rows.count())
+    # A vector takes up to four times its stored size with its links.
+    tasks = _base.tasks_for(spark, 4 * _base.stored_bytes(vectors))
     some = rows.where("v is not null").withColumn("dim", F.size("v"))
     reps = _base.staged(some.groupBy("grp", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors", tasks)
-    found = found_links(reps, threshold, tasks).where("rep is not null")
+    links = found_links(reps, threshold, tasks)
+    found = links.where("rep is not null")
     roots = _base.components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), tasks)
     per = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("grp", "v", "rep", "copies").join(per, "rep", "left")
     own = own.select("grp", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.join(own, ["grp", "v"], "left").coalesce(tasks)
     root = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id").eqNullSafe(root)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id").eqNullSafe(root)).alias("kept"))
+    return _base.finished(out, "near", reps, links, roots)

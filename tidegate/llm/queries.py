@@ -45,7 +45,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     got = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
-    return got.select("__row.doc_id", language_id.held_out(F.col("__row.doc_id")).alias("held_out"), "lang_pred", "score")
+    return got.select("__row.doc_id", language_id.held_out(F.col("__row.doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +69,15 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_search.topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    got = topk_search.topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return got.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = f"{_base.shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE, store)
+    got = token_counts.token_counts(_table(spark, sf_dir, "documents"), WORD_BPE, store)
+    _base.drop_staged(spark.read.parquet(store))  # this query starts an empty store each time
+    return got
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_packing, op4_language_id, op5_jaccard_join, op6_sentencepiece, op7_suffix_dedup, op8_embedding_dedup, op9_topk_search, op10_token_counts)}

@@ -600,9 +600,10 @@ def removed_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     meeting = _base.parts_for(total, 16 << 20, 2)
     dealt = long.mapInArrow(_deal(width, 4 * meeting, frequent_anchors(long, width, MOST_FREQUENT)), _DEALT)
     met = _base.staged(dealt.repartition(meeting, "bucket").mapInArrow(_meet(), "doc_id long, span long, anchor long"), "repeats", tasks)
-    need = met.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))
+    # Texts meet by document in tasks of bounded bytes.
+    need = met.where("anchor is not null").repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("runs"))
     parts = _base.parts_for(total, 24 << 20, spark.sparkContext.defaultParallelism)
-    cut = long.join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width, 4 * parts), "bucket int, blob binary")
+    cut = long.repartition(tasks, "doc_id").join(need.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut(width, 4 * parts), "bucket int, blob binary")
     found = cut.repartition(parts, "bucket").mapInArrow(_compare(width), "doc_id long, span long")
     spans = met.where("anchor is null").select("doc_id", "span").union(found)
     out = _base.staged(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "spans", tasks)
@@ -616,9 +617,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     kept_sha256 is over the exact remaining bytes; kept_text leaves out what
     is no longer valid UTF-8 where a cut went through a character.
     """
-    spans = removed_spans(docs, width)
+    tasks = _base.tasks_for(docs.sparkSession, _base.text_bytes(docs))
+    spans = removed_spans(docs, width).withColumnRenamed("doc_id", "__id").repartition(tasks, "__id")
     rows = _base.carried(docs, {"__id": F.col("doc_id").cast("long"), "__text": F.col("text")})
-    both = rows.join(spans.withColumnRenamed("doc_id", "__id"), "__id", "left").select("__row", "__text", "spans")
+    known = rows.where("__id is not null").repartition(tasks, "__id").join(spans, "__id", "left").select("__row", "__text", "spans")
+    # Rows without an id have no spans and need not meet anything.
+    alone = rows.where("__id is null").select("__row", "__text", F.lit(None).cast("array<bigint>").alias("spans"))
     row = docs.schema.simpleString()
-    tasks = _base.tasks_for(docs.sparkSession, _base.text_bytes(docs))
-    return both.coalesce(tasks).mapInArrow(_remove, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return known.union(alone).mapInArrow(_remove, f"__row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

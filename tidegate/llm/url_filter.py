@@ -8,7 +8,8 @@ batch, and a hit counts only if the stored string is equal.
 
 A rule fits its host and all subdomains if the path starts with the rule's.
 Of several, the longest string wins, then the longer host; of equal strings,
-block.  URLs without a rule, null ones included, are allowed.
+block.  URLs without a rule, null ones included, are allowed.  Repeated rows
+give repeated results; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     write_index(rules, os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
-    tasks = _base.tasks_for(spark, _base.text_bytes(pages, "url"))
+    tasks = _base.tasks_for(spark, _base.text_bytes(pages))
     rows = _base.carried(pages, {"__url": F.col("url")}).coalesce(tasks)
     host, path = host_and_path(F.col("__url"))
     got = rows.select("__row", host.alias("host"), path.alias("path")).mapInArrow(_probe(name), f"__row {pages.schema.simpleString()}, host string, path string, rule string, verdict string")
