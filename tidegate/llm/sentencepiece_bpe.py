@@ -96,13 +96,13 @@ class BacktrackingBpe:
         path: list[int] = []
         tried: list[int] = []  # index of the next shorter choice at each step
         size, pairs = self.size, self.pairs
-        failed = bytearray((end - begin >> 3) + 1)  # a bit for each place from which nothing leads on
+        failed: dict[int, int] = {}  # a bit for each place from which nothing leads on, in words of 256
         pos, k = begin, len(starts[begin]) - 1
         while pos < end:
             here = starts[pos]
             while k >= 0:
                 nxt = pos + size[here[k]]
-                if nxt <= end and not failed[nxt - begin >> 3] >> (nxt - begin & 7) & 1:
+                if nxt <= end and not (failed and failed.get(nxt >> 8, 0) >> (nxt & 255) & 1):
                     if not path:
                         break
                     ok = pairs.get(path[-1] << 20 | here[k])
@@ -115,7 +115,7 @@ class BacktrackingBpe:
                 pos = nxt
                 k = len(starts[pos]) - 1
             else:
-                failed[pos - begin >> 3] |= 1 << (pos - begin & 7)
+                failed[pos >> 8] = failed.get(pos >> 8, 0) | 1 << (pos & 255)
                 pos -= size[path.pop()]
                 k = tried.pop()
         return path
