@@ -46,12 +46,13 @@ class BacktrackingBpe:
                 self.byte[int(p[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[p], self.score[p], self.piece[i] = i, sp.get_score(i), p
-                trie.add_word(p, i)
+                if len(p) > 1:
+                    trie.add_word(p, i)
         trie.make_automaton()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a space after another character")
-        self.size = {i: len(p) for i, p in self.piece.items()}
-        self.singles = {p for p in self.ids if len(p) == 1}
+        self.size = [len(self.piece.get(i, "")) for i in range(sp.vocab_size())]
+        self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
         self.trie, self.pairs, self.limit, self.parts, self.words = trie, {}, limit, {}, Cache(self._word)
         self.from_byte = {i: b for b, i in enumerate(self.byte)}
         self.end = sp.eos_id()
@@ -75,11 +76,17 @@ class BacktrackingBpe:
         return got
 
     def encode_part(self, part: str) -> list[int]:
-        starts: list[list[int]] = [[] for _ in range(len(part) + 1)]
-        size = self.size
+        size, single = self.size, self.single
+        known = True
+        try:
+            starts = [[single[c]] for c in part]
+        except KeyError:
+            known = False
+            starts = [[single[c]] if c in single else [] for c in part]
+        starts.append([])
         for last, i in self.trie.iter(part):
             starts[last + 1 - size[i]].append(i)  # shorter ones come first
-        if all(starts[:-1]) and self.singles.issuperset(part):
+        if known:
             return self._backtrack(starts, 0, len(part))
         out: list[int] = []
         begin = 0
