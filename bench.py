@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tidegate.plans import catalogue
 
-HEADLINE = ["time_split", "velocity_full", "velocity_split_keys", "velocity_orders_ties", "linkage", "target_encoding", "missingness", "cardinality", "auc_screen", "ranking_metrics", "single_sweep", "headline_policies", "swap_sets", "sensitivity_grid", "bootstrap_metric_diff", "feature_psi", "score_stability"]
+HEADLINE = ["time_split", "velocity_full", "velocity_split_keys", "velocity_orders_ties", "linkage", "target_encoding", "missingness", "cardinality", "auc_screen", "ranking_metrics", "single_sweep", "headline_policies", "swap_sets", "sensitivity_grid", "bootstrap_metric_diff", "feature_psi", "score_stability", "build_features"]
 
 
 def main() -> None:

@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written; a stage's table is deleted once the next one's is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = _base.staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        done = _base.staged(stage(spark, docs, sf_dir), name)
+        if k:
+            _base.drop_staged(docs)
+        docs = done
     return docs

@@ -10,7 +10,7 @@ import pytest
 from tidegate.plans import catalogue, decision
 
 SF = "/root/testdata/sf0.001"
-SOME = ["time_split", "velocity_split_keys", "linkage", "card_key_uid", "target_encoding", "cardinality", "auc_screen", "ranking_metrics", "single_sweep", "headline_policies", "sensitivity_grid", "bootstrap_metric_diff", "feature_psi", "score_stability"]
+SOME = ["time_split", "velocity_split_keys", "linkage", "linkage_split_keys", "card_key_uid", "keys_of_fractions", "synthetic_source", "tree_scores", "build_features", "threshold_grid", "swap_sets", "target_encoding", "cardinality", "auc_screen", "ranking_metrics", "single_sweep", "headline_policies", "sensitivity_grid", "bootstrap_metric_diff", "feature_psi", "score_stability"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -35,19 +35,12 @@ def test_query(spark, name):
             assert u == v or (u is not None and v is not None and u == pytest.approx(v, abs=2e-4, rel=1e-6))
 
 
-@pytest.mark.parametrize("name", ["threshold_grid_full", "headline_policies_full"])
-def test_full_grids(spark, name):
-    test_query(spark, name)
-
-
-def test_full_rules_flag_first_rows_only(spark, monkeypatch):
-    rows = [(i, i * 86_400, 500.0 if i >= 90 else 1.0 + i / 100, int(i % 9 == 0), i if i == 95 else 1, i / 100) for i in range(100)]
-    df = spark.createDataFrame(rows, "id long, dt long, amount double, y int, card long, score double")
+def test_rules_flag_first_rows_only(spark, monkeypatch):
+    rows = [(i, i * 86_400, 500.0 if i >= 90 else 1.0 + i / 100, int(i % 9 == 0), str(i) if i == 95 else "one", i / 100, i / 200) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, dt long, amount double, y int, uid string, score double, score_b double")
     monkeypatch.setattr(decision.views, "txn", lambda spark, d: df)
-    monkeypatch.setattr(decision, "full_grid", lambda df: decision.th.literal_grid(spark, decision.GRID))
-    monkeypatch.setattr(decision, "full_pair_grid", lambda df: decision.th.literal_grid(spark, decision.GRID))
-    assert [r.id for r in decision.decided(spark, "", full=True)[0].where("rules").collect()] == [95]
+    assert [r.id for r in decision.decided(spark, "").test.where("rules").collect()] == [95]
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"gbt_scores", "synthetic_source"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"gbt_scores"}

@@ -24,14 +24,18 @@ def whole_columns(df: DataFrame, names: list[str]) -> dict[str, bool]:
 
 
 def add_keys(df: DataFrame, whole: dict[str, bool] | None = None, dt: str = "TransactionDT") -> DataFrame:
-    """card_key, D1n (day the account began) and uid.  ``whole`` defaults to all key columns that are numbers."""
+    """card_key, D1n (day the account began) and uid.
+
+    Whether a number is a code, shown without fraction, goes by its whole
+    column (``whole_columns``, one aggregate); ``whole`` states it for tables
+    whose codes are known.
+    """
     cards = [f"card{i}" for i in range(1, 7)]
-    kinds = dict(df.dtypes)
-    whole = whole if whole is not None else {c: kinds[c] != "string" for c in [*cards, "addr1"]}
+    df = df.withColumn("D1n", (F.floor(F.col(dt) / 86_400) - F.col("D1")).cast("float"))
+    whole = {**(whole_columns(df, [*cards, "addr1", "D1n"]) if whole is None else {"D1n": True}), **(whole or {})}
     card_key = F.concat_ws("|", *[token(c, whole=whole[c]) for c in cards])
-    opened = (F.floor(F.col(dt) / 86_400) - F.col("D1")).cast("float")
-    df = df.withColumns({"card_key": card_key, "D1n": opened})
-    return df.withColumn("uid", F.concat_ws("|", "card_key", token("addr1", whole=whole["addr1"]), token("D1n", whole=True)))
+    df = df.withColumn("card_key", card_key)
+    return df.withColumn("uid", F.concat_ws("|", "card_key", *[token(c, whole=whole[c]) for c in ("addr1", "D1n")]))
 
 
 def device_fingerprint(info: str = "DeviceInfo", parts: tuple[str, ...] = ("id_30", "id_31", "id_33")) -> Column:

@@ -59,18 +59,15 @@ def predict(model: PipelineModel, df: DataFrame, spec: Spec, name: str = "score"
 
 
 def prefix_scores(model: PipelineModel, df: DataFrame, spec: Spec) -> list[float]:
-    """Average precision after each boosting round, for early stopping by any patience."""
-    gbt = model.stages[-1]
-    ready = PipelineModel(stages=model.stages[:-1]).transform(prepare(df, spec)).cache()
-    try:
-        total, out = F.lit(0.0), []
-        for i, (tree, weight) in enumerate(zip(gbt.trees, gbt.treeWeights, strict=True)):
-            ready = tree.setPredictionCol(f"tree{i}").transform(ready)
-            total = total + F.col(f"tree{i}") * F.lit(weight)
-            out.append(ranking_scores(ready.withColumn("__s", total), "__s", spec.y).first()["pr_auc"] or 0.0)
-        return out
-    finally:
-        ready.unpersist()
+    """Average precision after each boosting round, for early stopping by any patience: one pass in which each row tells its margin after every round."""
+    from tidegate.models.trees import export_trees, margin
+
+    trees = export_trees(model, spec)
+    each = F.array(*[margin([t]) for t in trees])
+    upto = F.transform(F.sequence(F.lit(1), F.lit(len(trees))), lambda n: F.aggregate(F.slice("__each", F.lit(1), n), F.lit(0.0), lambda a, x: a + x))
+    rows = df.select(F.col(spec.y).alias("y"), each.alias("__each")).select("y", F.posexplode(upto).alias("round", "score"))
+    got = {r["round"]: r["pr_auc"] for r in ranking_scores(rows, "score", "y", ["round"]).collect()}
+    return [got.get(i) or 0.0 for i in range(len(trees))]
 
 
 def best_round(scores: list[float], patience: int = 100) -> int:
@@ -116,6 +113,22 @@ def importance(model: PipelineModel, spec: Spec, families: dict[str, str] | None
     return sorted(((c, s, (families or {}).get(c, "raw")) for c, s in share.items()), key=lambda r: (-r[1], r[0]))
 
 
+def share_by_family(rows: list[tuple[str, float, str]]) -> dict[str, float]:
+    """The parts of all importance that families have, largest first."""
+    total = sum(s for _, s, _ in rows) or 1.0
+    out: dict[str, float] = {}
+    for _, s, f in rows:
+        out[f] = out.get(f, 0.0) + s / total
+    return dict(sorted(out.items(), key=lambda r: (-r[1], r[0])))
+
+
+def ablate(train: DataFrame, rest: DataFrame, spec: Spec, families: dict[str, str], family: str = "velocity", names: tuple[str, str] = ("score", "score_b"), **params) -> tuple[DataFrame, PipelineModel, PipelineModel]:
+    """``rest`` scored by a model of all features and by one, of the same parameters, without a family; and both models."""
+    less = Spec([c for c in spec.numeric if families.get(c) != family], [c for c in spec.categorical if families.get(c) != family], spec.y)
+    full, part = fit(train, spec, **params), fit(train, less, **params)
+    return predict(part, predict(full, rest, spec, names[0]), less, names[1]), full, part
+
+
 def save(model: PipelineModel, path: str, spec: Spec) -> None:
     """Spark's own model format, with the columns beside it."""
     model.write().overwrite().save(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.costs import decide
 from tidegate.operators.metrics import ranking_scores
+from tidegate.operators.ordered import quantile_array, quantiles
 
 FLOOR = 1e-4
 
@@ -27,10 +28,12 @@ def _index(keys: list[str], bins: DataFrame) -> DataFrame:
 
 def quantile_edges(ref: DataFrame, value: str, keys: list[str] | None = None, n_bins: int = 10, digits: int | None = None) -> DataFrame:
     """(keys, edges): distinct interior quantiles of the reference; ``digits`` rounds them off the data."""
-    q = F.percentile(value, F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)]))
-    if digits is not None:
-        q = F.transform(q, lambda x: F.round(x, digits))
-    return ref.groupBy(*(keys or [])).agg(F.coalesce(F.array_sort(F.array_distinct(q)), F.expr("cast(array() as array<double>)")).alias("edges"))
+    keys = keys or []
+    q = F.col("q") if digits is None else F.transform("q", lambda x: F.round(x, digits))
+    edges = quantile_array(ref, value, [i / n_bins for i in range(1, n_bins)], keys).select(*keys, F.array_sort(F.array_distinct(q)).alias("edges"))
+    none = F.coalesce("edges", F.expr("cast(array() as array<double>)")).alias("edges")
+    groups = ref.select(*keys).distinct() if keys else ref.sparkSession.range(1).select()
+    return groups.join(edges, keys, "left").select(*keys, none) if keys else groups.join(edges, how="left").select(none)
 
 
 def numeric_bin(value: str, edges: str = "edges") -> Column:
@@ -89,15 +92,26 @@ def score_stability(ref: DataFrame, cur: DataFrame, t_decline, t_review, days: i
     cur = cur.join(F.broadcast(start)).withColumn("window", F.floor((F.col(dt) - F.col("__t0")) / (days * 86_400)))
     d = decide(score, t_decline, t_review)
     rate = lambda c: F.avg(c.cast("double"))
-    base = cur.groupBy("window").agg(F.count("*").alias("n"), ((F.min(dt) - F.first("__t0")) / 86_400).alias("days_from_start"), F.avg(score).alias("mean_score"), F.percentile(score, F.lit(0.99)).alias("p99_score"), rate(d == 2).alias("decline_rate"), rate(d == 1).alias("review_rate"), F.avg(y).alias("fraud_rate"))
+    base = cur.groupBy("window").agg(F.count("*").alias("n"), ((F.min(dt) - F.first("__t0")) / 86_400).alias("days_from_start"), F.avg(score).alias("mean_score"), rate(d == 2).alias("decline_rate"), rate(d == 1).alias("review_rate"), F.avg(y).alias("fraud_rate"))
+    high = quantiles(cur, score, [0.99], ["window"]).select("window", F.col("q").alias("p99_score"))
     ap = ranking_scores(cur, score, y, ["window"]).select("window", "pr_auc")
     psi = psi_numeric(ref.select(score), cur.select("window", score), score, n_bins=n_bins, digits=digits, cur_keys=["window"])
-    return base.join(ap, "window").join(psi, "window").withColumn("band", band("psi", warn, alert))
+    out = base.join(high, "window", "left").join(ap, "window").join(psi, "window")
+    return out.select("window", "n", "days_from_start", "mean_score", "p99_score", "decline_rate", "review_rate", "fraud_rate", "pr_auc", "psi").withColumn("band", band("psi", warn, alert))
 
 
-def monitor_rollup(features: DataFrame) -> DataFrame:
-    """One row: how many features lie in each band, and the largest index."""
-    return features.agg(F.count("*").alias("n_features"), *[F.count_if(F.col("band") == b).alias(f"n_{b}") for b in ("significant", "moderate", "stable")], F.max("psi").alias("max_psi"))
+def monitor_rollup(features: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """One row: how many features lie in each band, and the largest index; with families(feature, family) also the drifted features by name, worst first, and their count by family."""
+    count = [F.count("*").alias("n_features"), *[F.count_if(F.col("band") == b).alias(f"n_{b}") for b in ("significant", "moderate", "stable")], F.max("psi").alias("max_psi")]
+    if families is None:
+        return features.agg(*count)
+    named = features.join(families, "feature", "left").withColumn("family", F.coalesce("family", F.lit("Unknown")))
+    worst = lambda b: F.array_sort(F.collect_list(F.when(F.col("band") == b, F.struct((-F.col("psi")).alias("k"), "feature", "family", "psi"))))
+    lists = [F.transform(worst(b), lambda x: F.struct(x["feature"].alias("feature"), x["family"].alias("family"), x["psi"].alias("psi"))).alias(f"{b}_features") for b in ("significant", "moderate")]
+    out = named.agg(*count, *lists)
+    per = named.where("band = 'significant'").groupBy("family").agg(F.count("*").alias("n"))
+    by = per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "n")))).alias("significant_by_family"))
+    return out.join(F.broadcast(by))
 
 
 def band_by_family(features: DataFrame, families: DataFrame) -> DataFrame:
@@ -112,8 +126,18 @@ def breach_runs(daily: DataFrame, cap: DataFrame, least: int = 3) -> DataFrame:
     return island.groupBy("g").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("length")).where(F.col("length") >= least).drop("g")
 
 
-def triggers(rollup: DataFrame, score_psi: DataFrame, runs: DataFrame, most_features: int = 5, alert: float = 0.25) -> DataFrame:
-    """One row of yes/no operating triggers."""
-    s = score_psi.agg(F.max("psi").alias("score_psi_max"))
+def triggers(rollup: DataFrame, windows: DataFrame, runs: DataFrame, decline_rate: float, label_age_days: float, most_features: int = 5, alert: float = 0.25, swing: float = 0.5, mature_days: float = 90) -> DataFrame:
+    """One row of yes/no operating triggers.
+
+    Features beyond the alert; the score's index beyond it in any window of
+    ``score_stability``; a window's decline rate more than ``swing`` away from
+    the chosen one; runs of days over capacity; labels younger than they need
+    to be for judging a model.
+    """
+    w = windows.agg(F.max("psi").alias("score_psi_max"), F.max(F.abs(F.col("decline_rate") - decline_rate)).alias("__away"))
     r = runs.agg(F.count("*").alias("capacity_runs"))
-    return rollup.join(F.broadcast(s)).join(F.broadcast(r)).select((F.col("n_significant") >= most_features).alias("features_drifted"), (F.coalesce("score_psi_max", F.lit(0.0)) > alert).alias("scores_drifted"), (F.col("capacity_runs") > 0).alias("over_capacity"))
+    both = rollup.join(F.broadcast(w)).join(F.broadcast(r))
+    return both.select(
+        (F.col("n_significant") >= most_features).alias("features_drifted"), (F.coalesce("score_psi_max", F.lit(0.0)) > alert).alias("scores_drifted"),
+        (F.coalesce("__away", F.lit(0.0)) > swing * decline_rate).alias("declines_moved"), (F.col("capacity_runs") > 0).alias("over_capacity"), F.lit(label_age_days < mature_days).alias("labels_young"),
+    )

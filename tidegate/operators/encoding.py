@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.keys import token
 from tidegate.operators.split import out_of_fold_blocks
+from tidegate.sources.tables import staged
 
 MISSING, OTHER = "__nan__", "__other__"
 
@@ -44,14 +45,37 @@ def out_of_fold(df: DataFrame, x: Column, y: str = "y", smoothing: float = 50.0,
 
 
 def target_encode(df: DataFrame, columns: dict[str, Column], y: str = "y", folds: int = 5, smoothing: float = 50.0, dt: str = "dt", row_id: str = "id") -> DataFrame:
-    """te_<name> for each column of a split frame: training rows out of fold, others by all training rows."""
-    train = out_of_fold_blocks(df.where("split = 'train'"), folds, dt, row_id, "__fold")
-    rest = df.where("split <> 'train'")
-    fit_on = df.where("split = 'train'")
-    for name, x in columns.items():
-        train = out_of_fold(train, x, y, smoothing, "__fold", f"te_{name}")
-        rest = apply_mapping(rest, x, *fit_mapping(fit_on, x, y, smoothing), f"te_{name}")
-    return train.drop("__fold").unionByName(rest)
+    """te_<name> for each column of a split frame: training rows out of fold, others by all training rows.
+
+    One pass over (column, category, fold) gives the sums of all columns; what
+    a category is worth to each fold, and to the rest, is a table written
+    once, which the rows then meet column by column.
+    """
+    names = list(columns)
+    fold = out_of_fold_blocks(df.where("split = 'train'").select(row_id, dt), folds, dt, row_id, "__fold").select(row_id, "__fold")
+    df = df.join(fold, row_id, "left").withColumns({f"__x{i}": x for i, x in enumerate(columns.values())})
+    df = df.withColumn("__fold", F.coalesce("__fold", F.lit(-1)))
+    labels = F.when(F.col(y).isNotNull(), F.col(y).cast("double")).otherwise(F.raise_error(F.lit("null labels")).cast("double"))
+    long = df.where("__fold >= 0").select("__fold", labels.alias("__y"), *[F.col(f"__x{i}").cast("string").alias(f"__x{i}") for i in range(len(names))])
+    own = long.unpivot(["__fold", "__y"], [f"__x{i}" for i in range(len(names))], "__c", "__v").groupBy("__c", "__v", "__fold").agg(F.sum("__y").alias("s"), F.count("*").alias("n"))
+    own = staged(own, "encoding")
+    whole = own.groupBy("__c", "__v").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    per = own.where("__c = '__x0'").groupBy("__fold").agg(F.sum("s").alias("sf"), F.sum("n").alias("nf"))
+    total = per.agg(F.sum("sf").alias("sa"), F.sum("nf").alias("na"))
+    m = F.lit(float(smoothing))
+    # As many rows as there are folds.
+    prior = per.join(F.broadcast(total)).select("__fold", F.try_divide(F.col("sa") - F.col("sf"), F.col("na") - F.col("nf")).alias("p"))
+    mine = own.join(whole.withColumnsRenamed({"s": "sc", "n": "nc"}), ["__c", "__v"]).join(F.broadcast(prior), "__fold")
+    n, s = F.col("nc") - F.col("n"), F.col("sc") - F.col("s")
+    mine = mine.select("__c", "__v", "__fold", F.when(n == 0, F.col("p")).otherwise((s + m * F.col("p")) / (n + m)).alias("e"))
+    all_ = total.select((F.col("sa") / F.col("na")).alias("p"))
+    rest = whole.join(F.broadcast(all_)).select("__c", "__v", F.lit(-1).alias("__fold"), ((F.col("s") + m * F.col("p")) / (F.col("n") + m)).alias("e"))
+    worth = staged(mine.union(rest), "worth")
+    out = df.join(F.broadcast(all_.toDF("__p")), how="left")
+    for i, name in enumerate(names):
+        part = worth.where(F.col("__c") == f"__x{i}").select(F.col("__v").alias(f"__x{i}"), "__fold", F.col("e").alias("__e"))
+        out = out.join(part, [f"__x{i}", "__fold"], "left").withColumn(f"te_{name}", F.coalesce("__e", "__p")).drop("__e")
+    return out.drop("__fold", "__p", *[f"__x{i}" for i in range(len(names))])
 
 
 def fit_vocabulary(df: DataFrame, column: str, floor: int = 20) -> DataFrame:

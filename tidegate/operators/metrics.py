@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.ordered import running, score_cell, score_table
@@ -27,11 +27,7 @@ def ranking_scores(df: DataFrame, score: str = "score", y: str = "y", keys: list
     """
     keys = keys or []
     t = score_table(df, score, y, keys=keys, weight=weight)
-    if keys:
-        by = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-        cum = t.withColumns({"tp": F.sum("pos").over(by), "k": F.sum("n").over(by)})
-    else:
-        cum = running(t, score_cell(score), [F.col(score).desc()], {"tp": F.col("pos"), "k": F.col("n")}, descending=True)
+    cum = running(t, score_cell(score), [F.col(score).desc()], {"tp": F.col("pos"), "k": F.col("n")}, descending=True, keys=keys)
     p, n = F.sum("pos"), F.sum("n")
     # Each negative of a score is beaten by all positives above, and half by those level with it.
     wins = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2.0))
@@ -93,3 +89,9 @@ def rule_metrics(df: DataFrame, flag: str, y: str = "y") -> DataFrame:
     base = ranking_scores(df.withColumn("__s", F.col(flag).cast("double")), "__s", y).select(F.col("roc_auc").alias("roc_auc_degenerate"), F.col("pr_auc").alias("pr_auc_degenerate"))
     n, tp = F.count_if(F.col(flag)), F.sum(F.when(F.col(flag), F.col(y)).otherwise(0))
     return df.agg(n.alias("n_flagged"), F.try_divide(n, F.count("*")).alias("flag_rate"), F.try_divide(tp, n).alias("precision"), F.try_divide(tp, F.sum(y)).alias("recall")).join(F.broadcast(base))
+
+
+def at_rule_volume(df: DataFrame, flag: str, score: str = "score", y: str = "y", dt: str = "dt", row_id: str = "id") -> DataFrame:
+    """One row (k, precision, recall): the model at as many flags as the rule raises."""
+    k = df.agg(F.count_if(F.col(flag)).alias("k"))
+    return precision_recall_at(df, k=k, score=score, y=y, dt=dt, row_id=row_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.costs import CostParams, decide, row_benefit, rules_decline, summary_columns
 from tidegate.operators import metrics
 from tidegate.operators import thresholds as th
-from tidegate.operators.ordered import local_table
+from tidegate.operators.ordered import local_table, quantiles
 
 POLICIES = ("approve_all", "rules", "youden_single", "profit_single", "profit_three_way")
 
@@ -27,29 +27,30 @@ def max_reviews_per_day(train: DataFrame, share: float = 0.01, explicit: float |
 
 def amount_threshold(train: DataFrame, percentile: float = 90, amount: str = "amount") -> DataFrame:
     """One row (amount_threshold): a percentile of non-null amounts; none at all: error."""
-    q = F.percentile(amount, F.lit(percentile / 100))
-    return train.agg(F.when(F.count(amount) > 0, q).otherwise(F.raise_error(F.lit("no amounts")).cast("double")).alias("amount_threshold"))
+    got = quantiles(train, amount, [percentile / 100]).agg(F.first("q").alias("q"))
+    return got.select(F.when(F.col("q").isNotNull(), F.col("q")).otherwise(F.raise_error(F.lit("no amounts")).cast("double")).alias("amount_threshold"))
 
 
 def select_policies(valid: DataFrame, train: DataFrame, p: CostParams, n_quantiles: int = 2000, n_linear: int = 1001, n_policy: int = 400, share: float = 0.01, grid: DataFrame | None = None, pair_grid: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """One row (t_youden, t_profit, t_review, t_decline, cap), chosen on ``valid`` alone; capacity comes from ``train``."""
     grid = grid if grid is not None else th.threshold_grid(valid, n_quantiles, n_linear, digits=digits)
     pair_grid = pair_grid if pair_grid is not None else th.threshold_grid(valid, n_policy // 2, 0, digits=digits)
-    cap = max_reviews_per_day(train, share)
-    limit = cap.join(F.broadcast(split_days(valid))).select((F.col("cap") * F.col("days")).alias("limit"))
-    same = pair_grid is grid
-    grid = local_table(grid)
-    pair_grid = grid if same else local_table(pair_grid)
-    stats = local_table(th.cum_stats(valid, grid))
-    pairs = stats if same else local_table(th.cum_stats(valid, pair_grid))
-    profit = th.profit_optimal(th.single_sweep(stats, p))
-    pair = th.three_way(pairs, p, local_table(limit)).select("t_review", "t_decline")
+    cap = local_table(max_reviews_per_day(train, share))
+    stats = th.local_stats(valid, {"single": grid, "pair": pair_grid})
+    pair = select_pair(valid, p, cap, pair_grid, stats=stats["pair"])
     out = metrics.youden_threshold(valid)
-    for one in (profit, pair, cap):
+    for one in (th.profit_optimal(th.single_sweep(stats["single"], p)), pair, cap):
         out = out.join(F.broadcast(one))
     return out
 
 
+def select_pair(valid: DataFrame, p: CostParams, cap: DataFrame, pair_grid: DataFrame, score: str = "score", stats: DataFrame | None = None) -> DataFrame:
+    """One row (t_review, t_decline): the best pair on ``valid`` within ``cap`` reviews a day."""
+    stats = stats if stats is not None else local_table(th.cum_stats(valid, local_table(pair_grid), score))
+    limit = cap.join(F.broadcast(split_days(valid))).select((F.col("cap") * F.col("days")).alias("limit"))
+    return th.three_way(stats, p, local_table(limit)).select("t_review", "t_decline")
+
+
 def decisions(df: DataFrame, chosen: DataFrame, rules: str | None = None) -> DataFrame:
     """One dec_<policy> column per policy on every row; ``rules`` names a yes/no column."""
     out = df.join(F.broadcast(chosen))
@@ -79,9 +80,9 @@ def benefits(df: DataFrame, p: CostParams, policies: tuple[str, ...] = POLICIES)
     return df.withColumns({f"ben_{c}": row_benefit(F.col(f"dec_{c}"), "y", "amount", p) for c in policies})
 
 
-def with_rules(df: DataFrame, train: DataFrame, prior_count: str, percentile: float = 90) -> DataFrame:
-    """``df`` with yes/no column rules."""
-    return df.join(F.broadcast(amount_threshold(train, percentile))).withColumn("rules", rules_decline("amount", prior_count, F.col("amount_threshold")))
+def with_rules(df: DataFrame, threshold: DataFrame, prior_count: str) -> DataFrame:
+    """``df`` with yes/no column rules; ``threshold`` is the row of ``amount_threshold``."""
+    return df.join(F.broadcast(threshold)).withColumn("rules", rules_decline("amount", prior_count, F.col("amount_threshold")))
 
 
 def reviews_per_day(df: DataFrame, decision: str, dt: str = "dt") -> DataFrame:
@@ -97,18 +98,16 @@ def review_load(daily: DataFrame, cap: DataFrame) -> DataFrame:
 
 
 def capacity_sensitivity(valid: DataFrame, train: DataFrame, test: DataFrame, p: CostParams, shares: list[float], pair_grid: DataFrame) -> DataFrame:
-    """Per capacity share: the pair chosen on validation and its net benefit on test."""
-    out = None
+    """Per capacity share: the pair chosen on validation and its net benefit on test, all shares in one pass over test."""
     stats = local_table(th.cum_stats(valid, pair_grid))
-    days = split_days(valid)
-    for s in shares:
+    days = local_table(split_days(valid))
+    chosen = None
+    for s in shares:  # each search is over the small table of sums
         limit = max_reviews_per_day(train, s).join(F.broadcast(days)).select((F.col("cap") * F.col("days")).alias("limit"))
-        limit = local_table(limit)
-        pair = th.three_way(stats, p, limit).select(F.lit(s).alias("share"), "t_review", "t_decline", F.col("net_benefit").alias("valid_net_benefit"))
-        d = decide("score", F.col("t_decline"), F.col("t_review"))
-        one = test.join(F.broadcast(pair)).groupBy("share", "t_review", "t_decline", "valid_net_benefit").agg(F.sum(row_benefit(d, "y", "amount", p)).alias("test_net_benefit"), F.count_if(d == 1).alias("n_reviewed"))
-        out = one if out is None else out.union(one)
-    return out
+        pair = th.three_way(stats, p, local_table(limit)).select(F.lit(s).alias("share"), "t_review", "t_decline", F.col("net_benefit").alias("valid_net_benefit"))
+        chosen = pair if chosen is None else chosen.union(pair)
+    d = decide("score", F.col("t_decline"), F.col("t_review"))
+    return test.join(F.broadcast(local_table(chosen))).groupBy("share", "t_review", "t_decline", "valid_net_benefit").agg(F.sum(row_benefit(d, "y", "amount", p)).alias("test_net_benefit"), F.count_if(d == 1).alias("n_reviewed"))
 
 
 def auc_versus_profit(evaluated: DataFrame, chosen: DataFrame, test: DataFrame, p: CostParams, grid: DataFrame, days: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What column names stand for, first match wins.
-FAMILIES = [
-    (r"TransactionID", "identifier"), (r"TransactionDT", "time"), (r"TransactionAmt", "amount"), (r"isFraud", "label"), (r"ProductCD", "product"),
-    (r"card[1-6]", "card"), (r"addr[12]", "address"), (r"dist[12]", "distance"), (r"[PR]_emaildomain", "email"), (r"C\d+", "counts"), (r"D\d+", "time deltas"),
-    (r"M\d+", "match flags"), (r"V\d+", "vendor features"), (r"id_\d+", "identity"), (r"Device(Type|Info)", "device"),
-]
+# What column names, or their part before a number, stand for in the transaction schema.
+MEANING = {
+    "TransactionID": "identifier", "TransactionDT": "time", "TransactionAmt": "amount", "isFraud": "label", "ProductCD": "product",
+    "P_emaildomain": "email", "R_emaildomain": "email", "DeviceType": "device", "DeviceInfo": "device",
+    "card#": "card", "addr#": "address", "dist#": "distance", "C#": "counts", "D#": "time deltas", "M#": "match flags", "V#": "vendor features", "id_#": "identity",
+}
 
 
 def family(column: str) -> str:
-    return next((name for pattern, name in FAMILIES if re.fullmatch(pattern, column)), "Unknown")
+    """What a column stands for, by its name and then by its name with the number left out."""
+    return MEANING.get(column) or MEANING.get(re.sub(r"\d+$", "#", column), "Unknown")
 
 
 def class_balance_by_period(df: DataFrame, days: int = 30, dt: str = "dt", y: str = "y") -> DataFrame:
@@ -57,8 +58,19 @@ def data_dictionary(df: DataFrame) -> list[tuple[str, str, str, float, int | Non
     return [(c, t, family(c), miss[c], distinct.get(c)) for c, t in df.dtypes]
 
 
-def write_data_dictionary(rows, path: str) -> None:
+def dictionary_text(rows) -> str:
+    """The data dictionary as a table in Markdown."""
     lines = ["| column | type | family | missing | distinct |", "|---|---|---|---|---|"]
     lines += [f"| {c} | {t} | {f} | {m:.1%} | {'' if d is None else d} |" for c, t, f, m, d in rows]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join(lines) + "\n")
+    return "\n".join(lines) + "\n"
+
+
+def counts_by(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n), most frequent first."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
+
+
+def share_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, share): each group's part of the sum of all values."""
+    total = df.agg(F.sum(value).alias("__all"))
+    return df.groupBy(key).agg(F.sum(value).alias("__own")).join(F.broadcast(total)).select(key, F.try_divide("__own", "__all").alias("share"))

@@ -16,8 +16,8 @@ ABSENT = -999.0
 
 def drop_missing(train: DataFrame, columns: list[str], limit: float = 0.95) -> tuple[list[str], dict[str, str]]:
     """(kept, reasons): columns missing in more than ``limit`` of training rows go."""
-    rate = {r["column"]: r["missing_rate"] for r in missingness(train, columns).collect()}
-    gone = {c: f"missing > {limit:.0%} in training" for c in columns if rate[c] > limit}
+    rate = {r["column"]: r["missing_rate"] for r in missingness(train, columns).collect()} if columns else {}
+    gone = {c: f"{rate[c]:.2%} of training rows lack it (limit {limit:.0%})" for c in columns if rate[c] > limit}
     return [c for c in columns if c not in gone], gone
 
 
@@ -36,27 +36,26 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def prune_correlated(df: DataFrame, columns: list[str], limit: float = 0.90) -> tuple[list[str], dict[str, str]]:
-    """Greedy within groups of equal missing rate: a column stays if no kept one correlates above ``limit`` with it.
+    """Among columns of equal missing rate (to four places), each goes that correlates above ``limit`` with an earlier one that stays.
 
-    The matrix is one distributed pass; only the greedy walk over it is local.
+    One distributed pass finds the pairs beyond the limit; each column that
+    stays then strikes out its later partners.
     """
-    rate = {r["column"]: round(r["missing_rate"], 4) for r in missingness(df, columns).collect()} if columns else {}
-    groups: dict[float, list[str]] = {}
-    for c in columns:
-        groups.setdefault(rate[c], []).append(c)
-    pairs = [(a, b) for g in groups.values() for i, b in enumerate(g) for a in g[:i]]
-    corr = {(r.a, r.b): r.corr for r in correlations(df, pairs).collect()}
-    kept, reasons = [], {}
-    for _, own in sorted(groups.items()):
-        stay: list[str] = []
-        for c in own:
-            clash = next((k for k in stay if corr[k, c] is not None and abs(corr[k, c]) > limit), None)
-            if clash is None:
-                stay.append(c)
-            else:
-                reasons[c] = f"|corr| > {limit} with {clash} (same missing pattern)"
-        kept += stay
-    return kept, reasons
+    if not columns:
+        return [], {}
+    rate = {r["column"]: round(r["missing_rate"], 4) for r in missingness(df, columns).collect()}
+    level = sorted(columns, key=lambda c: rate[c])  # equal rates keep their order
+    alike = [(a, b) for i, a in enumerate(level) for b in level[i + 1 :] if rate[a] == rate[b]]
+    close = correlations(df, alike).where(F.abs("corr") > limit)
+    partners: dict[str, list[str]] = {}
+    for r in close.collect():
+        partners.setdefault(r.a, []).append(r.b)
+    struck: dict[str, str] = {}
+    for c in level:
+        if c not in struck:
+            for later in partners.get(c, ()):
+                struck.setdefault(later, c)
+    return [c for c in level if c not in struck], {c: f"follows {by}: correlation beyond {limit} where both have values" for c, by in struck.items()}
 
 
 def auc_screen(df: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
@@ -66,23 +65,26 @@ def auc_screen(df: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
     return ranking_scores(long, "value", "y", ["column"]).select("column", F.coalesce(F.abs(F.col("roc_auc") - 0.5), F.lit(0.0)).alias("strength"))
 
 
-def _number(column: str) -> int:
-    return int(re.sub(r"\D", "", column) or 0)
+def _place(column: str) -> tuple[int, str]:
+    """Order of numbered columns: V2 before V10."""
+    digits = re.search(r"\d+", column)
+    return int(digits.group()) if digits else 0, column
 
 
 def select_columns(train: DataFrame, columns: list[str], y: str = "y", corr_limit: float = 0.90, keep: int = 35, sample_rows: int = 150_000, missing_limit: float = 0.95, seed: int = 0, row_id: str = "id") -> tuple[list[str], dict[str, str]]:
     """(kept in column order, reason per dropped column), judged on a sample of training rows."""
-    columns = sorted(columns, key=_number)
     sample = ordered_sample(train.select(row_id, y, *columns), sample_rows, seed, row_id).cache()
     try:
-        some, reasons = drop_missing(sample, columns, missing_limit)
-        some, more = prune_correlated(sample, some, corr_limit)
-        strength = {r["column"]: r["strength"] for r in auc_screen(sample, some, y).collect()} if some else {}
+        left, reasons = sorted(columns, key=_place), {}
+        for step in (lambda c: drop_missing(sample, c, missing_limit), lambda c: prune_correlated(sample, c, corr_limit)):
+            left, why = step(left)
+            reasons |= why
+        screened = auc_screen(sample, left, y).orderBy(F.desc("strength")).collect() if left else []
     finally:
         sample.unpersist()
-    ranked = sorted(some, key=lambda c: (-strength[c], _number(c)))
-    reasons |= more | {c: f"outside top {keep} by univariate |AUC-0.5|" for c in ranked[keep:]}
-    return sorted(ranked[:keep], key=_number), reasons
+    best = sorted(((-r["strength"], _place(r["column"])) for r in screened))[:keep]
+    kept = [c for _, (_, c) in sorted(best, key=lambda r: r[1])]
+    return kept, reasons | {c: f"weaker alone than the {keep} columns kept" for c in left if c not in kept}
 
 
 def require_cap(features: list[str], cap: int = 150) -> list[str]:

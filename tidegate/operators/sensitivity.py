@@ -33,15 +33,16 @@ def _pair(side_r: str, side_d: str) -> Column:
 def choose(cells: DataFrame, valid_single: DataFrame, valid_pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Per cell: t_profit_single, and the pair (t_review, t_decline), best on validation sums."""
     nb = F.col("fraud_amt") - F.col("margin_rate") * F.col("legit_amt") - F.col("churn_penalty") * F.col("legit_cnt")
-    single = valid_single.join(F.broadcast(cells)).withColumn("nb", nb)
-    best = single.groupBy(*PARAMS).agg(F.max("nb").alias("best"))
-    single = single.join(best, list(PARAMS)).where(F.col("nb") >= F.col("best") - tolerance).groupBy(*PARAMS).agg(F.max("t").alias("t_profit_single"))
+    two = ["margin_rate", "churn_penalty"]  # a single threshold's worth depends on these alone
+    single = valid_single.join(F.broadcast(cells.select(*two).distinct())).withColumn("nb", nb)
+    best = single.groupBy(*two).agg(F.max("nb").alias("best"))
+    single = single.join(F.broadcast(best), two).where(F.col("nb") >= F.col("best") - tolerance).groupBy(*two).agg(F.max("t").alias("t_profit_single"))
     pairs = valid_pairs.join(F.broadcast(cells)).withColumn("nb", _pair("r_", "d_"))
     best = pairs.groupBy(*PARAMS).agg(F.max("nb").alias("best"))
     pick = F.struct((F.col("d_k") - F.col("r_k")).alias("a"), F.col("d_t").alias("b"), (-F.col("r_t")).alias("c"))
     near = pairs.join(F.broadcast(best), list(PARAMS)).where(F.col("nb") >= F.col("best") - tolerance)
     pair = near.groupBy(*PARAMS).agg(F.max_by(F.struct("r_t", "d_t"), pick).alias("x"))
-    return single.join(pair.select(*PARAMS, F.col("x.r_t").alias("t_review"), F.col("x.d_t").alias("t_decline")), list(PARAMS))
+    return single.join(pair.select(*PARAMS, F.col("x.r_t").alias("t_review"), F.col("x.d_t").alias("t_decline")), two)
 
 
 def run(cells: DataFrame, valid: DataFrame, test: DataFrame, single_grid: DataFrame, pair_grid: DataFrame, max_reviews, t_youden: DataFrame, rules: str | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def run(cells: DataFrame, valid: DataFrame, test: DataFrame, single_grid: DataFr
     pairs = singles if pair_grid is single_grid else local_table(th.cum_stats(valid, pair_grid))
     if isinstance(max_reviews, DataFrame):
         max_reviews = local_table(max_reviews)
-    chosen = local_table(choose(cells, singles, th.pair_table(pairs, max_reviews)))
+    chosen = local_table(choose(cells, singles, local_table(th.pair_table(pairs, max_reviews), 1_000_000)))
     every = single_grid.union(pair_grid).union(t_youden.toDF("t")).distinct()
     stats = local_table(th.cum_stats(test, every).select("t", "k", "fraud_amt", "legit_amt", "legit_cnt", "all_k"))
     out = chosen.join(F.broadcast(t_youden.toDF("t_youden")))
@@ -72,12 +73,23 @@ def run(cells: DataFrame, valid: DataFrame, test: DataFrame, single_grid: DataFr
     return out.select(*PARAMS, "t_profit_single", "t_review", "t_decline", *[c.alias(k) for k, c in cols.items()])
 
 
+#: Orderings of policies that the conclusions rest on: (name, better, worse, whether level counts).
+ORDERINGS = (("three_way_ge_single", "profit_three_way", "profit_single", True), ("single_gt_youden", "profit_single", "youden_single", False), ("model_gt_rules", "profit_three_way", "rules", False))
+
+
 def ranking_stability(cells: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """One row: shares of cells where each ordering holds."""
-    tw, single, youden, rules = (F.col(f"nb1000_{k}") for k in ("profit_three_way", "profit_single", "youden_single", "rules"))
-    a, b, c = tw >= single - tolerance, single > youden, tw > rules
-    share = lambda x: F.avg(x.cast("double"))
-    return cells.agg(F.count("*").alias("n_cells"), share(a).alias("share_three_way_ge_single"), share(b).alias("share_single_gt_youden"), share(c).alias("share_model_gt_rules"), share(a & b & c).alias("share_all_orderings"), share(tw > 0).alias("share_three_way_positive"), share(youden > 0).alias("share_youden_positive"))
+    """One row: in which shares of the cells each ordering holds, all of them hold, and a policy makes money at all."""
+    worth = lambda k: F.col(f"nb1000_{k}")
+    tests = {name: worth(hi) - worth(lo) >= -tolerance if level else worth(hi) > worth(lo) for name, hi, lo, level in ORDERINGS}
+    tests["all_orderings"] = reduce(lambda x, y: x & y, tests.values())
+    tests |= {f"{k.removeprefix('profit_').removesuffix('_single')}_positive": worth(k) > 0 for k in ("profit_three_way", "youden_single")}
+    return cells.agg(F.count("*").alias("n_cells"), *[F.try_divide(F.count_if(t), F.count("*")).alias(f"share_{k}") for k, t in tests.items()])
+
+
+def ranges(cells: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(measure, least, most): what each measure spans over the grid."""
+    long = cells.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "measure", "value")
+    return long.groupBy("measure").agg(F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def pivot(cells: DataFrame, row: str, col: str, value: Column, values: list[float], agg=F.avg) -> DataFrame:

@@ -69,5 +69,19 @@ def expanding_folds(df: DataFrame, folds: int = 5, dt: str = "dt", row_id: str =
 
 
 def ordered_sample(df: DataFrame, k: int, seed: int = 0, row_id: str = "id") -> DataFrame:
-    """k rows without replacement, the same under any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(k)
+    """k rows without replacement, the same under any partitioning: those with the smallest hashes.
+
+    Counts by the hashes' leading bits show which can be among them, so no
+    task sends on many more rows than are wanted.
+    """
+    h = F.xxhash64(F.lit(seed), row_id)
+    lead = F.shiftright(h, 48)
+    cells = df.groupBy(lead.alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").collect()  # at most 65,536
+    total, last = 0, None
+    for c in cells:
+        total, last = total + c.n, c.cell
+        if total >= k:
+            break
+    if last is None:
+        return df.limit(0)
+    return df.where(lead <= last).orderBy(h, row_id).limit(k)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.operators.ordered import local_rows, quantiles
+
+#: Product columns made without being named.
+MOST_PRODUCTS = 1000
 SETS = ("a_approves_b_declines", "a_declines_b_approves", "both_decline", "both_approve")
 
 
@@ -15,16 +19,26 @@ def swap_label(a: str, b: str) -> Column:
 
 
 def characterise(df: DataFrame, a: str, b: str, y: str = "y", amount: str = "amount", tenure: str = "tenure", prior: str = "prior_cnt", product: str = "product", products: list[str] | None = None) -> DataFrame:
-    """One row per set, empty ones with n = 0 and nulls: counts, fraud, amount quantiles, tenure, new accounts, product shares."""
+    """One row per set, empty ones with n = 0 and nulls: counts, fraud, amount quantiles, tenure, new accounts, product shares.
+
+    ``products`` are the columns wanted; without them, all products (at most ``MOST_PRODUCTS``, as each is a column).
+    """
     df = df.withColumn("set", swap_label(a, b)).where("set is not null")
+    name = F.coalesce(F.col(product), F.lit("nan"))
     if products is None:
-        products = [r[0] for r in df.select(F.coalesce(F.col(product), F.lit("nan"))).distinct().orderBy(1).collect()]
-    q = F.percentile(amount, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75, 0.95)]))
+        products = [r[0] for r in df.groupBy(name.alias("p")).agg(F.lit(1)).orderBy("p").limit(MOST_PRODUCTS + 1).collect()]
+        if len(products) > MOST_PRODUCTS:
+            raise ValueError(f"more than {MOST_PRODUCTS} products: name those wanted")
     got = df.groupBy("set").agg(
-        F.count("*").alias("n"), F.avg(y).alias("fraud_rate"), F.sum(y).cast("long").alias("n_fraud"), F.sum(amount).alias("amount_total"), q.alias("q"),
-        F.percentile(tenure, F.lit(0.5)).alias("tenure_days_median"), F.avg((F.col(prior) == 0).cast("double")).alias("share_new_card"),
-        *[F.avg((F.coalesce(F.col(product), F.lit("nan")) == v).cast("double")).alias(f"product_{v}") for v in products],
+        F.count("*").alias("n"), F.avg(y).alias("fraud_rate"), F.sum(y).cast("long").alias("n_fraud"), F.sum(amount).alias("amount_total"), F.avg((F.col(prior) == 0).cast("double")).alias("share_new_card"),
+        *[F.avg((name == v).cast("double")).alias(f"product_{v}") for v in products],
     )
-    names = df.sparkSession.createDataFrame([(s,) for s in SETS], "set string")
-    cols = ["fraud_rate", "n_fraud", "amount_total", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("amount_p25", "amount_median", "amount_p75", "amount_p95"))], "tenure_days_median", "share_new_card", *[f"product_{v}" for v in products]]
-    return names.join(got, "set", "left").select("set", F.coalesce("n", F.lit(0)).alias("n"), *cols)
+    # Quantiles of both measures in one pass over (set, measure).
+    long = df.select("set", F.col(amount).cast("double").alias("amount"), F.col(tenure).cast("double").alias("tenure")).unpivot(["set"], ["amount", "tenure"], "measure", "value")
+    shares = (0.25, 0.5, 0.75, 0.95)
+    at = quantiles(long, "value", list(shares), ["set", "measure"])
+    pick = lambda m, i: F.max(F.when((F.col("measure") == m) & (F.col("i") == i), F.col("q")))
+    at = at.groupBy("set").agg(*[pick("amount", i).alias(c) for i, c in enumerate(("amount_p25", "amount_median", "amount_p75", "amount_p95"))], pick("tenure", 1).alias("tenure_days_median"))
+    names = local_rows(df.sparkSession, [(s,) for s in SETS], "set string")
+    cols = ["fraud_rate", "n_fraud", "amount_total", "amount_p25", "amount_median", "amount_p75", "amount_p95", "tenure_days_median", "share_new_card", *[f"product_{v}" for v in products]]
+    return names.join(got, "set", "left").join(at, "set", "left").select("set", F.coalesce("n", F.lit(0)).alias("n"), *cols)

@@ -8,48 +8,75 @@ per place, and the running sums are over the grid alone.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.costs import CostParams
-from tidegate.operators.ordered import CELLS, score_cell
+from tidegate.operators.ordered import CELLS, local_rows, local_table, quantiles, score_cell
 
 INF = float("inf")
 
 
 def literal_grid(spark, values: list[float]) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in sorted(set(values))], "t double")
+    return local_rows(spark, [(float(v),) for v in sorted(set(values))], "t double")
 
 
-def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score", digits: int | None = None) -> DataFrame:
-    """Distinct thresholds: even quantiles, quantiles dense in the upper tail, an even grid on [0, 1], and infinity.
+def _probabilities(n: int) -> list[float]:
+    """Even ones, and ones dense in the upper tail."""
+    return np.linspace(0, 1, n).tolist() + np.clip(1 - np.geomspace(1e-5, 1, n), 0, 1).tolist() if n else []
+
+
+def threshold_grids(df: DataFrame, wanted: dict[str, tuple[str, int, int]], digits: int | None = None) -> dict[str, DataFrame]:
+    """Several grids in one pass: name -> (score column, n_quantiles, n_linear).
 
-    ``digits`` rounds them all, for results that another engine must reproduce.
+    A grid's distinct thresholds are even quantiles, quantiles dense in the
+    upper tail, an even grid on [0, 1], and infinity; ``digits`` rounds them,
+    for results that another engine must reproduce.  Their number is bounded
+    by the parameters, so they are held as literal rows.
     """
     spark = df.sparkSession
-    probs = np.linspace(0, 1, n_quantiles).tolist() + np.clip(1 - np.geomspace(1e-5, 1, n_quantiles), 0, 1).tolist() if n_quantiles else []
-    fixed = np.linspace(0, 1, n_linear).tolist() if n_linear else []
-    out = spark.createDataFrame([(v,) for v in [*fixed, INF]], "t double")
-    if probs:
-        # Exact quantiles over distinct scores and their counts.
-        counts = df.groupBy(score).agg(F.count("*").alias("c"))
-        at = F.split(F.lit(",".join(map(repr, probs))), ",").cast("array<double>")  # one literal: thousands are slow to plan
-        out = counts.select(F.explode(F.percentile(score, at, F.col("c"))).alias("t")).union(out)
-    if digits is not None:
-        out = out.select(F.round("t", digits).alias("t"))
-    return out.distinct()
+    scores = sorted({s for s, n, _ in wanted.values() if n})
+    sizes = sorted({n for _, n, _ in wanted.values() if n})
+    got: dict[tuple[str, int], list[float]] = {}
+    if scores:
+        long = df.select(*[F.col(s).cast("double").alias(s) for s in scores]).unpivot([], scores, "score", "value")
+        probs = [p for n in sizes for p in _probabilities(n)]
+        begin = dict(zip(sizes, np.cumsum([0, *(2 * n for n in sizes[:-1])]).tolist(), strict=True))
+        for r in quantiles(long, "value", probs, ["score"]).toArrow().to_pylist():
+            got[r["score"], r["i"]] = r["q"]
+    out = {}
+    for name, (score, n, n_linear) in wanted.items():
+        values = [got[score, begin[n] + i] for i in range(2 * n) if (score, begin[n] + i) in got] if n else []
+        values += np.linspace(0, 1, n_linear).tolist() if n_linear else []
+        grid = literal_grid(spark, [*values, INF])
+        out[name] = local_table(grid.select(F.round("t", digits).alias("t")).distinct()) if digits is not None else grid
+    return out
+
+
+def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score", digits: int | None = None) -> DataFrame:
+    """One of ``threshold_grids``."""
+    return threshold_grids(df, {"one": (score, n_quantiles, n_linear)}, digits)["one"]
+
+
+def _ranked(grid: DataFrame) -> tuple[pa.Table, np.ndarray]:
+    """The distinct thresholds in order, each with its cell."""
+    rows = grid.select("t", score_cell("t").alias("cell")).distinct().toArrow().sort_by("t")
+    return rows, rows.column("cell").to_numpy()
 
 
 def place(df: DataFrame, grid: DataFrame, score: str = "score", name: str = "place") -> DataFrame:
     """``df`` with the number of thresholds t of ``grid`` that are at or below the score."""
-    own = grid.groupBy(score_cell("t").alias("__g")).agg(F.array_sort(F.collect_list("t")).alias("__ts"))
-    every = df.sparkSession.range(CELLS + 1).select(F.col("id").cast("int").alias("__g")).join(own, "__g", "left")
-    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    cells = every.withColumn("__k", F.when(F.col("__ts").isNull(), 0).otherwise(F.size("__ts")))
-    cells = cells.withColumn("__base", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    rows, cell = _ranked(grid)
+    every = np.arange(-CELLS, CELLS + 1)
+    cuts = np.searchsorted(cell, np.append(every, CELLS + 1)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cuts), rows.column("t").combine_chunks())
+    # One row for each cell, whatever the input: thresholds in lower cells, and those inside.
+    cells = df.sparkSession.createDataFrame(pa.table({"__g": pa.array(every, pa.int32()), "__base": pa.array(cuts[:-1]), "__ts": lists}))
     out = df.withColumn("__g", score_cell(score)).join(F.broadcast(cells), "__g")
-    inside = F.when(F.col("__ts").isNull(), 0).otherwise(F.size(F.filter("__ts", lambda t: t <= F.col(score))))
-    return out.withColumn(name, (F.col("__base") + inside).cast("int")).drop("__g", "__ts", "__k", "__base")
+    inside = F.size(F.filter("__ts", lambda t: t <= F.col(score)))
+    return out.withColumn(name, (F.col("__base") + inside).cast("int")).drop("__g", "__ts", "__base")
 
 
 def cum_stats(df: DataFrame, grid: DataFrame, score: str = "score", y: str = "y", amount: str = "amount", keys: list[str] | None = None) -> DataFrame:
@@ -63,9 +90,10 @@ def cum_stats(df: DataFrame, grid: DataFrame, score: str = "score", y: str = "y"
         F.sum(F.when(fraud, F.col(amount)).otherwise(0.0)).alias("fraud_amt"), F.sum(F.when(~fraud, F.col(amount)).otherwise(0.0)).alias("legit_amt"),
     )
     names = ["k", "fraud_cnt", "legit_cnt", "fraud_amt", "legit_amt"]
-    ranked = grid.withColumn("place", F.row_number().over(Window.orderBy("t")))
+    rows, _ = _ranked(grid)
+    ranked = df.sparkSession.createDataFrame(rows.drop_columns("cell").append_column("place", pa.array(np.arange(1, rows.num_rows + 1), pa.int32())))
     if keys:
-        ranked = ranked.join(F.broadcast(sums.select(*keys).distinct()))
+        ranked = sums.select(*keys).distinct().join(F.broadcast(ranked))
     marks = ranked.select(*keys, "place", "t").join(sums, [*keys, "place"], "full")
     down = Window.partitionBy(*keys).orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
@@ -73,6 +101,15 @@ def cum_stats(df: DataFrame, grid: DataFrame, score: str = "score", y: str = "y"
     return out.where("t is not null")
 
 
+def local_stats(df: DataFrame, grids: dict[str, DataFrame], score: str = "score") -> dict[str, DataFrame]:
+    """``cum_stats`` on several small grids from one pass over the rows, each as literal rows."""
+    spark = df.sparkSession
+    thresholds = {name: g.toArrow().column("t") for name, g in grids.items()}
+    every = sorted({t for c in thresholds.values() for t in c.to_pylist()})
+    got = local_table(cum_stats(df, literal_grid(spark, every), score)).toArrow()
+    return {name: spark.createDataFrame(got.filter(pc.is_in(got.column("t"), c.combine_chunks()))) for name, c in thresholds.items()}
+
+
 def _cost(p, kr: str = "", kd: str = ""):
     """Net benefit of declining the rows of ``kd`` and reviewing those of ``kr`` beyond them."""
     f = lambda side, n: F.col(f"{side}{n}")

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS = {"1h": 3600, "24h": 86_400, "7d": 604_800}
+# Fixed values: (feature, key, what is counted for it).
+LINKAGE = [
+    ("lnk_cards_per_deviceinfo", "DeviceInfo", "card_key"),
+    ("lnk_cards_per_id30", "id_30", "card_key"),
+    ("lnk_cards_per_id31", "id_31", "card_key"),
+    ("lnk_cards_per_device_fp", "device_fp", "card_key"),
+    ("lnk_pemails_per_card", "card_key", "P_emaildomain"),
+    ("lnk_remails_per_card", "card_key", "R_emaildomain"),
+    ("lnk_addr1_per_card", "card_key", "addr1"),
+]
 
 
 def _features(key: str, dt: str, amount: str, windows: dict[str, int], prefix: str, count, total, prev, prior, first) -> dict[str, Column]:
@@ -72,8 +82,37 @@ def distinct_before(df: DataFrame, key: str, other: str, dt: str = "dt", row_id:
     return df.withColumn(name, F.when(F.col(key).isNotNull(), count)).drop("__ft", "__new")
 
 
-def linkage_features(df: DataFrame, specs: list[tuple[str, str, str]], dt: str = "dt", row_id: str = "id") -> DataFrame:
-    """One ``distinct_before`` column for each (name, key, other)."""
-    for name, key, other in specs:
+def distinct_before_split(df: DataFrame, key: str, other: str, dt: str = "dt", row_id: str = "id", name: str = "linked", seconds: int = 604_800) -> DataFrame:
+    """As ``distinct_before``, for keys with too many rows for one task (a device that half of all cards use).
+
+    First times of (key, other) pairs are one aggregate.  They are counted by
+    time cell, running totals of cells give what lies in earlier cells, and a
+    window adds the rest inside each (key, cell).
+    """
+    cell = F.floor(F.col(dt) / seconds)
+    first = df.where(F.col(key).isNotNull() & F.col(other).isNotNull()).groupBy(key, other).agg(F.min(dt).alias("__ft"))
+    new = first.groupBy(key, F.floor(F.col("__ft") / seconds).alias("__cell"), F.col("__ft").alias("__at")).agg(F.count("*").alias("__n"))
+    totals = new.groupBy(key, "__cell").agg(F.sum("__n").alias("__c"))
+    have = df.where(F.col(key).isNotNull()).select(key, cell.alias("__cell")).distinct()
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = have.join(totals, [key, "__cell"], "left").select(key, "__cell", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    # New pairs and rows of a (key, cell) in one order of time; a row sees pairs of strictly earlier seconds.
+    row = F.struct(*[F.col(c) for c in df.columns])
+    rows = df.select(row.alias("__r"), F.col(key).alias("__key"), cell.alias("__cell"), F.col(dt).alias("__at"), F.lit(0).cast("long").alias("__n"))
+    marks = new.select(F.lit(None).cast(dict(rows.dtypes)["__r"]).alias("__r"), F.col(key).alias("__key"), "__cell", "__at", "__n")
+    past = Window.partitionBy("__key", "__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = rows.union(marks).withColumn("__seen", F.coalesce(F.sum("__n").over(past), F.lit(0))).where("__r is not null").select("__r.*", "__cell", "__seen")
+    out = seen.join(base, [key, "__cell"], "left").join(first, [key, other], "left")
+    own = F.when(F.col("__ft") >= F.col(dt), 1).otherwise(0)
+    return out.select(*df.columns, F.when(F.col(key).isNotNull(), F.col("__base") + F.col("__seen") + own).alias(name))
+
+
+def linkage_features(df: DataFrame, specs: list[tuple[str, str, str]] = LINKAGE, dt: str = "dt", row_id: str = "id") -> DataFrame:
+    """One ``distinct_before`` column for each (name, key, other).
+
+    Specs of one key follow each other, so that their windows share its
+    partitioning.
+    """
+    for name, key, other in sorted(specs, key=lambda s: s[1]):
         df = distinct_before(df, key, other, dt, row_id, name)
     return df

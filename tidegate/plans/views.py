@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,24 +23,46 @@ def uniform(text: Column) -> Column:
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as transactions: id, dt, amount, y, card, product, addr, email (some null), and two scores."""
+    """events as transactions: id, dt, amount, y, card, product, addr, email (some null), the account uid, and two scores."""
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", r'"k": *(-?\d+)', 1).cast("int")
     df = e.select(F.col("event_id").alias("id"), seconds("ts").alias("dt"), F.col("value").alias("amount"), F.when(k < 4, 1).otherwise(0).alias("y"), F.col("user_id").alias("card"), F.col("event_type").alias("product"), (F.col("user_id") % 7).alias("addr"), F.when(k % 5 != 0, F.concat(F.lit("d"), (k % 5).cast("string"))).alias("email"))
     key = F.col("id").cast("string")
     score = F.lit(0.7) * uniform(key) + F.lit(0.3) * F.col("y")
     other = F.lit(0.8) * uniform(F.concat(F.lit("b"), key)) + F.lit(0.2) * F.col("y")
-    return df.withColumns({"score": score, "score_b": other})
+    uid = F.concat_ws("|", "card", "product", F.coalesce("email", F.lit("nan")))
+    return df.withColumns({"uid": uid, "score": score, "score_b": other})
+
+
+def raw_columns(df: DataFrame) -> DataFrame:
+    """``txn`` with the raw columns that entity keys, linkage and the feature plan read, made from what it has."""
+    c = F.col
+    return df.withColumns({
+        "card1": c("card").cast("int"), "card2": (c("card") % 40 + 100).cast("double"), "card3": F.lit(150.0), "card4": c("product"), "card5": (c("card") % 3 + 200).cast("float"),
+        "card6": F.when(c("card") % 4 == 0, "credit").otherwise("debit"), "addr1": F.when(c("addr") != 3, c("addr").cast("double")), "D1": F.when(c("id") % 5 != 0, (c("card") % 9).cast("double")),
+        "DeviceInfo": c("email"), "id_30": F.when(c("addr") != 3, c("addr").cast("string")), "id_31": F.concat(F.lit("b"), (c("card") % 3).cast("string")), "id_33": c("product"),
+        "P_emaildomain": F.when(c("id") % 4 != 0, F.concat(F.lit("p"), (c("id") % 6).cast("string"))), "R_emaildomain": c("email"),
+    })
+
+
+RAW = """
+raw AS (
+  SELECT *, card || '|' || (100 + card % 40) || '|150|' || product || '|' || (200 + card % 3) || '|' || CASE WHEN card % 4 = 0 THEN 'credit' ELSE 'debit' END AS card_key,
+         CASE WHEN addr <> 3 THEN addr END AS addr1, CASE WHEN id % 5 <> 0 THEN (floor(dt / 86400) - card % 9)::BIGINT END AS d1n, email AS device_info,
+         CASE WHEN addr <> 3 THEN addr::VARCHAR END AS id_30, 'b' || (card % 3) AS id_31, CASE WHEN id % 4 <> 0 THEN 'p' || (id % 6) END AS p_email, email AS r_email,
+         CASE WHEN email IS NOT NULL THEN email || '|' || CASE WHEN addr = 3 THEN 'nan' ELSE addr::VARCHAR END || '|b' || (card % 3) || '|' || product END AS device_fp
+  FROM txn
+)"""
 
 
 def with_history(df: DataFrame) -> DataFrame:
-    """``df`` with prior_cnt and tenure of its card."""
-    return velocity(df, "card", windows={"24h": 86_400}, prefix="").select(*df.columns, "prior_cnt", F.col("tenure_days").alias("tenure"))
+    """``df`` with prior_cnt and tenure of its account."""
+    return velocity(df, "uid", windows={"24h": 86_400}, prefix="").select(*df.columns, "prior_cnt", F.col("tenure_days").alias("tenure"))
 
 
 TXN = r"""
 txn AS (
-  SELECT *, 7e-1 * (('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT / 4294967296e0) + 3e-1 * y AS score,
+  SELECT *, card || '|' || product || '|' || coalesce(email, 'nan') AS uid, 7e-1 * (('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT / 4294967296e0) + 3e-1 * y AS score,
          8e-1 * (('0x' || substr(md5('b' || id::VARCHAR), 1, 8))::BIGINT / 4294967296e0) + 2e-1 * y AS score_b
   FROM (
     SELECT event_id AS id, floor(epoch(ts))::BIGINT AS dt, value AS amount, CASE WHEN k < 4 THEN 1 ELSE 0 END AS y, user_id AS card,
@@ -58,20 +78,23 @@ cut AS (SELECT max(CASE WHEN rn = round(n * 7e-1) THEN dt END) AS t1, max(CASE W
 s AS (SELECT pos.*, CASE WHEN dt <= t1 THEN 'train' WHEN dt <= greatest(t1, t2) THEN 'valid' ELSE 'test' END AS split FROM pos, cut),
 tr AS (SELECT * FROM s WHERE split = 'train'), va AS (SELECT * FROM s WHERE split = 'valid'), te AS (SELECT * FROM s WHERE split = 'test')"""
 
-STATS = r""",
-grid AS (SELECT i / 20e0 AS t FROM range(0, 21) AS r(i)),
-st AS (
+
+
+def stats_sql(name: str, grid: str, rows: str, score: str = "score") -> str:
+    """Per threshold of ``grid``: rows at or above it and their sums."""
+    return f"""
+{name} AS (
   SELECT t, count(id) AS k, count(CASE WHEN y = 1 THEN 1 END) AS fc, count(CASE WHEN y = 0 THEN 1 END) AS lc,
          coalesce(sum(CASE WHEN y = 1 THEN amount END), 0) AS fa, coalesce(sum(CASE WHEN y = 0 THEN amount END), 0) AS la
-  FROM grid LEFT JOIN {rows} ON score >= t GROUP BY t
+  FROM {grid} LEFT JOIN {rows} ON {score} >= t GROUP BY t
 )"""
 
 
-def grid_sql(rows: str, name: str, n_quantiles: int = 2000, n_linear: int = 1001) -> str:
+def grid_sql(rows: str, name: str, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score") -> str:
     """The thresholds of ``threshold_grid`` rounded to 9 digits."""
     even = f" UNION ALL SELECT i / {n_linear - 1}e0 FROM range(0, {n_linear}) AS r3(i)" if n_linear else ""
     return f"""
-{name}o AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i FROM {rows}),
+{name}o AS (SELECT {score} AS score, row_number() OVER (ORDER BY {score}) - 1 AS i FROM {rows}),
 {name}p AS (
   SELECT p * ((SELECT count(*) FROM {rows}) - 1) AS pos FROM (
     SELECT i / {n_quantiles - 1}e0 AS p FROM range(0, {n_quantiles}) AS r1(i)
@@ -86,46 +109,35 @@ def grid_sql(rows: str, name: str, n_quantiles: int = 2000, n_linear: int = 1001
 )"""
 
 
-def full_sql(sql: str) -> str:
-    """SQL over the fixed grid as SQL over the full grids: pairs from ``pgrid``, all else from ``grid``; accounts are new without earlier rows."""
-    fixed, pairs = "grid AS (SELECT i / 20e0 AS t FROM range(0, 21) AS r(i))", "FROM st r, st d"
-    rows = "va" if "LEFT JOIN va ON score >= t" in sql else "txn"
-    start = sql.index("st AS (\n")
-    st = sql[start : sql.index("\n)", start) + 2]
-    new = grid_sql(rows, "grid")
-    if rows == "va":
-        new += "," + grid_sql("va", "pgrid", 200, 0) + "," + grid_sql("te", "tgrid")
-        sql = sql.replace(st, st + ", sp " + st[3:].replace("FROM grid", "FROM pgrid"))
-    sql = sql.replace(fixed, new.strip()).replace(pairs, "FROM sp r, sp d").replace("FROM grid LEFT JOIN te", "FROM tgrid LEFT JOIN te")
-    sql = sql.replace("FROM (SELECT t FROM grid UNION SELECT t_youden", "FROM (SELECT t FROM grid UNION SELECT t FROM pgrid UNION SELECT t_youden")
-    sql = sql.replace("prior_cnt <= 55", "prior_cnt = 0")
-    sql = sql.replace("(SELECT sum(y) FROM f WHERE flag)", "(SELECT coalesce(sum(y), 0) FROM f WHERE flag)")  # none flagged: recall 0
-    sql = re.sub(r"round\((t_\w+), 6\)", r"round(\1, 9)", sql)
-    return sql.replace("SELECT t, k AS n_declined", "SELECT CASE WHEN t < 'infinity'::DOUBLE THEN t END AS t, k AS n_declined")
-
-
-#: The policies chosen on validation with the fixed grid.
-CHOSEN = SPLIT + STATS.format(rows="va") + r""",
+def pair_sql(stats: str, pairs: str, best: str) -> str:
+    """Feasible pairs within the capacity, and the best of them."""
+    return f"""
+{pairs} AS (
+  SELECT r.t AS rt, d.t AS dt, r.k - d.k AS rev, d.fa + 85e-2 * (r.fa - d.fa) - 2e-2 * d.la - 10e0 * d.lc - 5e0 * (r.k - d.k) AS nb
+  FROM {stats} r, {stats} d, lim WHERE r.t <= d.t AND r.k >= d.k AND r.k - d.k <= lim
+),
+{best} AS (SELECT rt AS t_review, dt AS t_decline, rev, nb FROM {pairs} WHERE nb >= (SELECT max(nb) FROM {pairs}) - 1e-9 ORDER BY rev, dt DESC, rt LIMIT 1)"""
+
+
+#: Thresholds of the validation split (grid, pgrid; bgrid of the second score) and of the test split (tgrid), and their sums.
+GRIDS = SPLIT + "," + grid_sql("va", "grid") + "," + stats_sql("st", "grid", "va") + "," + grid_sql("va", "pgrid", 200, 0) + "," + stats_sql("sp", "pgrid", "va") + "," + grid_sql("va", "bgrid", 200, 0, "score_b") + "," + stats_sql("sb", "bgrid", "va", "score_b") + "," + grid_sql("te", "tgrid")
+
+#: The policies chosen on validation, and the decisions on test.
+CHOSEN = GRIDS + r""",
 nb AS (SELECT *, fa - 2e-2 * la - 10e0 * lc AS nb FROM st),
 prof AS (SELECT max(t) AS t_profit FROM nb WHERE nb >= (SELECT max(nb) FROM nb) - 1e-9),
 sc AS (SELECT score, sum(y) AS p, count(*) AS c FROM va GROUP BY score),
 cu AS (SELECT score, sum(p) OVER w AS tp, sum(c) OVER w AS k, sum(p) OVER () AS pa, sum(c) OVER () AS na FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 you AS (SELECT score AS t_youden FROM cu ORDER BY tp * (na - pa) - (k - tp) * pa DESC, score LIMIT 1),
 cap AS (SELECT 1e-2 * count(*) / ((max(dt) - min(dt)) / 86400e0) AS cap FROM tr),
-lim AS (SELECT cap * (max(dt) - min(dt)) / 86400e0 AS lim FROM va, cap GROUP BY cap),
-pr AS (
-  SELECT r.t AS rt, d.t AS dt, r.k - d.k AS rev, d.fa + 85e-2 * (r.fa - d.fa) - 2e-2 * d.la - 10e0 * d.lc - 5e0 * (r.k - d.k) AS nb
-  FROM st r, st d, lim WHERE r.t <= d.t AND r.k >= d.k AND r.k - d.k <= lim
-),
-pair AS (SELECT rt AS t_review, dt AS t_decline, rev, nb FROM pr WHERE nb >= (SELECT max(nb) FROM pr) - 1e-9 ORDER BY rev, dt DESC, rt LIMIT 1),
-hist AS (
-  SELECT te.*, (SELECT count(*) FROM s p WHERE p.card = te.card AND p.dt < te.dt) AS prior_cnt,
-         coalesce((te.dt - (SELECT min(dt) FROM s p WHERE p.card = te.card AND p.dt < te.dt)) / 86400e0, 0) AS tenure FROM te
-),
+lim AS (SELECT cap * (max(dt) - min(dt)) / 86400e0 AS lim FROM va, cap GROUP BY cap),""" + pair_sql("sp", "pr", "pair") + "," + pair_sql("sb", "prb", "pairb") + r""",
+past AS (SELECT id, count(*) OVER w AS prior_cnt, min(dt) OVER w AS first_dt FROM s WINDOW w AS (PARTITION BY uid ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hist AS (SELECT te.*, prior_cnt, coalesce((dt - first_dt) / 86400e0, 0) AS tenure FROM te JOIN past USING (id)),
 p90 AS (SELECT quantile_cont(amount, 0.9) AS thr FROM tr),
 dec AS (
-  SELECT hist.*, CASE WHEN amount > thr AND prior_cnt <= 55 THEN 2 ELSE 0 END AS d_rules, 0 AS d_approve_all, CASE WHEN score >= t_youden THEN 2 ELSE 0 END AS d_youden_single,
+  SELECT hist.*, CASE WHEN amount > thr AND prior_cnt = 0 THEN 2 ELSE 0 END AS d_rules, 0 AS d_approve_all, CASE WHEN score >= t_youden THEN 2 ELSE 0 END AS d_youden_single,
          CASE WHEN score >= t_profit THEN 2 ELSE 0 END AS d_profit_single,
-         CASE WHEN score >= t_decline THEN 2 WHEN score >= t_review THEN 1 ELSE 0 END AS d_profit_three_way
-  FROM hist, p90, prof, you, pair
+         CASE WHEN score >= pair.t_decline THEN 2 WHEN score >= pair.t_review THEN 1 ELSE 0 END AS d_profit_three_way,
+         CASE WHEN score_b >= pairb.t_decline THEN 2 WHEN score_b >= pairb.t_review THEN 1 ELSE 0 END AS d_no_velocity_three_way
+  FROM hist, p90, prof, you, pair, pairb
 )"""

@@ -1,8 +1,10 @@
-"""Number formats, strict templates, and the check that prose quotes only computed numbers."""
+"""Numbers as text, strict templates, and the check that prose quotes only computed numbers."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from string import Template
 
 from pyspark.sql import Column, DataFrame
@@ -11,61 +13,64 @@ from pyspark.sql import functions as F
 UNDEFINED = "n/a"
 
 
-def _number(v) -> float:
-    if v is None:
-        raise ValueError("a value is missing")
-    return float(v)
+@dataclass(frozen=True)
+class Style:
+    """How one kind of number is written: a factor, what stands around it, and its usual digits."""
 
+    factor: float = 1.0
+    before: str = ""
+    after: str = ""
+    digits: int = 0
+    grouped: bool = True
 
-def usd(v, digits: int = 0) -> str:
-    v = _number(v)
-    sign = "-" if v < 0 and round(abs(v), digits) else ""
-    return f"{sign}${abs(v):,.{digits}f}"
+    def text(self, value, digits: int | None = None) -> str:
+        if value is None:
+            raise ValueError("a value is missing")
+        digits = self.digits if digits is None else digits
+        body = f"{abs(float(value)) * self.factor:{',' if self.grouped else ''}.{digits}f}"
+        minus = "-" if float(value) < 0 and body.strip("0.,") else ""
+        return f"{minus}{self.before}{body}{self.after}"
 
+    def column(self, value: Column, digits: int | None = None) -> Column:
+        """``text`` over a column; a missing value stays missing."""
+        digits = self.digits if digits is None else digits
+        size = F.abs(value) * self.factor
+        body = F.format_number(size, digits) if self.grouped else F.format_string(f"%.{digits}f", size)
+        minus = F.when((value < 0) & (F.regexp_replace(body, "[0.,]", "") != ""), "-").otherwise("")
+        return F.concat(minus, F.lit(self.before), body, F.lit(self.after))
 
-def pct(v, digits: int = 1) -> str:
-    return f"{100 * _number(v):.{digits}f}%"
 
+STYLES = {"usd": Style(before="$"), "pct": Style(100, after="%", digits=1, grouped=False), "num": Style(digits=3), "int": Style(), "pp": Style(100, after=" pp", digits=1, grouped=False)}
 
-def num(v, digits: int = 3) -> str:
-    return format(_number(v), f",.{digits}f")
 
+def shown(value, kind: str = "num", digits: int | None = None) -> str:
+    """A number in one of the ``STYLES``."""
+    return STYLES[kind].text(value, digits)
 
-def integer(v) -> str:
-    return format(round(_number(v)), ",")
 
+def shown_column(value: Column, kind: str = "num", digits: int | None = None) -> Column:
+    return STYLES[kind].column(value, digits)
 
-def interval(ci: dict, kind: str = "num", digits: int | None = None) -> str:
-    """'point (95% CI low to high)' in money, numbers or percentage points."""
-    if ci.get("point") is None or ci.get("ci_low") is None:
+
+def shown_interval(row: dict, kind: str = "num", digits: int | None = None) -> str:
+    """'point (95% CI low to high)'; undefined without a point or an interval."""
+    values = [row.get(k) for k in ("point", "ci_low", "ci_high")]
+    if None in values:
         return UNDEFINED
-    digits = {"usd": 0, "num": 4, "pp": 1}[kind] if digits is None else digits
-    show = {"usd": usd, "num": num, "pp": lambda v, d: format(100 * _number(v), f".{d}f")}[kind]
-    unit = " pp" if kind == "pp" else ""
-    point, low, high = (show(ci[k], digits) for k in ("point", "ci_low", "ci_high"))
+    style = STYLES[kind]
+    digits = 4 if kind == "num" and digits is None else digits
+    unit = style.after if kind == "pp" else ""
+    point, low, high = (style.text(v, digits).removesuffix(unit) for v in values)
     return f"{point}{unit} (95% CI {low} to {high}{unit})"
 
 
-def verdict(ci: dict) -> str:
-    if ci.get("ci_low") is None or ci.get("n_boot_valid", 1) == 0:
+def finding(row: dict) -> str:
+    """What an interval says about a difference from zero."""
+    if not row.get("n_boot_valid", 1) or row.get("ci_low") is None:
         return "undefined"
-    if not ci["excludes_zero"]:
-        return "interval includes zero"
-    return "interval excludes zero" + ("" if ci["point"] > 0 else ", in the unfavourable direction")
-
-
-def passfail(ok) -> str:
-    return "PASS" if ok else "FAIL"
-
-
-def usd_column(c: Column, digits: int = 0) -> Column:
-    """``usd`` over a column."""
-    sign = F.when((c < 0) & (F.round(F.abs(c), digits) != 0), "-").otherwise("")
-    return F.concat(sign, F.lit("$"), F.format_number(F.abs(c), digits))
-
-
-def pct_column(c: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
+    if row["excludes_zero"]:
+        return "interval excludes zero" if row["point"] > 0 else "interval excludes zero, in the unfavourable direction"
+    return "interval includes zero"
 
 
 def render(template: str, values: dict[str, str]) -> str:
@@ -102,14 +107,16 @@ def unsupported_numbers(texts: DataFrame, leaves: DataFrame, text: str = "text")
     return tok.withColumn("k", key(F.col("value"), F.col("digits"))).join(have, ["digits", "k"], "left_anti").drop("k")
 
 
-def numeric_leaves(value) -> list[float]:
-    """Every number inside nested results, numbers in text included."""
-    if isinstance(value, bool) or value is None:
-        return []
-    if isinstance(value, dict):
-        return [x for v in value.values() for x in numeric_leaves(v)]
-    if isinstance(value, (list, tuple)):
-        return [x for v in value for x in numeric_leaves(v)]
-    if isinstance(value, str):
-        return [float(value)] if re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", value) else []
-    return [float(value)]
+def computed_numbers(results) -> Iterator[float]:
+    """The numbers anywhere inside nested results, also those written as text; yes and no are none."""
+    open_ = [results]
+    while open_:
+        item = open_.pop()
+        if isinstance(item, dict):
+            open_.extend(item.values())
+        elif isinstance(item, (list, tuple)):
+            open_.extend(item)
+        elif isinstance(item, (int, float)) and not isinstance(item, bool):
+            yield float(item)
+        elif isinstance(item, str) and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", item.strip()):
+            yield float(item)

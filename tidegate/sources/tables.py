@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import csv
 import json
 import math
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +40,7 @@ def schema_for(header: list[str]) -> T.StructType:
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV file with a header, typed by name.  An empty string is a value, not missing; empty numbers are null."""
     if schema is None:
-        schema = schema_for(spark.read.text(path).first()[0].strip().split(","))
+        schema = schema_for(next(csv.reader([spark.read.text(path).first()[0]])))
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
     return df.withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in schema if isinstance(f.dataType, T.StringType)})
 
@@ -48,12 +53,33 @@ def write_csv(df: DataFrame, path: str) -> None:
 def verify_files(spark: SparkSession, folder: str, expected: dict[str, int]) -> DataFrame:
     """(name, expected_bytes, bytes, sha256, status) of each expected file; status ok, missing or size."""
     want = spark.createDataFrame(sorted(expected.items()), "name string, expected_bytes long")
-    have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    have = have.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
+    have = have.mapInPandas(_digests, "name string, bytes long, sha256 string")
     status = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") != F.col("expected_bytes"), "size").otherwise("ok")
     return want.join(have, "name", "left").withColumn("status", status)
 
 
+def _digests(parts):
+    """SHA-256 of files of any size, read in pieces through Arrow's file systems; null where a path can't be opened there."""
+    import hashlib
+
+    from pyarrow import fs
+
+    for part in parts:
+        out = []
+        for path in part["path"]:
+            try:
+                system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(at) as f:
+                    while piece := f.read(1 << 24):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            except (OSError, ValueError):
+                out.append(None)
+        yield part.assign(name=part["path"].str.rsplit("/", n=1).str[-1], sha256=out)[["name", "bytes", "sha256"]]
+
+
 def require_files(spark: SparkSession, folder: str, expected: dict[str, int]) -> None:
     bad = verify_files(spark, folder, expected).where("status <> 'ok'").orderBy("name").collect()
     if bad:
@@ -97,11 +123,30 @@ def clean_json(value):
     return value
 
 
-def save_json(value, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(clean_json(value), f, indent=2, sort_keys=True)
+def save_json(value, spark: SparkSession, path: str) -> None:
+    """Nested results as one JSON text with sorted keys, wherever Spark writes."""
+    text = json.dumps(clean_json(value), indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(path)
+
+
+def load_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0].rstrip("\0"))
+
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder of spark.checkpoint.dir and read back, for plans that use it several times.
 
-def load_json(path: str):
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    Where the setting is missing (tests, one machine), a temporary folder of this process is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        own = tempfile.mkdtemp(prefix="tidegate-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,27 +28,41 @@ def score_bins(stream: DataFrame, edges: list[float], days: int = 7, delay: str
 
 
 def velocity_stream(stream: DataFrame, key: str, windows: dict[str, int], dt: str = "dt", amount: str = "amount", row_id: str = "id") -> DataFrame:
-    """(key, id, dt, cnt_<w>, amt_<w>) as rows arrive in time order per key; state keeps one longest window per key."""
+    """(key, id, dt, late, cnt_<w>, amt_<w>) for each row as it arrives.
+
+    A key's state is its rows of the last longest window, in order of time,
+    with running sums, so a row costs two searches a window.  The state ends
+    one longest window before the latest time seen.  Rows may come in any
+    order: one that is not older than that finds all its windows' rows that
+    have arrived; an older one is told as late, its windows hold only what the
+    state still has, and it is not kept.  Rows told before a late arrival stay
+    as they were.  Null keys have no history and are left out; a null amount
+    counts as 0.
+    """
     names, spans = list(windows), list(windows.values())
     longest = max(spans)
     fields = ", ".join(f"cnt_{n} long, amt_{n} double" for n in names)
     kind = dict(stream.dtypes)
+    columns = [key, row_id, dt, "late", *[f"{p}_{n}" for n in names for p in ("cnt", "amt")]]
 
     def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, amounts = (list(x) for x in state.get) if state.exists else ([], [])
-        pdf = pd.concat(list(chunks)).sort_values([dt, row_id])
-        rows = []
-        for i, t, a in zip(pdf[row_id], pdf[dt], pdf[amount], strict=True):
-            row = [group[0], i, t]
-            for span in spans:
-                own = [v for u, v in zip(times, amounts, strict=True) if t - span <= u < t]
-                row += [len(own), float(sum(own))]
-            rows.append(row)
-            times.append(int(t))
-            amounts.append(float(a))
-        last = times[-1] if times else 0
-        keep = [k for k, u in enumerate(times) if u >= last - longest]
-        state.update(([times[k] for k in keep], [amounts[k] for k in keep]))
-        yield pd.DataFrame(rows, columns=[key, row_id, dt, *[f"{p}_{n}" for n in names for p in ("cnt", "amt")]])
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {row_id} {kind[row_id]}, {dt} {kind[dt]}, {fields}", "times array<long>, amounts array<double>", "append", GroupStateTimeout.NoTimeout)
+        old_t, old_a = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        new = pd.concat(list(chunks)).sort_values([dt, row_id], kind="stable")
+        t, a = new[dt].to_numpy(np.int64), new[amount].fillna(0.0).to_numpy(float)
+        begin = old_t[-1] - longest if len(old_t) else None
+        late = t < begin if begin is not None else np.zeros(len(t), bool)
+        times, amounts = np.concatenate((old_t, t[~late])), np.concatenate((old_a, a[~late]))
+        order = np.argsort(times, kind="stable")
+        times, amounts = times[order], amounts[order]
+        total = np.concatenate(([0.0], np.cumsum(amounts)))
+        out = {key: group[0], row_id: new[row_id].to_numpy(), dt: t, "late": late}
+        upto = np.searchsorted(times, t)
+        for n, span in windows.items():
+            since = np.searchsorted(times, t - span)
+            out[f"cnt_{n}"], out[f"amt_{n}"] = upto - since, total[upto] - total[since]
+        keep = times >= times[-1] - longest if len(times) else np.zeros(0, bool)
+        state.update((times[keep].tolist(), amounts[keep].tolist()))
+        yield pd.DataFrame(out)[columns]
+
+    known = stream.where(F.col(key).isNotNull())
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {row_id} {kind[row_id]}, {dt} {kind[dt]}, late boolean, {fields}", "times array<long>, amounts array<double>", "append", GroupStateTimeout.NoTimeout)
