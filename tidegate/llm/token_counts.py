@@ -134,18 +134,18 @@ def token_counts(docs: DataFrame, tokenizer: str, store: str, limit: int = 2048,
     text = F.coalesce("text", F.lit(""))
     folded = F.regexp_replace(text, "[ \n]+", " ") if by_word else text
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.unhex(F.sha2(folded, 256)).alias("digest"))
+    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(0)))
     tasks = _base.tasks_for(spark, _base.text_bytes(docs))
     keys = _base.staged(keyed.select("doc_id", "digest", F.octet_length(text).cast("long").alias("n_bytes")), "digests", tasks)
     shape = "digest binary, version string, n_tokens long"
     spark.createDataFrame([], shape).write.mode("append").parquet(store)
     stored = spark.read.schema(shape).parquet(store).where(F.col("version") == version).select("digest", "n_tokens")
-    distinct = keys.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    distinct = keys.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("id"))
     misses = distinct.join(stored, "digest", "left_anti")
-    # Only the first document of a missed key brings its text (a null id equals itself here).
-    same = (F.col("k.digest") == F.col("m.digest")) & F.col("k.doc_id").eqNullSafe(F.col("m.first_id"))
-    asked = keyed.alias("k").join(misses.alias("m"), same, "left_semi").select("digest", "text")
+    # Only the first document of a missed key brings its text.  Rows meet by key and id, so that a text of many documents is not in one task.
+    asked = keyed.repartition(tasks, "digest", "id").join(misses.repartition(tasks, "digest", "id"), ["digest", "id"], "left_semi").select("digest", "text")
     new = asked.mapInArrow(_count(tokenizer, by_word), "digest binary, n_tokens long")
-    new.coalesce(tasks).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(store)
+    new.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(store)
     known = spark.read.schema(shape).parquet(store).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = keys.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     return _base.finished(out.coalesce(tasks), "counts", keys)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import _base
 
 #: Queries and vectors of a block, blocks of each kind in one search, candidates that read a block in one task.
-QUERY_BLOCK, VECTOR_BLOCK, TOGETHER, READERS = 4096, 8192, 8, 1 << 16
+QUERY_BLOCK, VECTOR_BLOCK, TOGETHER, READERS = 4096, 8192, 8, 2048
 CELLS = 256
 LEAST, MOST = -(2.0**63), 2.0**63
 
