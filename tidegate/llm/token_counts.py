@@ -142,8 +142,9 @@ def token_counts(docs: DataFrame, tokenizer: str, store: str, limit: int = 2048,
     stored = spark.read.schema(shape).parquet(store).where(F.col("version") == version).select("digest", "n_tokens")
     distinct = keys.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("id"))
     misses = distinct.join(stored, "digest", "left_anti")
-    # Only the first document of a missed key brings its text.  Rows meet by key and id, so that a text of many documents is not in one task.
-    asked = keyed.repartition(tasks, "digest", "id").join(misses.repartition(tasks, "digest", "id"), ["digest", "id"], "left_semi").select("digest", "text")
+    # Only the first document of a missed key brings its text.  Rows meet by key and id, so that a text of many documents is
+    # not in one task.  (An inner join: a semi-join would be pushed below the repartitioning, and texts shuffled twice.)
+    asked = keyed.repartition(tasks, "digest", "id").join(misses.repartition(tasks, "digest", "id"), ["digest", "id"]).select("digest", "text")
     new = asked.mapInArrow(_count(tokenizer, by_word), "digest binary, n_tokens long")
     new.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(store)
     known = spark.read.schema(shape).parquet(store).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
