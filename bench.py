@@ -30,7 +30,25 @@ def main() -> None:
             catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         took[name] = round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    out = {"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}
+    if os.environ.get("BENCH_SQL"):  # the same queries in an in-process engine, for comparison
+        out["sql"] = sql_times(sf_dir, cpus)
+    print(json.dumps(out))
+
+
+def sql_times(sf_dir: str, cpus: str) -> dict[str, float]:
+    import duckdb
+
+    con = duckdb.connect(config={"threads": int(cpus)})
+    for name in os.listdir(sf_dir):
+        if name.endswith(".parquet"):
+            con.execute(f"create view {name[:-8]} as select * from '{sf_dir}/{name}'")
+    took = {}
+    for name in HEADLINE:
+        began = time.perf_counter()
+        con.execute(catalogue.ORACLES[name]).fetchall()
+        took[name] = round(time.perf_counter() - began, 3)
+    return took
 
 
 if __name__ == "__main__":
