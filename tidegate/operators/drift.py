@@ -47,14 +47,14 @@ def psi_numeric(ref: DataFrame, cur: DataFrame, value: str, keys: list[str] | No
     edges = quantile_edges(ref, value, keys, n_bins, digits)
 
     def counts(df: DataFrame, by: list[str], name: str) -> DataFrame:
-        df = df.join(F.broadcast(edges), keys) if keys else df.join(F.broadcast(edges))
+        df = df.join(edges, keys) if keys else df.join(F.broadcast(edges))  # one row
         return df.groupBy(*by, numeric_bin(value).alias("bin")).agg(F.count("*").alias(name))
 
     have_r, have_c = counts(ref, keys, "ref"), counts(cur, [*keys, *cur_keys], "cur")
     spine = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") + 1)).alias("bin"))
     if cur_keys:
         groups = cur.select(*keys, *cur_keys).distinct()
-        spine = groups.join(F.broadcast(spine), keys) if keys else groups.join(F.broadcast(spine))
+        spine = groups.join(spine, keys) if keys else groups.join(F.broadcast(spine))  # a row for each bin
     out = spine.join(have_r, [*keys, "bin"], "left").join(have_c, [*keys, *cur_keys, "bin"], "left")
     return _index([*keys, *cur_keys], out.fillna(0, ["ref", "cur"]))
 

@@ -6,7 +6,11 @@ and get their running sums on their own; inside a cell a window adds the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +33,13 @@ def local_table(df: DataFrame, most: int = 50_000) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """The results of independent small jobs, run at the same time: alone, each would leave most of a cluster idle."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inherit(j)) for j in jobs]]
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few given rows, as a relation the optimiser knows the size of."""
     kind = to_arrow_schema(_parse_datatype_string(schema))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.costs import CostParams, decide, row_benefit, rules_decline, summary_columns
 from tidegate.operators import metrics
 from tidegate.operators import thresholds as th
-from tidegate.operators.ordered import local_table, quantiles
+from tidegate.operators.ordered import local_table, quantiles, together
 
 POLICIES = ("approve_all", "rules", "youden_single", "profit_single", "profit_three_way")
 
@@ -35,11 +35,10 @@ def select_policies(valid: DataFrame, train: DataFrame, p: CostParams, n_quantil
     """One row (t_youden, t_profit, t_review, t_decline, cap), chosen on ``valid`` alone; capacity comes from ``train``."""
     grid = grid if grid is not None else th.threshold_grid(valid, n_quantiles, n_linear, digits=digits)
     pair_grid = pair_grid if pair_grid is not None else th.threshold_grid(valid, n_policy // 2, 0, digits=digits)
-    cap = local_table(max_reviews_per_day(train, share))
-    stats = th.local_stats(valid, {"single": grid, "pair": pair_grid})
-    pair = select_pair(valid, p, cap, pair_grid, stats=stats["pair"])
-    out = metrics.youden_threshold(valid)
-    for one in (th.profit_optimal(th.single_sweep(stats["single"], p)), pair, cap):
+    stats, cap, youden = together(lambda: th.local_stats(valid, {"single": grid, "pair": pair_grid}), lambda: local_table(max_reviews_per_day(train, share)), lambda: local_table(metrics.youden_threshold(valid)))
+    profit, pair = together(lambda: local_table(th.profit_optimal(th.single_sweep(stats["single"], p))), lambda: local_table(select_pair(valid, p, cap, pair_grid, stats=stats["pair"])))
+    out = youden
+    for one in (profit, pair, cap):
         out = out.join(F.broadcast(one))
     return out
 

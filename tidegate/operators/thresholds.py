@@ -7,6 +7,8 @@ per place, and the running sums are over the grid alone.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,11 +52,16 @@ def threshold_grids(df: DataFrame, wanted: dict[str, tuple[str, int, int]], digi
     for name, (score, n, n_linear) in wanted.items():
         values = [got[score, begin[n] + i] for i in range(2 * n) if (score, begin[n] + i) in got] if n else []
         values += np.linspace(0, 1, n_linear).tolist() if n_linear else []
-        grid = literal_grid(spark, [*values, INF])
-        out[name] = local_table(grid.select(F.round("t", digits).alias("t")).distinct()) if digits is not None else grid
+        out[name] = literal_grid(spark, [*(values if digits is None else _rounded(values, digits)), INF])
     return out
 
 
+def _rounded(values: list[float], digits: int) -> list[float]:
+    """Halves go up by their decimal text, as in Spark's ``round``."""
+    unit = Decimal(1).scaleb(-digits)
+    return [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) for v in values]
+
+
 def threshold_grid(df: DataFrame, n_quantiles: int = 2000, n_linear: int = 1001, score: str = "score", digits: int | None = None) -> DataFrame:
     """One of ``threshold_grids``."""
     return threshold_grids(df, {"one": (score, n_quantiles, n_linear)}, digits)["one"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.costs import CostParams, decide
 from tidegate.operators import bootstrap, metrics, policy
 from tidegate.operators import thresholds as th
-from tidegate.operators.ordered import local_table
+from tidegate.operators.ordered import local_table, together
 from tidegate.operators.split import time_split
 from tidegate.plans import views
 from tidegate.sources.tables import staged
@@ -54,9 +54,13 @@ class Decided:
 def choose(train: DataFrame, valid: DataFrame, test: DataFrame, p: CostParams) -> Decided:
     """Policies chosen on validation over the operators' own grids, for both scores, and every policy's decision on test."""
     grids = th.threshold_grids(valid, {"single": ("score", 2000, 1001), "pair": ("score", PAIR_QUANTILES, 0), "second": ("score_b", PAIR_QUANTILES, 0)}, DIGITS)
-    chosen = local_table(policy.select_policies(valid, train, p, grid=grids["single"], pair_grid=grids["pair"]))
-    second = local_table(policy.select_pair(valid, p, chosen.select("cap"), grids["second"], "score_b"))
-    test = policy.decisions(policy.with_rules(test, local_table(policy.amount_threshold(train)), "prior_cnt"), chosen, "rules")
+    cap = local_table(policy.max_reviews_per_day(train))
+    chosen, second, amount = together(
+        lambda: local_table(policy.select_policies(valid, train, p, grid=grids["single"], pair_grid=grids["pair"])),
+        lambda: local_table(policy.select_pair(valid, p, cap, grids["second"], "score_b")),
+        lambda: local_table(policy.amount_threshold(train)),
+    )
+    test = policy.decisions(policy.with_rules(test, amount, "prior_cnt"), chosen, "rules")
     other = second.select(F.col("t_review").alias("__r"), F.col("t_decline").alias("__d"))
     test = test.join(F.broadcast(other)).withColumn("dec_no_velocity_three_way", decide("score_b", F.col("__d"), F.col("__r"))).drop("__r", "__d")
     return Decided(test, chosen, train, valid, grids["single"], grids["pair"])
