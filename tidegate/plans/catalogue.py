@@ -616,7 +616,7 @@ _FAMILY_SQL = "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _F
 def drift_by_family(spark, d):
     """Which features of each family drifted, worst first."""
     named = local_families(spark, _FAMILIES)
-    psi = _feature_psi(spark, d)
+    psi = ordered.local_table(_feature_psi(spark, d))  # a row for each feature, used three times
     rolled = drift.monitor_rollup(psi, named).select(F.explode_outer("significant_features").alias("x")).select("x.feature", "x.family", "x.psi")
     lists = rolled.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("psi")).alias("k"), "feature"))), lambda x: x["feature"]), ",").alias("drifted"))
     every = drift.band_by_family(psi, named).groupBy("family").agg(F.sum("n").alias("n"))
