@@ -76,7 +76,7 @@ def split_summary(spark, d):
 _VEL = """ SELECT id, count(*) OVER h AS vel_cnt_1h, round(coalesce(sum(amount) OVER h, 0), 4) AS vel_amt_1h, count(*) OVER e AS vel_cnt_24h, round(coalesce(sum(amount) OVER e, 0), 4) AS vel_amt_24h,
 count(*) OVER w AS vel_cnt_7d, round(coalesce(sum(amount) OVER w, 0), 4) AS vel_amt_7d, dt - max(dt) OVER p AS vel_secs_since_prev, count(*) OVER p AS vel_prior_cnt,
 round(coalesce((dt - min(dt) OVER p) / 86400e0, 0), 8) AS vel_tenure_days,
-CASE WHEN count(*) OVER w > 0 THEN round(amount / (sum(amount) OVER w / count(*) OVER w), 6) END AS vel_amt_vs_mean_7d
+CASE WHEN count(*) OVER w > 0 THEN round(amount / nullif(sum(amount) OVER w / count(*) OVER w, 0), 6) END AS vel_amt_vs_mean_7d
 FROM txn WINDOW h AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), e AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING),
 w AS (PARTITION BY card ORDER BY dt RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY card ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 _VEL_COLS = ["id", *[f"vel_{k}_{w}" for w in windows.WINDOWS for k in ("cnt", "amt")], "vel_secs_since_prev", "vel_prior_cnt", "vel_tenure_days", "vel_amt_vs_mean_7d"]
@@ -702,7 +702,7 @@ def _velocity_columns(key: str, col: str, w: str) -> list[str]:
     for name, span in windows.WINDOWS.items():
         out += [f"count(*) OVER {w}{name} AS vel_{key}_cnt_{name}", f"coalesce(sum(amount) OVER {w}{name}, 0) AS vel_{key}_amt_{name}"]
     out += [f"dt - max(dt) OVER {w}p AS vel_{key}_secs_since_prev", f"count(*) OVER {w}p AS vel_{key}_prior_cnt", f"coalesce((dt - min(dt) OVER {w}p) / 86400e0, 0) AS vel_{key}_tenure_days"]
-    return [*out, f"CASE WHEN count(*) OVER {w}7d > 0 THEN amount / (sum(amount) OVER {w}7d / count(*) OVER {w}7d) END AS vel_{key}_amt_vs_mean_7d"]
+    return [*out, f"CASE WHEN count(*) OVER {w}7d > 0 THEN amount / nullif(sum(amount) OVER {w}7d / count(*) OVER {w}7d, 0) END AS vel_{key}_amt_vs_mean_7d"]
 
 
 def _windows_sql(col: str, w: str) -> str:
